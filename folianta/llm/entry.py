@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folianta.llm import exactdedup, neardup, sharding, toxicity
+from folianta.llm import decontam, exactdedup, mixing, neardup, sharding, toxicity
 from folianta.llm.common import table
 
 
@@ -23,12 +23,78 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op8_exact_dedup": op8_exact_dedup}
+    found = (op2_sharding, op3_toxicity, op4_minhash_near_dedup, op5_mixing, op7_benchmark_decontamination, op8_exact_dedup)
+    return {f.__name__: f for f in found}
+
+
+def _op5_sql() -> str:
+    """The raking of ``mixing`` with one step of SQL for each margin of each sweep."""
+    dims = mixing.DIMENSIONS
+    steps = [
+        r"""d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+         length(coalesce(text, '')) AS n FROM documents
+), r AS (
+  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens,
+    CASE WHEN NOT regexp_matches(t, '[^\x20\x09-\x0D]') THEN 'empty'
+         WHEN len(regexp_extract_all(t, '[0-9]')) * 5 > n THEN 'data'
+         WHEN len(regexp_extract_all(t, '[A-Z]')) * 4 > n THEN 'shout'
+         WHEN (n - length(replace(t, '|', ''))) * 40 > n THEN 'table'
+         WHEN n < 200 THEN 'brief' ELSE 'prose' END AS topic FROM d
+), cells AS (
+  SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM r GROUP BY ALL HAVING sum(tokens) > 0
+)""",
+    ]
+    for d in dims:
+        steps.append(f"to_{d} AS (SELECT {d}, pow(t / sum(t) OVER (), {mixing.TEMPER}) AS given FROM (SELECT {d}, sum(tokens) AS t FROM cells GROUP BY {d}))")
+    joins = " ".join(f"JOIN (SELECT {d}, given / sum(given) OVER () AS to_{d} FROM to_{d}) USING ({d})" for d in dims)
+    steps.append(f"w0 AS (SELECT source, lang, topic, tokens, tokens AS weight, {', '.join(f'to_{d}' for d in dims)} FROM cells {joins})")
+    k = 0
+    for _ in range(mixing.SWEEPS):
+        for d in dims:
+            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (weight * to_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM w{k})")
+            k += 1
+    steps.append(f"p AS (SELECT source, lang, topic, round(weight / tokens / max(weight / tokens) OVER (), {mixing.PLACES}) AS p FROM w{k})")
+    draw = "CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, r.source, r.lang, r.topic, tokens, round(coalesce(p, 1.0), 6) AS probability, {draw} < coalesce(p, 1.0) AS sampled
+FROM r LEFT JOIN p ON r.source = p.source AND r.lang = p.lang AND r.topic = p.topic"""
+
+
+#: Every pair of equal words, by alignment; a window of 13 places with 11 pairs or more is an overlap.
+OP7_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), bw AS (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), dt AS (
+  SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM dw WHERE len(w) >= 13
+), bt AS (
+  SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM bw WHERE len(w) >= 13
+), eq AS (
+  SELECT DISTINCT doc_id, item_id, dt.pos - bt.pos AS shift, bt.pos AS pos FROM dt JOIN bt ON dt.t = bt.t
+), run AS (
+  SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM eq
+), hit AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM run WHERE n >= 11 GROUP BY doc_id
+)
+SELECT d.doc_id, h.items IS NOT NULL AS contaminated, CAST(coalesce(len(h.items), 0) AS BIGINT) AS n_items,
+       coalesce(array_to_string(h.items, ','), '') AS items
+FROM documents d LEFT JOIN hit h ON d.doc_id = h.doc_id
+"""
 
 
 OP8_SQL = r"""
@@ -43,4 +109,4 @@ FROM n JOIN g ON n.body = g.body
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op5_mixing": _op5_sql(), "op7_benchmark_decontamination": OP7_SQL, "op8_exact_dedup": OP8_SQL}
