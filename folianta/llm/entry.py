@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folianta.llm import decontam, exactdedup, mixing, neardup, sharding, toxicity
+from folianta.llm import decontam, exactdedup, mixing, neardup, sharding, toxicity, warc
 from folianta.llm.common import table
 
 
@@ -35,8 +35,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sharding, op3_toxicity, op4_minhash_near_dedup, op5_mixing, op7_benchmark_decontamination, op8_exact_dedup)
+    found = (op2_sharding, op3_toxicity, op4_minhash_near_dedup, op5_mixing, op7_benchmark_decontamination, op8_exact_dedup, op9_warc)
     return {f.__name__: f for f in found}
 
 
@@ -108,5 +112,18 @@ FROM n JOIN g ON n.body = g.body
 """
 
 
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), o AS (
+  SELECT d, min(page_id) AS owner FROM p WHERE n >= 100 GROUP BY d
+)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN p.page_id > o.owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id > o.owner THEN o.owner END AS refers_to
+FROM p LEFT JOIN o ON p.d = o.d AND p.n >= 100
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _op5_sql(), "op7_benchmark_decontamination": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_mixing": _op5_sql(), "op7_benchmark_decontamination": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
