@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folianta.llm import decontam, exactdedup, mixing, neardup, sharding, toxicity, warc
+from folianta.llm import chat, decontam, exactdedup, mixing, neardup, pii, sharding, toxicity, warc
 from folianta.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,8 +43,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(chat.probe(spark))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sharding, op3_toxicity, op4_minhash_near_dedup, op5_mixing, op7_benchmark_decontamination, op8_exact_dedup, op9_warc)
+    found = (op2_sharding, op3_toxicity, op4_minhash_near_dedup, op5_mixing, op6_pii, op7_benchmark_decontamination, op8_exact_dedup, op9_warc, op10_chat_formatting)
     return {f.__name__: f for f in found}
 
 
@@ -125,5 +134,21 @@ FROM p LEFT JOIN o ON p.d = o.d AND p.n >= 100
 """
 
 
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length(regexp_replace(r, '(### |</turn>)', '\\\1', 'g')) + length(regexp_replace(t, '(### |</turn>)', '\\\1', 'g')) + 14 AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _op5_sql(), "op7_benchmark_decontamination": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op5_mixing": _op5_sql(), "op7_benchmark_decontamination": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_chat_formatting": OP10_SQL}
