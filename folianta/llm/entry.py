@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folianta.llm import chat, decontam, exactdedup, mixing, neardup, pii, sharding, toxicity, warc
+from folianta.llm import chat, decontam, exactdedup, licenses, mixing, neardup, pii, sharding, toxicity, warc
 from folianta.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -49,7 +53,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sharding, op3_toxicity, op4_minhash_near_dedup, op5_mixing, op6_pii, op7_benchmark_decontamination, op8_exact_dedup, op9_warc, op10_chat_formatting)
+    found = (op1_license_scan, op2_sharding, op3_toxicity, op4_minhash_near_dedup, op5_mixing, op6_pii, op7_benchmark_decontamination, op8_exact_dedup, op9_warc, op10_chat_formatting)
     return {f.__name__: f for f in found}
 
 
@@ -150,5 +154,31 @@ FROM e GROUP BY conv_id
 """
 
 
+def _op1_sql() -> str:
+    """Every segment against every template, with sets of bigrams as lists."""
+    quoted = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, _, text) in enumerate(licenses.TEMPLATES))
+    grams = lambda c: f"""list_distinct(CASE WHEN len({c}) < 2 THEN {c} ELSE list_transform(range(1, len({c})), lambda i: {c}[i] || ' ' || {c}[i + 1]) END)"""
+    word = r"regexp_extract_all(lower({}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+    low, high = f"g.n >= ceil(t.n * {licenses.DICE} / (2 - {licenses.DICE}) - 1e-9)", f"g.n <= floor(t.n * (2 - {licenses.DICE}) / {licenses.DICE} + 1e-9)"
+    return rf"""
+WITH tw(i, name, w) AS (SELECT i, name, {word.format("txt")} FROM (VALUES {quoted}) AS v(i, name, txt)),
+t AS (SELECT i, name, {grams("w")} AS g, len({grams("w")}) AS n FROM tw),
+s AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS seg FROM documents
+  UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\n[\x20\x09-\x0D]*\n')) FROM documents
+  UNION ALL SELECT doc_id, text FROM documents
+), sw AS (SELECT doc_id, {word.format("seg")} AS w FROM s),
+g AS (SELECT doc_id, {grams("w")} AS g, len({grams("w")}) AS n FROM sw WHERE len(w) >= 2),
+m AS (
+  SELECT g.doc_id, t.name, max(2.0 * len(list_intersect(g.g, t.g)) / (g.n + t.n)) AS dice
+  FROM g JOIN t ON {low} AND {high} WHERE list_has_any(g.g, t.g) GROUP BY ALL
+), k AS (
+  SELECT doc_id, count(*) AS n_licenses, string_agg(name || ':' || CAST(CAST(round(dice * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY name) AS licenses
+  FROM m WHERE dice >= {licenses.DICE} - 1e-12 GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _op5_sql(), "op7_benchmark_decontamination": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op1_license_scan": _op1_sql(), "op5_mixing": _op5_sql(), "op7_benchmark_decontamination": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_chat_formatting": OP10_SQL}

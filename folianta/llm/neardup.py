@@ -11,11 +11,14 @@ their weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` samples: a pair a
 one band at least with probability 1 - (1 - 0.8^3)^12 > 0.9998.
 
 Links. Texts with the same words are one node, so copies never pair up. In each bucket all
-nodes are compared with its smallest node, by exact weighted Jaccard over whole texts. Nodes
-that don't match it go on, with those matched ones that they could still be linked to (the
-distance 1 - J is a metric, so others are ruled out by the triangle inequality): in small
-groups by their sketches within one task, in larger ones by another round with a new
-smallest node. No group is capped, and none is expanded into all its pairs.
+nodes are compared with its smallest node, by exact weighted Jaccard over whole texts. Links
+found so far make components. A node of a bucket that is in another component than the
+bucket's leader is compared further, with those nodes of other components that it can still
+be linked to: the distance 1 - J is a metric, so the distances from the leader rule out most,
+and their sketches most of the rest, before whole texts are compared. Buckets of up to
+``LOCAL`` nodes are finished so within one task, on sketches of 144 bytes; larger ones take
+another round with a new leader first. No group is capped, and none is expanded into all its
+pairs.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 #: Counters of the document-frequency table, and rows it is dealt in.
 COUNTERS, PARTS = 1 << 18, 64
-#: Groups of at most so many nodes are finished within one task; larger ones take another round.
-LOCAL = 400
+#: Buckets of at most so many nodes are finished within one task (7 MB of sketches); larger ones take another round.
+LOCAL = 50_000
 
 _K = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -229,33 +232,38 @@ def _comparer(shared):
 
 
 def _agreeing(similarity: float):
-    """Pairs within one group whose sketches agree in as many samples as linked texts would (5 deviations of leeway)."""
-    least = int(np.floor(_K * similarity - 5 * np.sqrt(_K * similarity * (1 - similarity))))
+    """Pairs of one bucket still to be compared: of different components, one of them open, at distances from
+    the bucket's leader that differ by 1 - similarity at most, and agreeing in as many samples as linked
+    texts would (3.5 deviations of leeway; a linked pair falls below with a chance of 3 in 10,000 at most)."""
+    least = int(np.floor(_K * similarity - 3.5 * np.sqrt(_K * similarity * (1 - similarity))))
 
-    def pairs(nodes: list[int], opens: list[bool], sketches: list[bytes]) -> Iterator[tuple[int, int]]:
+    def pairs(nodes: list[int], roots: list[int], opens: list[bool], sims: list[float], sketches: list[bytes]) -> Iterator[tuple[int, int]]:
         x = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, _K)
-        is_open = np.array(opens)
+        is_open, root, sim = np.array(opens), np.array(roots), np.array(sims)
         for i in np.flatnonzero(is_open):
-            agree = (x == x[i]).sum(1)
-            for j in np.flatnonzero(agree >= least):
-                if j != i and not (is_open[j] and j < i):
+            near = np.flatnonzero((root != root[i]) & (np.abs(sim - sim[i]) <= 1 - similarity + 1e-9))
+            for j in near[(x[near] == x[i]).sum(1) >= least]:
+                if not (is_open[j] and j < i):
                     a, b = nodes[i], nodes[j]
                     yield (a, b) if a > b else (b, a)
 
+    def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["node", "leader"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [])
-        for batch in batches:
+        key, held = None, ([], [], [], [], [])
+        for b in batches:
             out: list[tuple[int, int]] = []
-            for k, node, is_open, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "open", "sketch")), strict=True):
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "root", "open", "sim", "sketch")), strict=True):
                 if k != key:
                     out += pairs(*held) if held[0] else ()
-                    key, held = k, ([], [], [])
-                for to, v in zip(held, (node, is_open, sketch), strict=True):
+                    key, held = k, ([], [], [], [], [])
+                for to, v in zip(held, row, strict=True):
                     to.append(v)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["node", "leader"])
+                yield batch(out)
         if held[0] and (out := list(pairs(*held))):
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["node", "leader"])
+            yield batch(out)
 
     return run
 
@@ -290,31 +298,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local: int
         right = contents.select(F.col("node").alias("leader"), F.col("ids").alias("leader_ids"), F.col("tf").alias("leader_tf"))
         return cut(pairs.join(contents, "node").join(right, "leader").mapInArrow(_comparer(idf), "node long, leader long, sim double"))
 
-    links = None
-    rounds = met.withColumn("open", F.lit(True))
+    one_each = sketched.select("node", "sketch").dropDuplicates(["node"])
+    stars, known, roots = met, None, None
     while True:
-        pairs = rounds.filter("node <> leader").select("node", "leader").distinct()
-        sims = compared(pairs)
-        found = sims.filter(F.col("sim") >= similarity).select("node", "leader")
-        links = found if links is None else links.union(found)
-        # what goes on: unmatched nodes, and others near enough to be linked to one of them
-        seen = rounds.filter("node <> leader").join(sims, ["node", "leader"])
-        still = F.col("open") & (F.col("sim") < similarity)
-        nearest = seen.filter(still).groupBy("key").agg(F.max("sim").alias("nearest"))
-        rest = seen.join(nearest, "key").filter(still | (F.col("sim") <= F.col("nearest") + (1 - similarity) + 1e-9))
-        rest = rest.select("key", "node", still.alias("open"))
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("node"))).alias("leader")).filter("n > 1")
-        rest = cut(rest.join(sizes, "key").select("key", "node", "open", "leader", "n"))
-        small = rest.filter(F.col("n") <= local)
-        one_each = sketched.select("node", "sketch").dropDuplicates(["node"])
-        dealt = small.join(one_each, "node").select("key", "node", "open", "sketch").repartition("key").sortWithinPartitions("key", "node")
-        agreed = dealt.mapInArrow(_agreeing(similarity), "node long, leader long").distinct()
-        links = links.union(compared(agreed).filter(F.col("sim") >= similarity).select("node", "leader"))
-        rounds = rest.filter(F.col("n") > local).drop("n")
-        if not rounds.limit(1).count():
+        sims = compared(stars.filter("node <> leader").select("node", "leader").distinct())
+        links = sims.filter(F.col("sim") >= similarity).select("node", "leader")
+        links = links if roots is None else links.union(roots.select("node", F.col("root").alias("leader")))
+        roots = components(links, "node", "leader")
+        # open: members outside the leader's component. What else of a bucket isn't linked lies on one side with one of them.
+        own = roots.withColumnRenamed("root", "own")
+        lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
+        seen = stars.join(own, "node", "left").join(lead, "leader", "left").join(sims, ["node", "leader"], "left")
+        rest = seen.filter("node <> leader").select("key", "node", F.coalesce("own", "node").alias("root"), (F.coalesce("own", "node") != F.coalesce("lead", "leader")).alias("open"), "sim")
+        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("node"))).alias("leader")).filter("n > 1 AND leader IS NOT NULL")
+        rest = cut(rest.join(sizes, "key"))
+        dealt = rest.filter(F.col("n") <= local).join(one_each, "node").select("key", "node", "root", "open", "sim", "sketch").repartition("key").sortWithinPartitions("key", "node")
+        agreed = cut(dealt.mapInArrow(_agreeing(similarity), "node long, leader long").distinct())
+        close = compared(agreed).filter(F.col("sim") >= similarity).select("node", "leader")
+        known = close if known is None else cut(known.union(close))
+        stars = rest.filter(F.col("n") > local).select("key", "node", "leader")
+        if not stars.limit(1).count():
             break
 
-    roots = components(links, "node", "leader")
+    roots = components(roots.select("node", "root").union(known.select("node", F.col("leader").alias("root"))), "node", "root")
     rows = sketched.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     whole = rows.groupBy("root").agg(F.min(F.when(F.col("doc_id") != none, F.col("doc_id"))).alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1")
     real = F.when(F.col("doc_id") != none, F.col("doc_id"))
