@@ -84,10 +84,11 @@ def _op5_sql() -> str:
         for d in dims:
             steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (weight * to_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM w{k})")
             k += 1
-    steps.append(f"p AS (SELECT source, lang, topic, round(weight / tokens / max(weight / tokens) OVER (), {mixing.PLACES}) AS p FROM w{k})")
+    steps.append(f"p AS (SELECT source, lang, topic, round(weight / tokens * (SELECT sum(tokens) FROM cells) * {mixing.KEEP}, {mixing.PLACES}) AS p FROM w{k})")
     draw = "CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0"
     return "WITH " + ",\n".join(steps) + f"""
-SELECT doc_id, r.source, r.lang, r.topic, tokens, round(coalesce(p, 1.0), 6) AS probability, {draw} < coalesce(p, 1.0) AS sampled
+SELECT doc_id, r.source, r.lang, r.topic, tokens, round(least(coalesce(p, 1.0), 1.0), 6) AS probability,
+       round(greatest(coalesce(p, 1.0), 1.0), 6) AS weight, {draw} < coalesce(p, 1.0) AS sampled
 FROM r LEFT JOIN p ON r.source = p.source AND r.lang = p.lang AND r.topic = p.topic"""
 
 

@@ -2,9 +2,11 @@
 
 Tokens are summed in cells of (source, lang, topic). Raking scales the cells' weights to the
 target share of each source, each language and each topic in turn, sweep after sweep, until
-all three marginals hold at once. A document's sampling probability is its cell's weight per
-token, scaled so that the largest is one: expected tokens then follow the targets exactly,
-without a capped cell. A hash of the id decides, so any run draws the same documents.
+all three marginals hold at once. A document's rate is its cell's weight per token, scaled so
+that ``KEEP`` of all tokens are expected to be drawn. It is drawn with the rate as probability;
+a rate above one (a small category lifted far) means a sure draw whose weight is the rate, the
+epochs for which training should see it. Expected weighted tokens so follow the targets
+exactly. A hash of the id decides, so any run draws the same documents.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from folianta.llm.common import cut
 SWEEPS = 8
 #: Default targets: a category's share of tokens to this power, normalised. Below 1 it lifts small ones.
 TEMPER = 0.7
-#: Decimal places to which a probability is fixed before it is compared.
+#: Share of all tokens that the sample is meant to have.
+KEEP = 0.5
+#: Decimal places to which a rate is fixed before it is compared.
 PLACES = 9
 #: Cell tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_CELLS = 20_000
@@ -86,21 +90,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
     return out
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, topic: Column | None = None) -> DataFrame:
-    """``described(docs)`` with ``probability`` (0 to 1, rounded to PLACES).
+def rated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, keep: float = KEEP, topic: Column | None = None) -> DataFrame:
+    """``described(docs)`` with ``rate``, rounded to PLACES.
 
-    Documents without tokens carry no weight and have probability 1: keeping them changes no marginal.
+    Documents without tokens carry no weight and have rate 1: keeping them changes no marginal.
     """
     rows = cut(described(docs, topic))
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     raked = rake(cells, targets, sweeps)
-    rate = F.col("weight") / F.col("tokens")
-    scaled = raked.withColumn("rate", rate)
-    top = scaled.agg(F.max("rate").alias("top")).first()["top"]
-    scaled = scaled.select(*DIMENSIONS, F.round(F.col("rate") / F.lit(float(top or 1.0)), PLACES).alias("p"))
-    scaled = cut(scaled)
+    total = cells.agg(F.sum("tokens").cast("double")).scalar()
+    scaled = cut(raked.select(*DIMENSIONS, F.round(F.col("weight") / F.col("tokens") * total * keep, PLACES).alias("r")))
     side = F.broadcast(scaled) if scaled.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else scaled
-    return rows.join(side, list(DIMENSIONS), "left").withColumn("probability", F.coalesce("p", F.lit(1.0))).drop("p")
+    return rows.join(side, list(DIMENSIONS), "left").withColumn("rate", F.coalesce("r", F.lit(1.0))).drop("r")
 
 
 def draw(doc_id: Column, seed: str = "mix") -> Column:
@@ -109,13 +110,17 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, lang, topic, tokens, probability, sampled.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, keep: float = KEEP) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, lang, topic, tokens, probability, weight, sampled.
 
     Nulls are categories of their own, repeated rows count with each row and are drawn alike,
     other columns are ignored, and an empty table gives no rows.
     """
-    return probabilities(docs, targets, sweeps).select("doc_id", *DIMENSIONS, "tokens", F.round("probability", 6).alias("probability"), (draw(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    return rated(docs, targets, sweeps, keep).select(
+        "doc_id", *DIMENSIONS, "tokens",
+        F.round(F.least("rate", F.lit(1.0)), 6).alias("probability"), F.round(F.greatest("rate", F.lit(1.0)), 6).alias("weight"),
+        (draw(F.col("doc_id")) < F.col("rate")).alias("sampled"),
+    )
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
