@@ -16,9 +16,7 @@ of the corpus inside the scan's own stage, so what is shuffled grows with the hi
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +31,7 @@ MISSES = 2
 BLOCKS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10), (11, 12))
 #: Kept blocks of each mask.
 MASKS = tuple(combinations(range(5), 3))
-#: Words of 64 bits in the bitmap: 4 million bits.
+#: Words of 64 bits in the bitmap: 4 million bits, two for each hash.
 BITMAP_WORDS = 1 << 16
 
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -45,33 +43,32 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per window with its place ``pos`` and masked hashes m0 to m9; ``df`` has the array ``w``."""
-    starts = F.sequence(F.lit(0), F.size("w") - SPAN)
-    at = df.filter(F.size("w") >= SPAN).select(*keep, "w", F.explode(starts).alias("pos"))
-    # a block's hash carries its number, so that masks are exclusive ors of three
-    blocks = [F.xxhash64(*[F.get("w", F.col("pos") + p) for p in block], F.lit(i)).alias(f"b{i}") for i, block in enumerate(BLOCKS)]
-    hashed = at.select(*keep, "pos", *blocks)
-    masks = [F.col(f"b{a}").bitwiseXOR(F.col(f"b{b}")).bitwiseXOR(F.col(f"b{c}")).alias(f"m{i}") for i, (a, b, c) in enumerate(MASKS)]
-    return hashed.select(*keep, "pos", *masks)
-
+def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(mask, hash) rows of all windows, with their place ``pos``; ``df`` has the array ``w``.
 
-def _by_mask(windows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per window and mask."""
-    each = F.array(*[F.struct(F.lit(i).alias("mask"), F.col(f"m{i}").alias("hash")) for i in range(len(MASKS))])
-    return windows.select(*keep, "pos", F.explode(each).alias("s")).select(*keep, "pos", "s.mask", "s.hash")
+    Hashes of blocks carry the block's number, and a mask's hash is the exclusive or of its three
+    blocks. The masks come from a generator, so that no later filter is pushed to where it
+    would compute every block again.
+    """
+    # no filter on the size, which would hash the words once more
+    starts = F.when(F.size("w") >= SPAN, F.sequence(F.lit(0), F.size("w") - SPAN))
+    at = df.select(*keep, "w", F.explode(starts).alias("pos"))
+    blocks = [F.xxhash64(*[F.get("w", F.col("pos") + p) for p in block], F.lit(i)).alias(f"b{i}") for i, block in enumerate(BLOCKS)]
+    masks = F.array(*[F.col(f"b{a}").bitwiseXOR(F.col(f"b{b}")).bitwiseXOR(F.col(f"b{c}")) for a, b, c in MASKS])
+    return at.select(*keep, "pos", *blocks).select(*keep, "pos", F.posexplode(masks).alias("mask", "hash"))
 
 
-def _bit(hash_: Column) -> tuple[Column, Column]:
-    """Word of the bitmap and mask in it for a hash."""
-    word = F.shiftrightunsigned(hash_, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")
-    return word, F.call_function("shiftleft", F.lit(1).cast("bigint"), hash_.bitwiseAND(F.lit(63)).cast("int"))
+def _bits(hash_: Column) -> list[tuple[Column, Column]]:
+    """Two places of a hash in the bitmap, each as a word and a mask in it."""
+    places = (hash_, F.shiftrightunsigned(hash_, 32))
+    word = [F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int") for h in places]
+    return [(w, F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))) for w, h in zip(word, places, strict=True)]
 
 
 def bitmap_of(seeds: DataFrame) -> DataFrame:
-    """One row with ``bits``: BITMAP_WORDS longs in order; all zero without seeds."""
-    word, bit = _bit(F.col("hash"))
-    filled = seeds.select(word.alias("word"), bit.alias("bit"))
+    """One row with ``bits``: BITMAP_WORDS longs in order, two bits set for each hash; all zero without seeds."""
+    both = F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _bits(F.col("hash"))])
+    filled = seeds.select(F.explode(both).alias("x")).select("x.word", "x.bit")
     empty = seeds.sparkSession.range(BITMAP_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bit"))
     every = filled.union(empty).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     return every.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("held")).select(F.transform("held", lambda x: x["bits"]).alias("bits"))
@@ -85,18 +82,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("w"))
     items = items.filter(F.size("w") >= SPAN).withColumn("n", F.size("w"))
-    seeds = _by_mask(_windows(items, ["item_id", "n"]), ["item_id", "n"])
-    seeds = cut(seeds.select("mask", "hash", "item_id", "n", F.col("pos").alias("item_pos")).distinct())
+    seeds = cut(_seeds(items, ["item_id", "n"]).select("mask", "hash", "item_id", "n", F.col("pos").alias("item_pos")).distinct())
     bits = cut(bitmap_of(seeds)).scalar()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    windows = _windows(texts.select("doc_id", word_hashes(F.col("text")).alias("w")), ["doc_id"])
-
-    def maybe(hash_: Column) -> Column:
-        word, bit = _bit(hash_)
-        return F.get(bits, word).bitwiseAND(bit) != 0
-
-    some = windows.filter(reduce(or_, [maybe(F.col(f"m{i}")) for i in range(len(MASKS))]))
-    probes = _by_mask(some, ["doc_id"]).filter(maybe(F.col("hash")))
+    (w1, b1), (w2, b2) = _bits(F.col("hash"))
+    probes = _seeds(texts.select("doc_id", word_hashes(F.col("text")).alias("w")), ["doc_id"])
+    probes = probes.filter((F.get(bits, w1).bitwiseAND(b1) != 0) & (F.get(bits, w2).bitwiseAND(b2) != 0))
     hits = probes.join(seeds, ["mask", "hash"]).select("doc_id", "item_id", "n", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     # verification: of each document that was hit, the stretches beside the items, word by word
     of_doc = cut(hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("at")))
