@@ -15,16 +15,17 @@ nodes are compared with its smallest node, by exact weighted Jaccard over whole
 found so far make components. A node of a bucket that is in another component than the
 bucket's leader is compared further, with those nodes of other components that it can still
 be linked to: the distance 1 - J is a metric, so the distances from the leader rule out most,
-and their sketches most of the rest, before whole texts are compared. Buckets of up to
-``LOCAL`` nodes are finished so within one task, on sketches of 144 bytes; larger ones take
-another round with a new leader first. No group is capped, and none is expanded into all its
-pairs.
+and their sketches most of the rest, before whole texts are compared, likeliest first; what is
+connected meanwhile isn't compared. Buckets of up to ``LOCAL_BYTES`` are finished so within one
+task; larger ones take another round with a new leader first. No group is capped, and none is
+expanded into its pairs: only links between components leave a task.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 #: Counters of the document-frequency table, and rows it is dealt in.
 COUNTERS, PARTS = 1 << 18, 64
-#: Buckets of at most so many nodes are finished within one task (7 MB of sketches); larger ones take another round.
-LOCAL = 50_000
+#: Buckets with at most so many bytes of content are finished within one task; larger ones take another round first.
+LOCAL_BYTES = 96 << 20
 
 _K = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -209,14 +210,16 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids_out, pa.binary()), pa.array(tf_out, pa.binary())], names=["node", "ids", "tf"])
 
 
+def unpack(ids: bytes, tf: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and weights of a node's content."""
+    i = np.frombuffer(ids, np.uint32)
+    return i, weights(i, np.frombuffer(tf, np.uint32) if tf else np.ones(len(i), np.uint32), idf)
+
+
 def _comparer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
 
-        def unpack(ids: bytes, tf: bytes) -> tuple[np.ndarray, np.ndarray]:
-            i = np.frombuffer(ids, np.uint32)
-            return i, weights(i, np.frombuffer(tf, np.uint32) if tf else np.ones(len(i), np.uint32), idf)
-
         last, right = None, None
         for batch in batches:
             names = ("node", "leader", "ids", "tf", "leader_ids", "leader_tf")
@@ -224,51 +227,112 @@ def _comparer(shared):
             sims = []
             for leader, ids, tf, lids, ltf in zip(b, *raw, strict=True):
                 if leader != last:
-                    last, right = leader, unpack(lids, ltf)
-                sims.append(weighted_jaccard(unpack(ids, tf), right))
+                    last, right = leader, unpack(lids, ltf, idf)
+                sims.append(weighted_jaccard(unpack(ids, tf, idf), right))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader"), pa.array(sims, pa.float64())], names=["node", "leader", "sim"])
 
     return run
 
 
-def _agreeing(similarity: float):
-    """Pairs of one bucket still to be compared: of different components, one of them open, at distances from
-    the bucket's leader that differ by 1 - similarity at most, and agreeing in as many samples as linked
-    texts would (3.5 deviations of leeway; a linked pair falls below with a chance of 3 in 10,000 at most)."""
-    least = int(np.floor(_K * similarity - 3.5 * np.sqrt(_K * similarity * (1 - similarity))))
+class Bucket:
+    """The nodes of one bucket that may still be linked: what rules pairs out before whole texts are compared."""
+
+    COLUMNS = ("node", "root", "open", "sim", "sketch", "bands")
+
+    def __init__(self, key: int, rows: list[tuple], similarity: float) -> None:
+        nodes, roots, opens, sims, sketches, bands = zip(*rows, strict=True)
+        self.nodes, self.similarity = nodes, similarity
+        self.roots, self.opens, self.sims = list(roots), np.array(opens), np.array(sims)
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, _K)
+        self.bands = np.array(bands, np.int64)
+        self.band = int(np.flatnonzero(self.bands[0] == key)[0])
+        # linked texts agree in fewer samples than this (3.5 deviations) with a chance of 3 in 10,000 at most
+        self.least = int(np.floor(_K * similarity - 3.5 * np.sqrt(_K * similarity * (1 - similarity))))
+        self.up = {r: r for r in self.roots}
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def partners(self, i: int) -> np.ndarray:
+        """Nodes that an open node may be linked to, those that agree most first.
+
+        Their distances from the bucket's leader differ by 1 - similarity at most, their sketches
+        agree enough, they are in another component, and no earlier band has both (it has them there).
+        """
+        near = np.flatnonzero(np.abs(self.sims - self.sims[i]) <= 1 - self.similarity + 1e-9)
+        agree = (self.sketches[near] == self.sketches[i]).sum(1)
+        near, agree = near[agree >= self.least], agree[agree >= self.least]
+        if self.band:
+            new = ~(self.bands[near, : self.band] == self.bands[i, : self.band]).any(1)
+            near, agree = near[new], agree[new]
+        near = near[np.argsort(-agree, kind="stable")]
+        mine = self.find(self.roots[i])
+        return np.array([j for j in near if self.find(self.roots[j]) != mine and not (self.opens[j] and j < i)], np.int64)
+
+    def promising(self) -> np.ndarray:
+        """Nodes with a partner."""
+        out = [np.append(p, i) for i in np.flatnonzero(self.opens) if len(p := self.partners(i))]
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+    def links(self, content) -> Iterator[tuple[int, int]]:
+        """Links between components, by exact similarity; a pair that the links so far connect isn't compared."""
+        for i in np.flatnonzero(self.opens):
+            for j in self.partners(i):
+                a, b = self.find(self.roots[i]), self.find(self.roots[j])
+                if a != b and weighted_jaccard(content(i), content(j)) >= self.similarity:
+                    self.up[max(a, b)] = min(a, b)
+                    yield self.nodes[i], self.nodes[j]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """Groups of rows with the same key, from rows in the order of their keys."""
+    key, held = None, []
+    for b in batches:
+        for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", *columns)), strict=True):
+            if k != key:
+                if held:
+                    yield key, held
+                key, held = k, []
+            held.append(tuple(row))
+    if held:
+        yield key, held
+
+
+def _in_batches(pairs: Iterator[tuple[int, int]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(pairs, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=names)
+
+
+def _promising(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, int]]:
+            for key, held in _by_key(batches, Bucket.COLUMNS):
+                bucket = Bucket(key, held, similarity)
+                yield from ((key, bucket.nodes[i]) for i in bucket.promising())
 
-    def pairs(nodes: list[int], roots: list[int], opens: list[bool], sims: list[float], sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-        x = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, _K)
-        is_open, root, sim = np.array(opens), np.array(roots), np.array(sims)
-        for i in np.flatnonzero(is_open):
-            near = np.flatnonzero((root != root[i]) & (np.abs(sim - sim[i]) <= 1 - similarity + 1e-9))
-            for j in near[(x[near] == x[i]).sum(1) >= least]:
-                if not (is_open[j] and j < i):
-                    a, b = nodes[i], nodes[j]
-                    yield (a, b) if a > b else (b, a)
+        yield from _in_batches(rows(), ["key", "node"])
 
-    def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["node", "leader"])
+    return run
 
+
+def _linking(similarity: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [], [])
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "root", "open", "sim", "sketch")), strict=True):
-                if k != key:
-                    out += pairs(*held) if held[0] else ()
-                    key, held = k, ([], [], [], [], [])
-                for to, v in zip(held, row, strict=True):
-                    to.append(v)
-            if out:
-                yield batch(out)
-        if held[0] and (out := list(pairs(*held))):
-            yield batch(out)
+        idf = shared.value
+
+        def rows() -> Iterator[tuple[int, int]]:
+            for key, held in _by_key(batches, (*Bucket.COLUMNS, "ids", "tf")):
+                raw = [r[-2:] for r in held]
+                yield from Bucket(key, [r[:-2] for r in held], similarity).links(lambda i, raw=raw: unpack(*raw[i], idf))
+
+        yield from _in_batches(rows(), ["node", "root"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local: int = LOCAL) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, kept.
 
     A class is a connected component of links between texts of weighted Jaccard similarity
@@ -298,29 +362,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local: int
         right = contents.select(F.col("node").alias("leader"), F.col("ids").alias("leader_ids"), F.col("tf").alias("leader_tf"))
         return cut(pairs.join(contents, "node").join(right, "leader").mapInArrow(_comparer(idf), "node long, leader long, sim double"))
 
-    one_each = sketched.select("node", "sketch").dropDuplicates(["node"])
-    stars, known, roots = met, None, None
+    one_each = sketched.select("node", "sketch", "bands").join(active, "node", "left_semi").dropDuplicates(["node"])
+    sizes = contents.select("node", (F.octet_length("ids") + F.octet_length("tf") + 400).alias("bytes"))
+    stars, roots = met, None
     while True:
         sims = compared(stars.filter("node <> leader").select("node", "leader").distinct())
-        links = sims.filter(F.col("sim") >= similarity).select("node", "leader")
-        links = links if roots is None else links.union(roots.select("node", F.col("root").alias("leader")))
-        roots = components(links, "node", "leader")
-        # open: members outside the leader's component. What else of a bucket isn't linked lies on one side with one of them.
+        found = sims.filter(F.col("sim") >= similarity).select("node", "leader")
+        roots = components(found if roots is None else found.union(roots.select("node", "root")), "node", "leader")
+        # open: outside the component of the bucket's leader; whatever else isn't linked yet lies beside one of these
         own = roots.withColumnRenamed("root", "own")
         lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
-        seen = stars.join(own, "node", "left").join(lead, "leader", "left").join(sims, ["node", "leader"], "left")
-        rest = seen.filter("node <> leader").select("key", "node", F.coalesce("own", "node").alias("root"), (F.coalesce("own", "node") != F.coalesce("lead", "leader")).alias("open"), "sim")
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("node"))).alias("leader")).filter("n > 1 AND leader IS NOT NULL")
-        rest = cut(rest.join(sizes, "key"))
-        dealt = rest.filter(F.col("n") <= local).join(one_each, "node").select("key", "node", "root", "open", "sim", "sketch").repartition("key").sortWithinPartitions("key", "node")
-        agreed = cut(dealt.mapInArrow(_agreeing(similarity), "node long, leader long").distinct())
-        close = compared(agreed).filter(F.col("sim") >= similarity).select("node", "leader")
-        known = close if known is None else cut(known.union(close))
-        stars = rest.filter(F.col("n") > local).select("key", "node", "leader")
+        seen = stars.filter("node <> leader").join(own, "node", "left").join(lead, "leader", "left").join(sims, ["node", "leader"]).join(sizes, "node")
+        rest = seen.select("key", "node", F.coalesce("own", "node").alias("root"), (F.coalesce("own", "node") != F.coalesce("lead", "leader")).alias("open"), "sim", "bytes")
+        whole = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min(F.when(F.col("open"), F.col("node"))).alias("leader"))
+        rest = cut(rest.join(whole.filter("n > 1 AND leader IS NOT NULL"), "key"))
+        here = rest.filter(F.col("total") <= local_bytes).join(one_each, "node").select("key", *Bucket.COLUMNS)
+        some = here.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_promising(similarity), "key long, node long")
+        full = here.join(some, ["key", "node"]).join(contents, "node").select("key", *Bucket.COLUMNS, "ids", "tf")
+        close = cut(full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_linking(similarity, idf), "node long, root long"))
+        roots = components(roots.select("node", "root").union(close), "node", "root")
+        stars = rest.filter(F.col("total") > local_bytes).select("key", "node", "leader")
         if not stars.limit(1).count():
             break
 
-    roots = components(roots.select("node", "root").union(known.select("node", F.col("leader").alias("root"))), "node", "root")
     rows = sketched.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     whole = rows.groupBy("root").agg(F.min(F.when(F.col("doc_id") != none, F.col("doc_id"))).alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1")
     real = F.when(F.col("doc_id") != none, F.col("doc_id"))
