@@ -1 +1,226 @@
-"""Placeholder."""
+"""Document transforms over the library model (J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folianta.functions import names
+from folianta.functions import text as tx
+from folianta.model import Library, lines_of
+from folianta.operators import etl, mutations, songs
+from folianta.operators import relational as op
+from folianta.plans.catalog import SEARCH_TEXT, SONGS, VERSES, WORKS, W, WP, query
+
+L = Library
+
+
+def _pages(lib: L) -> DataFrame:
+    """Pages of four paragraphs each, the paragraphs as blocks; every third number is printed before its paragraph."""
+    p = lib.paragraphs
+    printed = F.when(F.col("number") % 3 == 0, F.concat(F.col("number").cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    q = p.select("work_id", F.expr("cast((number - 1) div 4 + 1 as int)").alias("page"), "number", printed.alias("t"))
+    return op.ordered_concat(q, ["work_id", "page"], "number", "t", "\n\n", "text")
+
+
+_FILES = "f AS (SELECT work_id AS file_id, CASE WHEN work_id % 10 = 3 THEN '/library/copy/' || (work_id // 20) || '.txt' ELSE path END AS path, CASE WHEN work_id % 10 = 4 THEN 'D-' || (work_id // 30) ELSE code END AS code, author_id, source_id, length(text) AS size, sha256(coalesce(text, '')) AS hash FROM works)"
+
+
+@query("j01_import_status", f"""{W}, {_FILES}, k AS (SELECT path FROM works WHERE work_id % 13 = 0),
+a AS (SELECT lower(path) AS p, min(file_id) AS i FROM f GROUP BY ALL HAVING count(*) > 1), c AS (SELECT author_id, source_id, code, min(file_id) AS i FROM f WHERE author_id IS NOT NULL AND source_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1), b AS (SELECT size, hash, min(file_id) AS i FROM f GROUP BY ALL HAVING count(*) > 1)
+SELECT f.file_id, CASE WHEN lower(f.path) IN (SELECT lower(path) FROM k) THEN 'exists' WHEN a.i < f.file_id THEN 'browser_copy' WHEN c.i < f.file_id THEN 'duplicate_code' WHEN b.i < f.file_id THEN 'duplicate_bytes' ELSE 'import' END AS status
+FROM f LEFT JOIN a ON lower(f.path) = a.p LEFT JOIN c ON f.author_id = c.author_id AND f.source_id = c.source_id AND f.code = c.code LEFT JOIN b ON f.size = b.size AND f.hash = b.hash""")
+def j01(lib: L) -> DataFrame:
+    i = F.col("work_id")
+    w = lib.works.select(
+        i.alias("file_id"), F.when(i % 10 == 3, F.concat(F.lit("/library/copy/"), F.expr("work_id div 20").cast("string"), F.lit(".txt"))).otherwise(F.col("path")).alias("path"),
+        F.when(i % 10 == 4, F.concat(F.lit("D-"), F.expr("work_id div 30").cast("string"))).otherwise(F.col("code")).alias("code"), "author_id", "source_id", F.length("text").alias("size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"),
+    )
+    return etl.import_status(w, lib.works.filter("work_id % 13 = 0").select("path")).select("file_id", "status")
+
+
+@query("j02_split_pages")
+def j02(lib: L) -> DataFrame:
+    return etl.candidates(_pages(lib))
+
+
+@query("j02_numbered_drafts")
+def j02_drafts(lib: L) -> DataFrame:
+    joined = etl.rejoin(etl.candidates(_pages(lib)))
+    return op.fallback_number(joined, ["work_id"], "pos", "detected").select("work_id", "number", "page", "text", F.col("detected").isNotNull().alias("has_number"))
+
+
+@query("j03_sentence_packing")
+def j03(lib: L) -> DataFrame:
+    flat = tx.flatten_spaces(F.coalesce("text", F.lit("")))
+    return lib.works.select("work_id", F.posexplode(etl.pack_sentences(flat)).alias("chunk", "text"))
+
+
+@query("j04_numbered_split")
+def j04(lib: L) -> DataFrame:
+    return _pages(lib).select("work_id", "page", F.size(etl.split_numbered(F.col("text"))).alias("parts"))
+
+
+@query("j05_rejoin_page_breaks")
+def j05(lib: L) -> DataFrame:
+    p = lib.paragraphs.select("work_id", F.expr("cast((number - 1) div 2 + 1 as int)").alias("page"), F.col("number").cast("long").alias("pos"), F.lit(None).cast("int").alias("detected"), F.regexp_replace("text", "[.]$", "").alias("text"))
+    return etl.rejoin(p).select("work_id", "page", "pos", F.length("text").alias("n"))
+
+
+@query("j06_running_heads", f"{WP} SELECT paragraph_id FROM paras p WHERE NOT (length(text) <= 32 AND (work_id, {SEARCH_TEXT.format('text')}) IN (SELECT (work_id, {SEARCH_TEXT.format('text')}) FROM paras WHERE length(text) <= 32 GROUP BY work_id, {SEARCH_TEXT.format('text')} HAVING count(*) >= 2))")
+def j06(lib: L) -> DataFrame:
+    p = lib.paragraphs.withColumn("key", tx.search_text(F.col("text")))
+    heads = op.duplicate_keys(p.filter(F.length("text") <= 32), ["work_id", "key"]).select("work_id", "key").withColumn("head", F.lit(True))
+    return p.join(heads, ["work_id", "key"], "left").filter(~(F.col("head").isNotNull() & (F.length("text") <= 32))).select("paragraph_id")
+
+
+@query("j07_accepted_numbers")
+def j07(lib: L) -> DataFrame:
+    d = F.when((F.col("paragraph_id") * 31) % 3 == 0, ((F.col("paragraph_id") * 17) % 9 + F.expr("number div 2")).cast("int"))
+    return etl.accepted_numbers(lib.paragraphs.select("work_id", F.col("number").cast("long").alias("pos"), d.alias("detected")))
+
+
+def _judged(lib: L) -> DataFrame:
+    return etl.verdicts(lib.paragraphs.select("work_id", "number", "paragraph_id", "text", F.expr("cast(number div 4 as int)").alias("page")))
+
+
+_VERDICT = rf"""v0 AS (SELECT work_id, number, paragraph_id, text, number // 4 AS page, CASE WHEN length(text) <= 140 AND length({SEARCH_TEXT.format("text")}) >= 3 THEN {SEARCH_TEXT.format("text")} ELSE '' END AS k FROM paras),
+hd AS (SELECT work_id, k FROM v0 WHERE k <> '' GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT page) >= 2 AND (regexp_matches(k, '\b(CIRCULAR LETTER|MISSION CENTER|POSTFACH|WWW[.]|HTTP|E-MAIL|EMAIL|FAX|TELEPHONE|PHONE|PAGE)') OR (length(k) <= 32 AND len(list_filter(string_split_regex(k, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')) <= 4))),
+v1 AS (SELECT v0.*, length(regexp_replace(text, '[\s\x0B]', '', 'g')) AS vis, length(regexp_replace(text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS good, length(regexp_replace(text, '[\p{{L}}\p{{Nd}}\s\x0B.,;:!?''"()\[\]/&-]', '', 'g')) AS odd, len(list_filter(string_split_regex(text, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')) AS words, hd.k IS NOT NULL AS head FROM v0 LEFT JOIN hd ON v0.work_id = hd.work_id AND v0.k = hd.k),
+judged AS (SELECT work_id, number, paragraph_id, CASE WHEN trim(text) = '' THEN 'too_short' WHEN regexp_matches(lower(text), '^(page\s*)?\d{{1,3}}$') THEN 'page_number'
+WHEN regexp_matches(text, '[#@$%^*_+=~`|\\<>]{{3,}}|["'']?#[$%]["'']?') OR (vis >= 5 AND good / vis < 0.45 AND odd / vis > 0.25) OR (vis >= 12 AND odd / vis > 0.45) THEN 'corrupted' WHEN head THEN 'header_footer' WHEN good < 8 OR (words < 2 AND length(text) < 24) THEN 'too_short' ELSE 'accepted' END AS verdict FROM v1)"""
+
+
+@query("j08_quality_verdicts", f"{WP}, {_VERDICT} SELECT paragraph_id, verdict FROM judged")
+def j08(lib: L) -> DataFrame:
+    return _judged(lib).select("paragraph_id", "verdict")
+
+
+@query("j08_renumbered", f"{WP}, {_VERDICT} SELECT paragraph_id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY number) AS INTEGER) AS renumbered FROM judged WHERE verdict = 'accepted'")
+def j08_numbers(lib: L) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    accepted = _judged(lib).filter("verdict = 'accepted'")
+    return accepted.select("paragraph_id", F.row_number().over(Window.partitionBy("work_id").orderBy("number")).alias("renumbered"))
+
+
+@query("j09_repeated_headers", f"{WP}, {_VERDICT} SELECT work_id, k AS header_key FROM hd")
+def j09(lib: L) -> DataFrame:
+    return etl.repeated_headers(lib.paragraphs.select("work_id", "text", F.expr("cast(number div 4 as int)").alias("page")))
+
+
+@query("j10_quality_summary", f"{WP}, {_VERDICT} SELECT work_id, count(*) AS paragraphs, count(*) FILTER (verdict = 'accepted') AS accepted, count(*) FILTER (verdict = 'page_number') AS page_number, count(*) FILTER (verdict = 'corrupted') AS corrupted, count(*) FILTER (verdict = 'header_footer') AS header_footer, count(*) FILTER (verdict = 'too_short') AS too_short FROM judged GROUP BY work_id")
+def j10(lib: L) -> DataFrame:
+    return etl.quality_summary(_judged(lib))
+
+
+@query("j11_duplicate_codes", f"{W}, c AS (SELECT work_id, author_id, source_id, 'C' || (work_id // 25) AS code FROM works) SELECT work_id, min(work_id) OVER (PARTITION BY author_id, source_id, code) AS original FROM c WHERE author_id IS NOT NULL AND source_id IS NOT NULL")
+def j11(lib: L) -> DataFrame:
+    w = lib.works.filter("author_id IS NOT NULL AND source_id IS NOT NULL").select("work_id", "author_id", "source_id", F.concat(F.lit("C"), F.expr("work_id div 25").cast("string")).alias("code"))
+    return etl.with_original(w, ["author_id", "source_id", "code"], "work_id").select("work_id", "original")
+
+
+@query("j12_duplicate_bytes", f"{W} SELECT work_id, min(work_id) OVER (PARTITION BY octet_length(encode(text)), sha256(text)) AS original FROM works WHERE text IS NOT NULL")
+def j12(lib: L) -> DataFrame:
+    # sizes first: only works that share one are hashed
+    sized = lib.works.filter("text IS NOT NULL").select("work_id", "text", F.octet_length("text").alias("size"))
+    shared = op.duplicate_keys(sized.select("size"), ["size"]).select("size")
+    hashed = sized.join(shared, "size", "left_semi").select("work_id", "size", F.sha2("text", 256).alias("hash"))
+    firsts = etl.with_original(hashed, ["size", "hash"], "work_id").select("work_id", "original")
+    return sized.select("work_id").join(firsts, "work_id", "left").select("work_id", F.coalesce("original", "work_id").alias("original"))
+
+
+@query("j13_duplicate_content", f"{WP}, h AS (SELECT work_id, sha256(string_agg(text, chr(30) ORDER BY number)) AS hash FROM paras GROUP BY work_id) SELECT work_id, min(work_id) OVER (PARTITION BY hash) AS original FROM h")
+def j13(lib: L) -> DataFrame:
+    # a work's paragraphs stand in one row already, so nothing is collected to join them
+    h = lib.works.select("work_id", lines_of(F.col("text")).alias("ps")).filter(F.size("ps") > 0).select("work_id", F.sha2(F.array_join("ps", "\x1e"), 256).alias("hash"))
+    return etl.with_original(h, ["hash"], "work_id").select("work_id", "original")
+
+
+@query("j14_equal_hash_other_path", f"{W} SELECT work_id, count(*) OVER (PARTITION BY sha256(coalesce(text, ''))) - 1 AS others FROM works")
+def j14(lib: L) -> DataFrame:
+    h = lib.works.select("work_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    counts = op.duplicate_keys(h, ["hash"])
+    return h.join(counts, "hash", "left").select("work_id", (F.coalesce("n", F.lit(1)) - 1).alias("others"))
+
+
+@query("j15_refrains")
+def j15(lib: L) -> DataFrame:
+    found = lib.works.select("work_id", songs.refrain(lines_of(F.col("text"))).alias("refrain"))
+    return found.filter("refrain IS NOT NULL").select("work_id", F.array_join("refrain", "\n").alias("refrain"))
+
+
+@query("j16_interleaved_sections", f"""WITH {SONGS}, s AS (SELECT song_id, list(CASE WHEN section_type = 'assistant' THEN 'Chorus' ELSE 'Verse' END ORDER BY section_order) AS k, list(left(text, 20) ORDER BY section_order) AS t FROM songs GROUP BY song_id),
+v AS (SELECT *, list_filter(t, lambda x, i: k[i] <> 'Chorus') AS vs, list_filter(t, lambda x, i: k[i] = 'Chorus') AS cs, len(list_filter(range(1, len(k)), lambda i: k[i] = 'Verse' AND k[i + 1] <> 'Chorus')) = 0 AS woven FROM s)
+SELECT song_id, array_to_string(CASE WHEN len(cs) = 0 OR len(vs) = 0 OR (woven AND len(cs) >= greatest(1, len(vs) - 1)) THEN t ELSE flatten(list_transform(vs, lambda x: [x, cs[1]])) END, '|') AS sections FROM v""")
+def j16(lib: L) -> DataFrame:
+    kind = F.when(F.col("section_type") == "assistant", "Chorus").otherwise("Verse")
+    held = F.sort_array(F.collect_list(F.struct("section_order", kind.alias("k"), F.left("text", F.lit(20)).alias("t"))))
+    s = lib.songs.groupBy("song_id").agg(held.alias("h")).select("song_id", F.transform("h", lambda x: x["k"]).alias("k"), F.transform("h", lambda x: x["t"]).alias("t"))
+    return s.select("song_id", F.array_join(songs.interleaved(F.col("k"), F.col("t")), "|").alias("sections"))
+
+
+@query("j17_choruses")
+def j17(lib: L) -> DataFrame:
+    held = F.sort_array(F.collect_list(F.struct("section_order", F.col("text").alias("t"))))
+    s = lib.songs.groupBy("song_id").agg(F.transform(held, lambda x: x["t"]).alias("stanzas"))
+    return s.select("song_id", F.array_join(songs.chorus("stanzas"), "\n").alias("chorus")).filter("chorus IS NOT NULL")
+
+
+@query("j18_line_breaks", f"{W} SELECT work_id, array_to_string(list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), chr(10)) AS restored FROM works")
+def j18(lib: L) -> DataFrame:
+    lines = lines_of(F.col("text"))
+    return lib.works.select("work_id", songs.with_breaks(F.array_join(lines, " "), lines).alias("restored"))
+
+
+@query("j19_pages_by_budget")
+def j19(lib: L) -> DataFrame:
+    return lib.paragraphs.select("paragraph_id", F.posexplode(etl.pack_sentences(F.col("text"), 280, 280)).alias("page", "text"))
+
+
+@query("j20_metadata", f"{W} SELECT work_id, language, code AS base, coalesce(CASE WHEN work_id % 4 = 0 THEN year END, 0) AS year, CASE WHEN work_id % 4 = 0 THEN 'catalog' ELSE 'none' END AS rule FROM works WHERE NOT regexp_matches(code, '(^|[^0-9])[0-9]{{4}}$')")
+def j20(lib: L) -> DataFrame:
+    w = lib.works.filter(~F.col("code").rlike("(^|[^0-9])[0-9]{4}$"))
+    m = etl.metadata_of(F.col("path"), F.when(F.col("work_id") % 4 == 0, F.col("year")))
+    return w.select("work_id", names.language_of_path(F.col("path")).alias("language"), names.base_name(F.col("path")).alias("base"), m.alias("m")).select("work_id", "language", "base", "m.year", "m.rule")
+
+
+@query("j21_verse_import", f"WITH {VERSES}, i AS (SELECT book_id, chapter, verse, arg_max(text, text) AS text FROM verses WHERE book_id <= 5 GROUP BY ALL) SELECT book_id, chapter, verse, text FROM verses WHERE book_id > 5 UNION ALL SELECT * FROM i")
+def j21(lib: L) -> DataFrame:
+    v = lib.verses
+    incoming = op.keep_one(v.filter("book_id <= 5"), ["book_id", "chapter", "verse"], [F.desc("text")])
+    return mutations.replace_all(v, incoming, ["book_id"])
+
+
+@query("j22_verse_validation", f"WITH {VERSES}, d AS (SELECT DISTINCT book_id, chapter, verse FROM verses), c AS (SELECT book_id, chapter, count(*) AS n, min(verse) AS low, max(verse) AS high FROM d GROUP BY ALL) SELECT book_id, count(*) AS chapters, CAST(sum(n) AS BIGINT) AS verses, count(*) FILTER (low <> 1 OR high <> n) AS broken FROM c GROUP BY book_id")
+def j22(lib: L) -> DataFrame:
+    d = lib.verses.select("book_id", "chapter", "verse").distinct()
+    c = d.groupBy("book_id", "chapter").agg(F.count("*").alias("n"), F.min("verse").alias("low"), F.max("verse").alias("high"))
+    return c.groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum("n").alias("verses"), F.count_if((F.col("low") != 1) | (F.col("high") != F.col("n"))).alias("broken"))
+
+
+@query("j23_organiser", f"{W} SELECT work_id, CASE WHEN source_id = 1 THEN 'circular-letters' WHEN content_type = 'brochure' THEN 'brochures' WHEN year > 0 THEN 'meetings' ELSE 'unsorted' END AS category, CASE WHEN year > 0 AND title <> '' THEN 'high' WHEN year > 0 OR title <> '' THEN 'medium' ELSE 'low' END AS confidence FROM works")
+def j23(lib: L) -> DataFrame:
+    category = F.when(F.col("source_id") == 1, "circular-letters").when(F.col("content_type") == "brochure", "brochures").when(F.col("year") > 0, "meetings").otherwise("unsorted")
+    confidence = F.when((F.col("year") > 0) & (F.col("title") != ""), "high").when((F.col("year") > 0) | (F.col("title") != ""), "medium").otherwise("low")
+    return lib.works.select("work_id", category.alias("category"), confidence.alias("confidence"))
+
+
+@query("j24_metadata_repair", f"{W} SELECT work_id, year = 1950 OR work_date IS NULL AS changed FROM works")
+def j24(lib: L) -> DataFrame:
+    stored = lib.works.select("work_id", "year", "work_date")
+    parsed = lib.works.select("work_id", F.when(F.col("year") == 1950, 1951).otherwise(F.col("year")).alias("new_year"), F.coalesce("work_date", F.lit("1900-01-01").cast("date")).alias("new_work_date"))
+    return stored.join(parsed, "work_id").select("work_id", mutations.changed(["year", "work_date"]).alias("changed"))
+
+
+@query("j26_heading_and_notice_signals", f"{WP} SELECT paragraph_id, CAST(contains(lower(text), 'licensed') AS INTEGER) + CAST(contains(lower(text), 'license') AS INTEGER) AS signals, round(CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) ELSE 0 END, 6) >= 0.85 AS heading FROM paras")
+def j26(lib: L) -> DataFrame:
+    low = F.lower("text")
+    signals = low.contains("licensed").cast("int") + low.contains("license").cast("int")
+    return lib.paragraphs.select("paragraph_id", signals.alias("signals"), (F.round(etl.upper_ratio(F.col("text")), 6) >= 0.85).alias("heading"))
+
+
+@query("j27_target_names", f"{W}, r AS (SELECT work_id AS id, 'name' || (work_id // 4) AS name, sha256(coalesce(text, '')) AS hash FROM works), f AS (SELECT name, hash, min(id) AS id FROM r GROUP BY ALL), n AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM f) SELECT r.id, CASE WHEN n.id IS NULL THEN NULL WHEN k = 1 THEN n.name ELSE n.name || '-' || k END AS target, CASE WHEN n.id IS NULL THEN 'skip' ELSE 'copy' END AS action FROM r LEFT JOIN n ON r.id = n.id")
+def j27(lib: L) -> DataFrame:
+    r = lib.works.select(F.col("work_id").alias("id"), F.concat(F.lit("name"), F.expr("work_id div 4").cast("string")).alias("name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    return etl.target_names(r).select("id", "target", "action")
