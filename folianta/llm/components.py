@@ -7,25 +7,34 @@ from pyspark.sql import functions as F
 
 from folianta.llm.common import cut
 
+#: Graphs of at most so many directed edges (16 bytes each), which is counted, are solved in one partition without a shuffle.
+SMALL_EDGES = 1_000_000
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+
+def components(edges: DataFrame, a: str, b: str, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(node, root) for each node of ``edges``; root is the smallest node of its component.
 
     Each round takes the smallest label among a node's neighbours (a sum-like aggregate with
     map-side combination, so that a hub's edges shrink before the shuffle) and then the label
     of that label, which halves long chains. Only the number of changes reaches the driver.
-    Nulls and loops carry no link.
+    Nulls and loops carry no link. Larger graphs than ``small_edges`` stay dealt over all partitions.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     both = cut(e.union(e.select("y", "x")).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("root")))
+    small = both.count() <= small_edges
+
+    def kept(df: DataFrame) -> DataFrame:
+        return cut(df).coalesce(1) if small else cut(df)
+
+    both = both.coalesce(1) if small else both
+    labels = kept(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        step = cut(step)
+        step = kept(step)
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
         labels_next = step.join(jump, "root", "left").select("node", F.coalesce(F.least("root", "far"), "root").alias("root"), "was")
-        labels_next = cut(labels_next)
+        labels_next = kept(labels_next)
         changed = labels_next.filter("root <> was").limit(1).count()
         labels = labels_next.select("node", "root")
         if not changed:

@@ -134,7 +134,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, terms, n = terms_of(part.column("text"))
             ends = np.searchsorted(rows, np.arange(n + 1))
             packed = [terms[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array(packed, pa.binary())], names=["toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
@@ -149,13 +149,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     if n > max_rows:
         marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (max_rows / n)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(marked, "doc_id").select("toxic", "text").mapInArrow(_encode, "toxic int, terms binary").toArrow()
-    packed = got.column("terms").to_pylist()
-    sets = [np.frombuffer(x, np.int32) for x in packed]
-    order = sorted(range(len(sets)), key=lambda i: packed[i])  # the order of arrival mustn't matter
-    sets, toxic = [sets[i] for i in order], np.array(got.column("toxic").to_pylist(), float)[order] if sets else np.zeros(0)
-    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    return fit(rows, np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64), toxic)
+    got = texts.join(marked, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_encode, "doc_id long, toxic int, terms binary").toArrow()
+    if not got.num_rows:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    column = got.column("terms").cast(pa.large_binary()).combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1] // 4
+    every = np.frombuffer(column.buffers()[2], np.int32) if column.buffers()[2] else np.zeros(0, np.int32)
+    lengths = np.diff(offsets)
+    order = np.lexsort((lengths, got.column("doc_id").to_numpy()))  # the order of arrival mustn't matter
+    rows = np.repeat(np.arange(len(order)), lengths[order])
+    first = np.repeat(offsets[order] - np.concatenate([[0], np.cumsum(lengths[order])[:-1]]), lengths[order])
+    return fit(rows, every[np.arange(len(rows)) + first].astype(np.int64), got.column("toxic").to_numpy()[order].astype(float))
 
 
 def _scorer(shared):
