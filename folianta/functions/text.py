@@ -26,6 +26,15 @@ SPACED_WORDS = (
 _MARK = "\u0001"
 
 
+def once(column: Column) -> Column:
+    """A costly column that is to be computed once per row, however often it is used.
+
+    Filters and projections above would else be merged into the one below, each use with a
+    computation of its own; the optimizer never duplicates an expression with a row number in it.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def upper_keeping_sharp_s(text: Column) -> Column:
     """Upper case, but a sharp s stays as it is."""
     return F.replace(F.upper(F.replace(text, F.lit("ß"), F.lit(_MARK))), F.lit(_MARK), F.lit("ß"))
@@ -68,8 +77,8 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def fold_accents(text: Column) -> Column:
-    """Common lower-case accented Latin letters without their marks."""
-    return F.translate(text, ACCENTED, PLAIN)
+    """Common lower-case accented Latin letters without their marks; texts without any pass untouched."""
+    return F.when(text.rlike(f"[{ACCENTED}]"), F.translate(text, ACCENTED, PLAIN)).otherwise(text)
 
 
 def preview(text: Column, length: int = 240, ellipsis: str = "...") -> Column:

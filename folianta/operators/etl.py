@@ -106,15 +106,16 @@ def accepted_numbers(rows: DataFrame, reach: int = 5) -> DataFrame:
 
 def header_key(text: Column) -> Column:
     """Collapsed upper-case text of a line that could be a header: 3 to 140 characters; else empty."""
-    key = tx.search_text(text)
-    return F.when((F.length(text) <= 140) & (F.length(key) >= 3), key).otherwise("")
+    key = F.when(F.length(text) <= 140, tx.search_text(text)).otherwise("")
+    return F.when(F.length(key) >= 3, key).otherwise("")
 
 
 def repeated_headers(rows: DataFrame) -> DataFrame:
     """(work_id, header_key) of lines that come twice or more, on two pages or more where pages are known, and look like a header."""
     word = F.size(F.filter(F.split("header_key", r"[^\p{L}\p{Nd}]+"), lambda x: x != ""))
     marked = F.col("header_key").rlike("|".join(rf"\b{w.replace('.', '[.]')}" for w in HEADER_WORDS))
-    keyed = rows.withColumn("header_key", header_key(F.col("text"))).filter("header_key <> ''")
+    keyed = rows if "header_key" in rows.columns else rows.withColumn("header_key", tx.once(header_key(F.col("text"))))
+    keyed = keyed.filter("header_key <> ''")
     counted = keyed.groupBy("work_id", "header_key").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
     likely = marked | ((F.length("header_key") <= 32) & (word <= 4))
     return counted.filter((F.col("n") >= 2) & ((F.col("pages") == 0) | (F.col("pages") >= 2)) & likely).select("work_id", "header_key")
@@ -123,14 +124,20 @@ def repeated_headers(rows: DataFrame) -> DataFrame:
 def verdicts(rows: DataFrame) -> DataFrame:
     """Rows with ``verdict``, the first that fits: too_short (empty), page_number, corrupted, header_footer, too_short, accepted."""
     text = F.col("text")
-    visible = F.length(F.regexp_replace(text, r"[\s\x0B]", ""))
-    readable, symbols = tx.readable_ratio(text), tx.symbol_ratio(text)
+    counted = {
+        "__visible": F.length(F.regexp_replace(text, r"[\s\x0B]+", "")),
+        "__letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")),
+        "__odd": F.length(F.regexp_replace(text, r"[\p{L}\p{Nd}\s\x0B.,;:!?'\"()\[\]/&-]+", "")),
+        "__words": F.when(F.length(text) < 24, F.size(F.filter(F.split(text, r"[^\p{L}\p{Nd}]+"), lambda x: x != ""))),
+        "header_key": header_key(text),
+    }
+    rows = rows.withColumns({n: tx.once(c) for n, c in counted.items()})
+    visible, letters = F.col("__visible"), F.col("__letters")
+    readable, symbols = letters / F.greatest(visible, F.lit(1)), F.col("__odd") / F.greatest(visible, F.lit(1))
     corrupted = text.rlike(r"""[#@$%^*_+=~`|\\<>]{3,}|["']?#[$%]["']?""") | ((visible >= 5) & (readable < 0.45) & (symbols > 0.25)) | ((visible >= 12) & (symbols > 0.45))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}]", ""))
-    words = F.size(F.filter(F.split(text, r"[^\p{L}\p{Nd}]+"), lambda x: x != ""))
-    short = (letters < 8) | ((words < 2) & (F.length(text) < 24))
+    short = (letters < 8) | ((F.length(text) < 24) & (F.col("__words") < 2))
     headers = repeated_headers(rows).withColumn("__h", F.lit(True))
-    marked = rows.withColumn("header_key", header_key(text)).join(headers, ["work_id", "header_key"], "left")
+    marked = rows.join(headers, ["work_id", "header_key"], "left")
     verdict = (
         F.when(F.trim(text) == "", "too_short")
         .when(text.rlike(r"(?i)^(?:page\s*)?\d{1,3}$"), "page_number")
@@ -139,7 +146,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
         .when(short, "too_short")
         .otherwise("accepted")
     )
-    return marked.withColumn("verdict", verdict).drop("__h", "header_key")
+    return marked.withColumn("verdict", verdict).drop("__h", "header_key", *[c for c in counted if c.startswith("__")])
 
 
 def quality_summary(judged: DataFrame) -> DataFrame:

@@ -21,9 +21,8 @@ PLACEHOLDERS = r"(?i)lorem|ipsum|placeholder|sample text|\bTODO\b|FIXME|\bdummy\
 FOOTERS = ("copyright", "all rights reserved", "printed in", "www.", "http://", "https://")
 
 
-def rules(text: Column) -> dict[str, Column]:
-    """Name and test of each rule for a paragraph; a text may break several."""
-    flat = tx.flatten_spaces(text)
+def rules(text: Column, flat: Column) -> dict[str, Column]:
+    """Name and test of each rule for a paragraph and its flattened text; a text may break several."""
     low = F.lower(flat)
     return {
         "at_sign": flat.contains("@"),
@@ -40,9 +39,12 @@ def rules(text: Column) -> dict[str, Column]:
     }
 
 
-def reasons(text: Column) -> Column:
-    """Names of the broken rules, in order."""
-    return F.array_compact(F.array(*[F.when(test, name) for name, test in rules(text).items()]))
+def with_reasons(df: DataFrame) -> DataFrame:
+    """Rows (with ``text``) and ``reasons``: names of the broken rules, in order."""
+    flat = df.withColumn("__flat", tx.once(tx.flatten_spaces(F.col("text"))))
+    tests = {n: F.coalesce(t, F.lit(False)) for n, t in rules(F.col("text"), F.col("__flat")).items()}
+    found = F.filter(F.array(*[F.when(t, n) for n, t in tests.items()]), lambda x: x.isNotNull())
+    return flat.withColumn("reasons", tx.once(found)).drop("__flat")
 
 
 def severity(reason: Column) -> Column:

@@ -54,9 +54,9 @@ def scoped(df: DataFrame, language: str | None, sources: Sequence[int] | None) -
 
 def with_tokens(df: DataFrame) -> DataFrame:
     """``t_`` columns: tokens of each indexed column as one padded string; ``tokens``: all of them."""
-    lists = {c: tx.index_tokens(F.coalesce(F.col(c), F.lit(""))) for c in INDEXED}
-    joined = {f"t_{c}": F.concat(F.lit(" "), F.array_join(v, " "), F.lit(" ")) for c, v in lists.items()}
-    return df.withColumns(joined).withColumn("tokens", F.concat(*lists.values()))
+    df = df.withColumns({f"l_{c}": tx.once(tx.index_tokens(F.coalesce(F.col(c), F.lit("")))) for c in INDEXED})
+    joined = {f"t_{c}": F.concat(F.lit(" "), F.array_join(f"l_{c}", " "), F.lit(" ")) for c in INDEXED}
+    return df.withColumns(joined).withColumn("tokens", F.concat(*[f"l_{c}" for c in INDEXED])).drop(*[f"l_{c}" for c in INDEXED])
 
 
 def phrase_in_a_column(phrase: list[str]) -> Column:
@@ -92,8 +92,9 @@ def bm25(index: DataFrame, query_terms: list[str]) -> DataFrame:
     score = F.lit(0.0)
     for i, p in enumerate(parts):
         idf = F.log(1 + (s["n"] - s["df"][i] + 0.5) / (s["df"][i] + 0.5))
-        score = score + idf * tf(p) * (K1 + 1) / (tf(p) + K1 * (1 - B + B * F.size("tokens") / s["length"]))
-    return index.withColumn("score", F.round(score, PLACES))
+        score = score + idf * F.col(f"__tf{i}") * (K1 + 1) / (F.col(f"__tf{i}") + K1 * (1 - B + B * F.size("tokens") / s["length"]))
+    counted = index.withColumns({f"__tf{i}": tx.once(tf(p)) for i, p in enumerate(parts)})
+    return counted.withColumn("score", tx.once(F.round(score, PLACES))).drop(*[f"__tf{i}" for i in range(len(parts))])
 
 
 def simple_rank(text: str) -> Column:

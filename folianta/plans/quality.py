@@ -43,21 +43,21 @@ _SEVERITY = "CASE WHEN {0} IN ('encoding', 'control_characters', 'spaced_letters
 
 @query("k01_rule_scan", f"{WP}, {_REASONS} SELECT paragraph_id, array_to_string(reasons, ',') AS reasons FROM rs WHERE len(reasons) > 0")
 def k01(lib: L) -> DataFrame:
-    r = lib.paragraphs.select("paragraph_id", qa.reasons(T).alias("r")).filter(F.size("r") > 0)
-    return r.select("paragraph_id", F.array_join("r", ",").alias("reasons"))
+    r = qa.with_reasons(lib.paragraphs.select("paragraph_id", "text")).filter(F.size("reasons") > 0)
+    return r.select("paragraph_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("k02_cross_corpus_scan", f"""{WP}, {VERSES}, {SONGS}, a AS (SELECT 'paragraph' AS corpus, text FROM paras UNION ALL SELECT 'verse', text FROM verses UNION ALL SELECT 'song', text FROM songs), r AS (SELECT corpus, unnest({_rules()}) AS reason FROM a)
 SELECT corpus, reason, CAST({_SEVERITY.format("reason")} AS INTEGER) AS severity, count(*) AS n FROM r GROUP BY ALL""")
 def k02(lib: L) -> DataFrame:
     parts = [lib.paragraphs.select(F.lit("paragraph").alias("corpus"), "text"), lib.verses.select(F.lit("verse").alias("corpus"), "text"), lib.songs.select(F.lit("song").alias("corpus"), "text")]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("corpus", F.explode(qa.reasons(T)).alias("reason"))
+    every = qa.with_reasons(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("corpus", F.explode("reasons").alias("reason"))
     return every.groupBy("corpus", "reason").agg(F.count("*").alias("n")).select("corpus", "reason", qa.severity(F.col("reason")).alias("severity"), "n")
 
 
 @query("k03_safe_fixes")
 def k03(lib: L) -> DataFrame:
-    p = lib.paragraphs.select("paragraph_id", "text", F.get(qa.reasons(T), F.lit(0)).alias("reason")).filter("reason IS NOT NULL")
+    p = qa.with_reasons(lib.paragraphs.select("paragraph_id", "text")).filter(F.size("reasons") > 0)
     fixes = p.withColumn("new", qa.suggested(T)).filter("new <> text").select("paragraph_id", F.col("text").alias("old"), "new")
     return mutations.compare_and_set(p.select("paragraph_id", "text"), fixes, "paragraph_id", "text").filter("applied").select("paragraph_id", "text")
 
