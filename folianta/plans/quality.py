@@ -14,7 +14,6 @@ from folianta.operators import relational as op
 from folianta.plans.catalog import SONGS, VERSES, W, WP, query
 
 L = Library
-T = F.col("text")
 
 _FLAT = r"trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'))"
 
@@ -58,7 +57,7 @@ def k02(lib: L) -> DataFrame:
 @query("k03_safe_fixes")
 def k03(lib: L) -> DataFrame:
     p = qa.with_reasons(lib.paragraphs.select("paragraph_id", "text")).filter(F.size("reasons") > 0)
-    fixes = p.withColumn("new", qa.suggested(T)).filter("new <> text").select("paragraph_id", F.col("text").alias("old"), "new")
+    fixes = p.withColumn("new", qa.suggested(F.col("text"))).filter("new <> text").select("paragraph_id", F.col("text").alias("old"), "new")
     return mutations.compare_and_set(p.select("paragraph_id", "text"), fixes, "paragraph_id", "text").filter("applied").select("paragraph_id", "text")
 
 
@@ -66,7 +65,7 @@ def _source_and_stored(lib: L) -> tuple[DataFrame, DataFrame]:
     p = lib.paragraphs.select("work_id", "number", "text").filter("number <= 8")
     n, w = F.col("number"), F.col("work_id")
     stored = p.filter(~((w % 7 == 0) & (n == 1)) & ~((w % 5 == 0) & (n == 3)))
-    text = F.when(n == 2, F.concat(F.lit(" "), T)).when((n == 4) & (w % 2 == 0), F.substring(T, 1, 12)).when(n == 5, F.concat(F.lit("x"), T)).otherwise(T)
+    text = F.when(n == 2, F.concat(F.lit(" "), F.col("text"))).when((n == 4) & (w % 2 == 0), F.substring(F.col("text"), 1, 12)).when(n == 5, F.concat(F.lit("x"), F.col("text"))).otherwise(F.col("text"))
     extra = p.filter((w % 9 == 0) & (n == 1)).select("work_id", F.lit(99).alias("number"), "text")
     return p, stored.withColumn("text", text).unionByName(extra)
 
@@ -105,7 +104,7 @@ CASE WHEN regexp_matches(text, '^\d{1,4}(\s|\.\.\.)') THEN 'leading_number' END,
 @query("k06_library_checks", f"{WP}, {_DEFECTS} SELECT language, defect, count(*) AS n FROM (SELECT language, unnest(d) AS defect FROM df) GROUP BY ALL")
 def k06(lib: L) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("work_id").orderBy("number"))
-    d = lib.paragraphs.withColumn("before", before).select("language", F.explode(qa.library_defects(T, F.col("before"))).alias("defect"))
+    d = lib.paragraphs.withColumn("before", before).select("language", F.explode(qa.library_defects(F.col("text"), F.col("before"))).alias("defect"))
     return d.filter("defect <> 'running_head'").groupBy("language", "defect").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +116,7 @@ def k06_numbers(lib: L) -> DataFrame:
 @query("k07_verse_compare", f"WITH {VERSES}, d AS (SELECT book_id, chapter, verse, max(text) AS text FROM verses GROUP BY ALL), a AS (SELECT * FROM d WHERE (chapter + verse) % 11 <> 0), b AS (SELECT book_id, chapter, verse, CASE WHEN verse = 3 THEN upper(text) ELSE text END AS text FROM d WHERE (chapter + verse) % 13 <> 0) SELECT CASE WHEN a.book_id IS NULL THEN 'extra' WHEN b.book_id IS NULL THEN 'missing' WHEN a.text <> b.text THEN 'different' ELSE 'same' END AS status, count(*) AS n FROM a FULL JOIN b ON a.book_id = b.book_id AND a.chapter = b.chapter AND a.verse = b.verse GROUP BY ALL")
 def k07(lib: L) -> DataFrame:
     d = lib.verses.groupBy("book_id", "chapter", "verse").agg(F.max("text").alias("text"))
-    a, b = d.filter("(chapter + verse) % 11 <> 0"), d.filter("(chapter + verse) % 13 <> 0").withColumn("text", F.when(F.col("verse") == 3, F.upper("text")).otherwise(T))
+    a, b = d.filter("(chapter + verse) % 11 <> 0"), d.filter("(chapter + verse) % 13 <> 0").withColumn("text", F.when(F.col("verse") == 3, F.upper("text")).otherwise(F.col("text")))
     return op.reconcile(a, b, ["book_id", "chapter", "verse"], "text").groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -167,7 +166,7 @@ def k11(lib: L) -> DataFrame:
 
 @query("k11_coverage")
 def k11_coverage(lib: L) -> DataFrame:
-    held = lib.songs.groupBy("song_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_order", "text"))), lambda x: x["text"]), " ").alias("text"), F.collect_list(F.when(F.col("section_order") % 2 == 0, T)).alias("pieces"))
+    held = lib.songs.groupBy("song_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_order", "text"))), lambda x: x["text"]), " ").alias("text"), F.collect_list(F.when(F.col("section_order") % 2 == 0, F.col("text"))).alias("pieces"))
     return held.select("song_id", F.round(qa.covered_share("text", "pieces"), 6).alias("share"))
 
 

@@ -13,12 +13,11 @@ from folianta.plans.catalog import SEARCH_TEXT, SONGS, W, WP, query
 from folianta.plans.search import _NORM, _NORMED, _tokens
 
 L = Library
-T = F.col("text")
 
 
 @query("h01_clean_extracted")
 def h01(lib: L) -> DataFrame:
-    return lib.table("documents").select("doc_id", tx.clean_extracted(tx.nfkc(T)).alias("clean"), tx.clean_extracted(tx.nfkc(T), True).alias("clean_lines"))
+    return lib.table("documents").select("doc_id", tx.clean_extracted(tx.nfkc(F.col("text"))).alias("clean"), tx.clean_extracted(tx.nfkc(F.col("text")), True).alias("clean_lines"))
 
 
 _FROM = tx.SPACES + tx.SINGLE_QUOTES + tx.DOUBLE_QUOTES + tx.DASHES + tx.ZERO_WIDTH
@@ -27,7 +26,7 @@ _TO = " " * len(tx.SPACES) + "''" * len(tx.SINGLE_QUOTES) + '"' * len(tx.DOUBLE_
 
 @query("h02_unify_characters", rf"SELECT doc_id, regexp_replace(translate(replace(text, '…', '...'), '{_FROM}', '{_TO}'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g') AS unified FROM documents")
 def h02(lib: L) -> DataFrame:
-    return lib.table("documents").select("doc_id", tx.unify_characters(T).alias("unified"))
+    return lib.table("documents").select("doc_id", tx.unify_characters(F.col("text")).alias("unified"))
 
 
 @query("h03_search_text", f"{WP} SELECT paragraph_id, {SEARCH_TEXT.format('text')} AS search_text FROM paras")
@@ -37,22 +36,22 @@ def h03(lib: L) -> DataFrame:
 
 @query("h04_clean_display")
 def h04(lib: L) -> DataFrame:
-    return lib.paragraphs.select("paragraph_id", tx.clean_display(T).alias("clean"))
+    return lib.paragraphs.select("paragraph_id", tx.clean_display(F.col("text")).alias("clean"))
 
 
 @query("h05_letter_spacing")
 def h05(lib: L) -> DataFrame:
-    return lib.paragraphs.filter(tx.has_letter_spacing(T)).select("paragraph_id")
+    return lib.paragraphs.filter(tx.has_letter_spacing(F.col("text"))).select("paragraph_id")
 
 
 @query("h06_normalise_for_search", f"{WP}, {_NORMED} SELECT paragraph_id, n FROM norm")
 def h06(lib: L) -> DataFrame:
-    return lib.paragraphs.select("paragraph_id", tx.normalise_for_search(T).alias("n"))
+    return lib.paragraphs.select("paragraph_id", tx.normalise_for_search(F.col("text")).alias("n"))
 
 
 @query("h07_tokens", rf"{WP}, {_NORMED} SELECT paragraph_id, len(w) AS n_tokens, coalesce(w[1], '') AS first_token, coalesce(w[-1], '') AS last_token FROM (SELECT paragraph_id, regexp_extract_all(n, '[\p{{L}}\p{{Nd}}]+(?:''[\p{{L}}\p{{Nd}}]+)*') AS w FROM norm)")
 def h07(lib: L) -> DataFrame:
-    w = tx.tokens(tx.normalise_for_search(T))
+    w = tx.tokens(tx.normalise_for_search(F.col("text")))
     p = lib.paragraphs.select("paragraph_id", w.alias("w"))
     return p.select("paragraph_id", F.size("w").cast("long").alias("n_tokens"), F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("first_token"), F.coalesce(F.get("w", F.size("w") - 1), F.lit("")).alias("last_token"))
 
@@ -73,12 +72,12 @@ def h08(lib: L) -> DataFrame:
 
 @query("h09_song_key", rf"WITH {SONGS} SELECT song_id, section_order, replace(upper(replace(trim(regexp_replace(translate(lower(text), '{tx.ACCENTED}', '{tx.PLAIN}'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), 'ß', chr(1))), chr(1), 'ß') AS key FROM songs")
 def h09(lib: L) -> DataFrame:
-    return lib.songs.select("song_id", "section_order", tx.song_key_native(T).alias("key"))
+    return lib.songs.select("song_id", "section_order", tx.song_key_native(F.col("text")).alias("key"))
 
 
 @query("h09_song_key_full")
 def h09_full(lib: L) -> DataFrame:
-    return lib.songs.select("song_id", "section_order", tx.song_key(T).alias("key"))
+    return lib.songs.select("song_id", "section_order", tx.song_key(F.col("text")).alias("key"))
 
 
 @query("h10_parse_references", "SELECT * FROM (VALUES ('Romans 12 1', 45, 12, 1), ('Rom 12 1', 45, 12, 1), ('Romans 12', 45, 12, NULL), ('Jn 3 16', 43, 3, 16), ('Ps 23', 19, 23, NULL), ('Exo 3 15', 2, 3, 15), ('1 Samuel 2:2', 9, 2, 2), ('Jean 3:16', 43, 3, 16), ('Yohana 3:16', 43, 3, 16), ('Genèse 1:1', 1, 1, 1), ('Mwanzo 1:1', 1, 1, 1), ('Nowhere 1:1', NULL, 1, 1)) AS v(ref, book_id, chapter, verse)")
@@ -118,7 +117,7 @@ def h14(lib: L) -> DataFrame:
 @query("h15_month_ranges", "SELECT * FROM (VALUES ('March-April 1998', 1998, 3, 4), ('Summer 1998', 1998, 6, 8), ('décembre 2001', 2001, 12, 12), ('2004-07', 2004, 7, 7), ('2004-17', NULL, NULL, NULL), ('words 1998', NULL, NULL, NULL)) AS v(text, year, first, last)")
 def h15(lib: L) -> DataFrame:
     rows = [(t,) for t in ("March-April 1998", "Summer 1998", "décembre 2001", "2004-07", "2004-17", "words 1998")]
-    return lib.spark.createDataFrame(rows, "text string").select("text", dates.month_range(T).alias("m")).select("text", "m.*")
+    return lib.spark.createDataFrame(rows, "text string").select("text", dates.month_range(F.col("text")).alias("m")).select("text", "m.*")
 
 
 @query("h16_year_of_path", "SELECT page_id, TRY_CAST(nullif(list_filter(string_split(url, '/'), lambda x: regexp_matches(x, '^[0-9]{4}$') AND x BETWEEN '1800' AND '2200')[1], '') AS INTEGER) AS year FROM pages WHERE NOT regexp_matches(url, '[^0-9][0-9]{4}$') AND NOT regexp_matches(url, '/[0-9]{4}[^0-9/][^/]*$')")
@@ -161,17 +160,17 @@ def h23(lib: L) -> DataFrame:
 
 @query("h24_alnum_key", rf"{WP} SELECT paragraph_id, lower(regexp_replace(text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS key FROM paras WHERE length(text) < 80")
 def h24(lib: L) -> DataFrame:
-    return lib.paragraphs.filter(F.length("text") < 80).select("paragraph_id", tx.alnum_key(T, upper=False).alias("key"))
+    return lib.paragraphs.filter(F.length("text") < 80).select("paragraph_id", tx.alnum_key(F.col("text"), upper=False).alias("key"))
 
 
 @query("h25_shorten", rf"{W}, f AS (SELECT work_id, trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')) AS t FROM works) SELECT work_id, CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substr(t, 1, 57)) || '...' END AS short FROM f")
 def h25(lib: L) -> DataFrame:
-    return lib.works.select("work_id", tx.shorten(T, 60).alias("short"))
+    return lib.works.select("work_id", tx.shorten(F.col("text"), 60).alias("short"))
 
 
 @query("h26_counts", r"SELECT doc_id, len(list_filter(string_split_regex(text, '[\s\x0B]+'), lambda x: x <> '')) AS words, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\s\x0B]+', '', 'g') <> '')) AS lines FROM documents")
 def h26(lib: L) -> DataFrame:
-    return lib.table("documents").select("doc_id", tx.word_count(T).cast("long").alias("words"), tx.line_count(T).cast("long").alias("lines"))
+    return lib.table("documents").select("doc_id", tx.word_count(F.col("text")).cast("long").alias("words"), tx.line_count(F.col("text")).cast("long").alias("lines"))
 
 
 _NUMBERED = "nm AS (SELECT paragraph_id, CASE paragraph_id % 4 WHEN 0 THEN CAST(number AS VARCHAR) || '. ' WHEN 1 THEN CAST(number AS VARCHAR) || ' ' WHEN 2 THEN '0 ' ELSE '' END || text AS text FROM paras)"
@@ -180,26 +179,26 @@ _NUMBERED = "nm AS (SELECT paragraph_id, CASE paragraph_id % 4 WHEN 0 THEN CAST(
 @query("h27_leading_number", rf"{WP}, {_NUMBERED} SELECT paragraph_id, CASE WHEN TRY_CAST(nullif(regexp_extract(text, '^\s*(\d{{1,3}})(?:[.)]?\s+)\S', 1), '') AS INTEGER) >= 1 THEN TRY_CAST(nullif(regexp_extract(text, '^\s*(\d{{1,3}})(?:[.)]?\s+)\S', 1), '') AS INTEGER) END AS n FROM nm")
 def h27(lib: L) -> DataFrame:
     k, n = F.col("paragraph_id") % 4, F.col("number").cast("string")
-    text = F.concat(F.when(k == 0, F.concat(n, F.lit(". "))).when(k == 1, F.concat(n, F.lit(" "))).when(k == 2, "0 ").otherwise(""), T)
+    text = F.concat(F.when(k == 0, F.concat(n, F.lit(". "))).when(k == 1, F.concat(n, F.lit(" "))).when(k == 2, "0 ").otherwise(""), F.col("text"))
     return lib.paragraphs.select("paragraph_id", tx.leading_number(text).alias("n"))
 
 
 @query("h28_ratios", rf"""{WP}, v AS (SELECT paragraph_id, length(regexp_replace(text, '[\s\x0B]', '', 'g')) AS v, length(regexp_replace(text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS g, length(regexp_replace(text, '[\p{{L}}\p{{Nd}}\s\x0B.,;:!?''"()\[\]/&-]', '', 'g')) AS o FROM paras)
 SELECT paragraph_id, round(CASE WHEN v > 0 THEN g / v ELSE 0 END, 6) AS readable, round(CASE WHEN v > 0 THEN o / v ELSE 0 END, 6) AS symbols FROM v""")
 def h28(lib: L) -> DataFrame:
-    return lib.paragraphs.select("paragraph_id", F.round(tx.readable_ratio(T), 6).alias("readable"), F.round(tx.symbol_ratio(T), 6).alias("symbols"))
+    return lib.paragraphs.select("paragraph_id", F.round(tx.readable_ratio(F.col("text")), 6).alias("readable"), F.round(tx.symbol_ratio(F.col("text")), 6).alias("symbols"))
 
 
 @query("h29_snippet", f"""{WP}, s AS (SELECT paragraph_id, text, instr(lower(text), 'with') AS hit FROM paras), b AS (SELECT *, greatest(1, hit - 55) AS st FROM s)
 SELECT paragraph_id, CASE WHEN hit = 0 THEN CASE WHEN length(text) <= 170 THEN text ELSE substr(text, 1, 170) || '...' END ELSE CASE WHEN st > 1 THEN '...' ELSE '' END || trim(substr(text, st, 170)) || CASE WHEN st + 169 < length(text) THEN '...' ELSE '' END END AS snippet FROM b""")
 def h29(lib: L) -> DataFrame:
-    return lib.paragraphs.select("paragraph_id", tx.snippet(T, "with").alias("snippet"))
+    return lib.paragraphs.select("paragraph_id", tx.snippet(F.col("text"), "with").alias("snippet"))
 
 
 @query("h30_editor_notes", rf"{WP} SELECT paragraph_id, text AS shown FROM paras WHERE NOT regexp_matches(text, '^\s*\[')")
 def h30(lib: L) -> DataFrame:
-    noted = F.concat(F.lit("[Note.] [Blank.]"), F.lit(" [Tape.] "), T)
-    return lib.paragraphs.filter(~T.rlike(r"^\s*\[")).select("paragraph_id", tx.without_editor_notes(noted).alias("shown"))
+    noted = F.concat(F.lit("[Note.] [Blank.]"), F.lit(" [Tape.] "), F.col("text"))
+    return lib.paragraphs.filter(~F.col("text").rlike(r"^\s*\[")).select("paragraph_id", tx.without_editor_notes(noted).alias("shown"))
 
 
 @query("h31_paths", f"{W} SELECT work_id, code AS base, lower(path) AS key FROM works")
