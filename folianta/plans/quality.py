@@ -61,12 +61,17 @@ def k03(lib: L) -> DataFrame:
     return mutations.compare_and_set(p.select("paragraph_id", "text"), fixes, "paragraph_id", "text").filter("applied").select("paragraph_id", "text")
 
 
-def _source_and_stored(lib: L) -> tuple[DataFrame, DataFrame]:
-    p = lib.paragraphs.select("work_id", "number", "text").filter("number <= 8")
-    n, w = F.col("number"), F.col("work_id")
+def _source_and_stored(lib: L, first: int | None = 8, spare: int = 99) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs and a faulty copy of them; ``spare`` numbers what only the copy has. Faults recur every eight paragraphs.
+
+    With SQL the first eight of each work only, which is what the SQL reads.
+    """
+    p = lib.paragraphs.select("work_id", "number", "text")
+    p = p if first is None else p.filter(F.col("number") <= first)
+    n, w = (F.col("number") - 1) % 8 + 1, F.col("work_id")
     stored = p.filter(~((w % 7 == 0) & (n == 1)) & ~((w % 5 == 0) & (n == 3)))
     text = F.when(n == 2, F.concat(F.lit(" "), F.col("text"))).when((n == 4) & (w % 2 == 0), F.substring(F.col("text"), 1, 12)).when(n == 5, F.concat(F.lit("x"), F.col("text"))).otherwise(F.col("text"))
-    extra = p.filter((w % 9 == 0) & (n == 1)).select("work_id", F.lit(99).alias("number"), "text")
+    extra = p.filter((w % 9 == 0) & (F.col("number") == 1)).select("work_id", F.lit(spare).alias("number"), "text")
     return p, stored.withColumn("text", text).unionByName(extra)
 
 
@@ -122,7 +127,8 @@ def k07(lib: L) -> DataFrame:
 
 @query("k08_token_alignment")
 def k08(lib: L) -> DataFrame:
-    a, b = _source_and_stored(lib)
+    # every paragraph; 0 is the number of none
+    a, b = _source_and_stored(lib, None, 0)
     both = b.withColumnRenamed("text", "stored").join(a.withColumnRenamed("text", "source"), ["work_id", "number"])
     ops = both.select("work_id", "number", F.explode(qa.aligned("stored", "source")).alias("o"))
     return ops.select("work_id", "number", "o.kind", "o.op", "o.stored", "o.source")

@@ -35,9 +35,10 @@ def a03(lib: L) -> DataFrame:
     return lib.paragraphs.filter(F.array_contains(words, "of") & F.array_contains(words, "with")).select("paragraph_id")
 
 
-def _placed_words(lib: L) -> DataFrame:
-    """Words of the first lines of documents, placed on pages as a printer would."""
-    p = lib.paragraphs.filter("number <= 3").select("work_id", "number", F.posexplode(F.split("text", " +")).alias("i", "text")).filter("text <> ''")
+def _placed_words(lib: L, first: int | None = 3) -> DataFrame:
+    """Words of the first lines of documents (None: of all), placed on pages as a printer would."""
+    p = lib.paragraphs if first is None else lib.paragraphs.filter(F.col("number") <= first)
+    p = p.select("work_id", "number", F.posexplode(F.split("text", " +")).alias("i", "text")).filter("text <> ''")
     return p.select(F.col("work_id").alias("page"), (F.col("i") * 10.0).alias("x"), (F.lit(700.0) - F.col("number") * 12 - F.col("i") % 2).alias("y"), F.lit(8.0).alias("w"), "text")
 
 
@@ -48,7 +49,8 @@ def a04(lib: L) -> DataFrame:
 
 @query("a05_two_columns")
 def a05(lib: L) -> DataFrame:
-    words = _placed_words(lib).filter("x < 190")
+    # lines are wrapped at the column's width; only x and the width of a word place it in a column
+    words = _placed_words(lib, None).withColumn("x", F.col("x") % 190)
     right = words.withColumn("x", F.col("x") + 310)
     return rd.with_columns_of_page(words.union(right), 500.0).groupBy("page", "column").agg(F.count("*").alias("words"))
 

@@ -159,3 +159,28 @@ def test_stream_of_events(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert [(r["n"], r["total"]) for r in spark.table("counts").collect()] == [(2, 3.0)]
+
+
+def test_alignment_and_columns_reach_every_paragraph(spark, tmp_path):
+    from folianta.plans import catalog
+
+    long = "\n".join(f"word{i} " + "more " * 25 + "end" for i in range(1, 131))
+    docs = [(9, long), (2, "one\ntwo\nthree\nfour is a line of some length\nfive")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], columns).write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()
+
+    def stored(work, n, text):
+        if (work % 7 == 0 and n == 1) or (work % 5 == 0 and n == 3):
+            return None
+        return " " + text if n == 2 else text[:12] if n == 4 and work % 2 == 0 else "x" + text if n == 5 else text
+
+    want = []
+    for work, text in docs:
+        for n, t in enumerate(text.split("\n"), 1):
+            copy = stored(work, (n - 1) % 8 + 1, t)
+            want += [(work, n, o["kind"], o["op"], o["stored"], o["source"]) for o in quality.align(copy, t)] if copy is not None else []
+    assert max(n for _, n, *_ in want) > 99
+    assert rows(found["k08_token_alignment"](spark, str(tmp_path))) == sorted(want, key=repr)
+    words = [(work, c, len(text.split())) for work, text in docs for c in (0, 1)]
+    assert rows(found["a05_two_columns"](spark, str(tmp_path)).select("page", "column", "words")) == sorted(words, key=repr)
