@@ -1,7 +1,9 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
 A text is normalised to its words and cut into segments: every line, every block of lines
-between blank ones, and the whole text. For a segment with ``a`` distinct bigrams and a
+between blank ones, and the whole text. A licence that no segment reaches is sought in windows,
+any runs of words: paragraphs of a longer text, or a notice within a line. Words that fit
+another licence better don't count for it. For a segment with ``a`` distinct bigrams and a
 template with ``b``, the coefficient 2 |A and B| / (a + b) can't reach the threshold ``t``
 unless t / (2 - t) * b <= a <= (2 - t) / t * b; templates outside those bounds are pruned
 before any bigram is compared. The templates' bigrams form one sorted table, so that segments
@@ -10,6 +12,7 @@ without a common bigram never leave the vectorised part.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,6 +81,81 @@ class Library:
         return int(np.ceil(self.sizes.min() * self.threshold / (2 - self.threshold) - 1e-9))
 
 
+def best_window(grams: np.ndarray, mine: np.ndarray, size: int, high: int) -> tuple[float, int, int]:
+    """Greatest coefficient of a run of ``grams`` against a template of ``size`` bigrams, and its first and last place.
+
+    ``mine`` tells the template's bigrams. A best run begins and ends with one of those, so only such starts are tried,
+    each up to where it has more than ``high`` distinct bigrams or has the whole template.
+    """
+    n = len(grams)
+    order = np.argsort(grams, kind="stable")
+    again = grams[order[1:]] == grams[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][again]] = order[:-1][again]
+    best = (0.0, 0, 0)
+    for i in np.flatnonzero(mine).tolist():
+        reach = 2 * high
+        while True:
+            fresh = before[i : i + reach] < i
+            own, common = np.cumsum(fresh), np.cumsum(fresh & mine[i : i + reach])
+            if i + reach >= n or own[-1] > high or common[-1] == size:
+                break
+            reach *= 2
+        dice = np.where(own <= high, 2 * common / (own + size), 0)
+        j = int(np.argmax(dice))
+        if dice[j] > best[0]:
+            best = (float(dice[j]), i, i + j)
+    return best
+
+
+def windows_in(grams: np.ndarray, templates: list[int], library: Library) -> list[tuple[str, float]]:
+    """Licences of one text by windows. Where windows of different licences overlap, the greater coefficient has them."""
+    high, least = library.bounds()[1], library.threshold - 1e-12
+    queue: list[tuple[float, int, int, int, int, int]] = []
+
+    def seek(t: int, low: int, end: int) -> None:
+        part = grams[low:end]
+        if len(part):
+            dice, i, j = best_window(part, np.isin(part, library.table[library.owners == t]), int(library.sizes[t]), int(high[t]))
+            if dice >= least:
+                heapq.heappush(queue, (-dice, t, low + i, low + j + 1, low, end))
+
+    for t in templates:
+        seek(t, 0, len(grams))
+    held: list[tuple[str, float, int, int]] = []
+    while queue:
+        dice, t, i, j, low, end = heapq.heappop(queue)
+        other = next((x for x in held if x[0] != library.names[t] and x[1] > -dice + 1e-12 and x[2] < j and i < x[3]), None)
+        if other is None:
+            held.append((library.names[t], -dice, i, j))
+        else:
+            seek(t, low, other[2])
+            seek(t, other[3], end)
+    out: dict[str, float] = {}
+    for name, dice, _, _ in held:
+        out[name] = max(out.get(name, 0.0), dice)
+    return list(out.items())
+
+
+def _candidates(first: np.ndarray, known: np.ndarray, at: np.ndarray, hit: np.ndarray, library: Library) -> dict[int, list[int]]:
+    """For each text the templates of which it has, anywhere, the common bigrams that the threshold needs."""
+    places = np.flatnonzero(hit)
+    texts = np.searchsorted(first, places, "right") - 1
+    inside = places + 1 < first[texts + 1]
+    keys = np.unique(texts[inside] * len(known) + at[places[inside]])
+    texts, found = keys // len(known), keys % len(known)
+    _, counts = np.unique(texts, return_counts=True)
+    enough = np.repeat(counts >= library.needed(), counts)
+    if not enough.any():
+        return {}
+    has = np.zeros((len(known), len(library.names)), np.int32)
+    has[np.searchsorted(known, library.table), library.owners] = 1
+    every, starts = np.unique(texts[enough], return_index=True)
+    common = np.add.reduceat(has[found[enough]], starts, axis=0)
+    reached = common >= library.bounds()[0]
+    return {int(x): np.flatnonzero(r).tolist() for x, r in zip(every[reached.any(1)], reached[reached.any(1)], strict=True)}
+
+
 #: Segments of a text, and what ends one.
 SEGMENTS = ("line", "block", "text")
 
@@ -97,7 +175,7 @@ def _groups(found, segment: str) -> np.ndarray:
 
 
 def licenses_in(texts: pa.Array, library: Library) -> list[dict[str, tuple[float, str]]]:
-    """For each text, the best coefficient and its segment of each licence found."""
+    """For each text, the best coefficient and its segment of each licence found; windows count for those without a segment."""
     found = words(texts)
     out: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(found.first) - 1)]
     n = len(found.hashes)
@@ -119,6 +197,11 @@ def licenses_in(texts: pa.Array, library: Library) -> list[dict[str, tuple[float
                 for name, dice in m:
                     if dice > held.get(name, (0.0, ""))[0]:
                         held[name] = (dice, segment)
+    for i, templates in _candidates(found.first, known, at, known[at] == pairs, library).items():
+        if all(library.names[t] in out[i] for t in templates):
+            continue
+        for name, dice in windows_in(bigrams(found.of(i)), templates, library):
+            out[i].setdefault(name, (dice, "window"))
     return out
 
 

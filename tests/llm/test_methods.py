@@ -320,6 +320,36 @@ def test_dice_and_bounds():
     assert split["L"] == (1.0, "block")
 
 
+def test_licences_inside_longer_texts():
+    lib = licenses.Library.of()
+    found = lambda t: licenses.licenses_in(pa.array(["", t, "x"], pa.large_string()), lib)[1]
+    mit = next(t for n, form, t in licenses.TEMPLATES if n == "MIT" and form == "text")
+    code = "\n".join(f"def f{i}(a, b): return a + b * {i}" for i in range(400))
+    blocks = mit.replace(" The above copyright", "\n\nThe above copyright").replace(" THE SOFTWARE IS PROVIDED", "\n\nTHE SOFTWARE IS PROVIDED")
+    assert blocks.count("\n\n") == 2
+    assert found(f"Copyright 2020 A. Person\n\n{blocks}\n\n{code}") == {"MIT": (1.0, "window")}
+    assert found(f"{code}\n\n{blocks}\n\n{code}") == {"MIT": (1.0, "window")}
+    for line in ("Licensed under the MIT License. See LICENSE for details.", "This library is licensed under the MIT License."):
+        assert found(line)["MIT"] == (1.0, "window")
+    assert found(code) == {}
+    # words that fit one licence better aren't another's
+    assert set(found("See the file. This gift is licensed under CC BY-NC 4.0 as you will find.")) == {"CC-BY-NC-4.0"}
+
+
+@given(st.lists(st.integers(0, 9), min_size=2, max_size=40), st.sets(st.integers(0, 9), min_size=2, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_best_window_is_that_of_all_windows(text, template):
+    grams, high = np.array(text, np.uint64), int(len(template) * 1.5)
+    want = 0.0
+    for i in range(len(text)):
+        for j in range(i + 1, len(text) + 1):
+            own = set(text[i:j])
+            if len(own) <= high:
+                want = max(want, 2 * len(own & template) / (len(own) + len(template)))
+    got = licenses.best_window(grams, np.isin(grams, list(template)), len(template), high)
+    assert got[0] == pytest.approx(want)
+
+
 # ---- WARC
 
 
