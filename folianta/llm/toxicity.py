@@ -29,15 +29,17 @@ FACTORS = 4
 TRAIN_ROWS = 20_000
 #: Terms in fewer training texts than this carry no weight.
 MIN_TEXTS = 5
-#: Terms whose share of toxic texts is nearer to the overall share than so many deviations carry no weight.
+#: Terms whose share of toxic texts is nearer to the overall share than so many deviations carry no linear weight.
 SCREEN = 4.0
+#: L2 on the interaction vectors of those terms, so that only pairs of some weight outgrow chance.
+DECAY = 0.75
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.3
 
 
 @dataclass
 class Model:
-    """bias, and for each term with a weight its place, linear weight and interaction vector."""
+    """bias, and for each term frequent enough its place, linear weight and interaction vector."""
 
     bias: float
     place: np.ndarray
@@ -76,16 +78,21 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, factors: int =
     place = np.full(DIMENSIONS, -1, np.int32)
     counts = np.bincount(terms, minlength=DIMENSIONS) if len(terms) else np.zeros(DIMENSIONS, np.int64)
     # A screen by the binomial z-score of label 1 among a term's texts: among tens of thousands
-    # of terms without any bearing, weights learned from chance would drown the others.
+    # of terms without any bearing, weights learned from chance would drown the others. Such terms
+    # keep an interaction vector: a pair can tell where neither of its terms does.
     toxic = np.bincount(terms, labels[rows], minlength=DIMENSIONS) if len(terms) else counts
     z = (toxic - counts * prior) / np.sqrt(np.maximum(counts, 1) * prior * (1 - prior))
-    kept = np.flatnonzero((counts >= MIN_TEXTS) & (np.abs(z) >= SCREEN))
+    kept = np.flatnonzero(counts >= MIN_TEXTS)
+    alone = (np.abs(z) >= SCREEN)[kept]
+    decay = np.where(alone, 0.02, DECAY)
     if not len(kept) or positives in (0, n):
         return Model(bias, place, np.zeros(0), np.zeros((0, factors)))
     place[kept] = np.arange(len(kept))
     use = place[terms] >= 0
-    rows, ids = rows[use], place[terms[use]].astype(np.int64)
-    starts = np.searchsorted(rows, np.arange(n + 1))
+    rows, ids = rows[use], place[terms[use]]
+    del terms, use
+    starts = np.searchsorted(rows, np.arange(n + 1, dtype=rows.dtype))
+    del rows
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), factors))
     gw, gv, gb = np.full(len(kept), 1e-2), np.full((len(kept), factors), 1e-1), 1.0
@@ -112,10 +119,10 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, factors: int =
             gw[touched] += g * g
             step = rate / np.sqrt(gw[touched])
             moved = w[touched] - step * g
-            w[touched] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * 0.01)
+            w[touched] = np.where(alone[touched], np.sign(moved) * np.maximum(0, np.abs(moved) - step * 0.01), 0)
             d = e[:, None] * (sums[local] - vt)
             for f in range(factors):
-                gf = np.bincount(inverse, d[:, f], len(touched)) / len(some) * 32 + 0.02 * v[touched, f]
+                gf = np.bincount(inverse, d[:, f], len(touched)) / len(some) * 32 + decay[touched] * v[touched, f]
                 gv[touched, f] += gf * gf
                 v[touched, f] -= 0.3 * rate / np.sqrt(gv[touched, f]) * gf
             gb += float(error.mean()) ** 2 * 32
@@ -158,9 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     every = np.frombuffer(column.buffers()[2], np.int32) if column.buffers()[2] else np.zeros(0, np.int32)
     lengths = np.diff(offsets)
     order = np.lexsort((lengths, got.column("doc_id").to_numpy()))  # the order of arrival mustn't matter
-    rows = np.repeat(np.arange(len(order)), lengths[order])
-    first = np.repeat(offsets[order] - np.concatenate([[0], np.cumsum(lengths[order])[:-1]]), lengths[order])
-    return fit(rows, every[np.arange(len(rows)) + first].astype(np.int64), got.column("toxic").to_numpy()[order].astype(float))
+    marks = got.column("toxic").to_numpy()[order].astype(float)
+    every = np.concatenate([every[offsets[i] : offsets[i + 1]] for i in order])
+    lengths = lengths[order]
+    del got, column, offsets  # the driver is small, and fitting needs none of them
+    return fit(np.repeat(np.arange(len(order), dtype=np.int32), lengths), every, marks)
 
 
 def _scorer(shared):

@@ -255,6 +255,31 @@ def test_pairs_that_additive_weights_miss():
     assert ((score >= 0.5) == (labels == 1)).mean() > 0.97
 
 
+def test_pairs_of_terms_that_are_neutral_alone():
+    def made(seed):
+        rng = np.random.default_rng(seed)
+        rows, terms, labels, both = [], [], [], []
+        for i in range(3000):
+            a, b = rng.random() < 0.3, rng.random() < 0.3
+            words = ({1} if a else set()) | ({2} if b else set()) | {int(x) for x in rng.integers(10, 200, 5)}
+            rows += [i] * len(words)
+            terms += sorted(words)
+            # three in ten texts are toxic, with either term or without
+            labels.append(float(rng.random() < (1 if a and b else 0 if a or b else 3 / 7)))
+            both.append(a + b)
+        return np.array(rows), np.array(terms), np.array(labels), np.array(both)
+
+    rows, terms, labels, _ = made(0)
+    for t in (1, 2):
+        held = labels[rows[terms == t]]
+        assert abs(held.mean() - labels.mean()) < toxicity.SCREEN * np.sqrt(labels.var() / len(held))
+    model = toxicity.fit(rows, terms, labels)
+    rows, terms, labels, both = made(1)
+    at = model.place[terms]
+    score = model.scores(rows[at >= 0], at[at >= 0], 3000)
+    assert (score[both == 2] >= 0.5).mean() > 0.95 and (score[both == 1] < toxicity.THRESHOLD).mean() > 0.95
+
+
 def test_held_out_rows_never_train(spark):
     ids = spark.range(2000).select(F.col("id"), toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in ids)
