@@ -29,7 +29,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token weights follow the targets of source, language and topic."""
+    """A sample drawn towards the targets of source, language and topic.
+
+    Rates above one count as one here, so small categories stay below their targets; see the README for figures.
+    """
     return mixing.sample(docs)
 
 

@@ -124,6 +124,6 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: in
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """The drawn rows of ``docs``, with its columns."""
+    """The drawn rows of ``docs``, with its columns; each once and without ``weight``, so rates above one fall short of the targets."""
     chosen = mix(docs, targets, sweeps).filter("sampled").select(F.col("doc_id").alias("__folianta_id")).distinct()
     return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__folianta_id")), "left_semi")
