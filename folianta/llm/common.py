@@ -10,9 +10,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python; with texts of 3 KB about 6 MB.
 BATCH_ROWS = 2000
+#: A key with more than one in so many of the rows is hot; so there are fewer hot keys than this.
+HOT_SHARE = 4096
+BATCH_BYTES = 16 << 20
 #: Bytes of text that a vectorised step works on at once.
 SLICE_BYTES = 4 << 20
 
@@ -45,6 +49,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(rows: DataFrame, side: DataFrame, key: str, n: str, *by: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``side`` with a ``salt`` that splits hot keys, to be joined on both.
+
+    ``side`` has one row per key with ``n``, the rows that have it. Rows of a hot key get one of
+    n * HOT_SHARE / total salts by their columns ``by``, and its side row is repeated once for each. The
+    list of hot keys, HOT_SHARE at most, is the only thing broadcast.
+    """
+    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    bound = max(8, -(-int(total) // HOT_SHARE))
+    salts = F.when(F.col(n) > bound, F.ceil(F.col(n) / bound).cast("int"))
+    hot = side.select(F.col(key), salts.alias("__salts")).filter("__salts IS NOT NULL")
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    return salted, side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
+
+
+def joined_by_hot_key(rows: DataFrame, side: DataFrame, key: str, n: str, how: str, *by: str) -> DataFrame:
+    """``rows`` joined with ``side`` (one row per key, ``n``: rows that have it), hot keys split over many tasks."""
+    side = cut(side)
+    a, b = spread(rows, side, key, n, *by)
+    return a.join(b, [key, "salt"], how).drop("salt")
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -55,6 +81,8 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10000:
         spark.conf.set(key, str(BATCH_ROWS))
+    # a batch of long texts ends at so many bytes
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_array(column: pa.Array) -> pa.Array:

@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folianta.llm.common import cut
 
-#: Graphs of at most so many directed edges (16 bytes each), which is counted, are solved in one partition without a shuffle.
-SMALL_EDGES = 1_000_000
+#: Graphs of at most so many directed edges (16 bytes each), which is counted, are solved by one task.
+SMALL_EDGES = 1 << 18
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a small graph, by union-find."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            up.setdefault(x, x)
+            up.setdefault(y, y)
+            a, b = find(x), find(y)
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64())], names=["node", "root"])
 
 
 def components(edges: DataFrame, a: str, b: str, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -21,20 +44,16 @@ def components(edges: DataFrame, a: str, b: str, small_edges: int = SMALL_EDGES)
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     both = cut(e.union(e.select("y", "x")).distinct())
-    small = both.count() <= small_edges
-
-    def kept(df: DataFrame) -> DataFrame:
-        return cut(df).coalesce(1) if small else cut(df)
-
-    both = both.coalesce(1) if small else both
-    labels = kept(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("root")))
+    if both.count() <= small_edges:
+        return cut(both.coalesce(1).mapInArrow(_united, "node long, root long"))
+    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        step = kept(step)
+        step = cut(step)
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
         labels_next = step.join(jump, "root", "left").select("node", F.coalesce(F.least("root", "far"), "root").alias("root"), "was")
-        labels_next = kept(labels_next)
+        labels_next = cut(labels_next)
         changed = labels_next.filter("root <> was").limit(1).count()
         labels = labels_next.select("node", "root")
         if not changed:

@@ -1,10 +1,12 @@
 """Near-duplicates by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
-Weights. A text is the multiset of its runs of five words; a shingle weighs tf * idf. The
-document frequencies of all documents are kept in a fixed table of counters that shingles
-hash into, so the table has the same size for any corpus; what a counter gets from chance
-grows with the corpus as everything else, so idf (smoothed, 1 + ln((1+N)/(1+df))) keeps its
-meaning: it falls for passages that many documents share and is flat for the rest.
+Weights. A text is the multiset of its runs of five words, as 32-bit ids; a shingle weighs
+tf * idf with idf = 1 + ln((1 + N) / (1 + max(df, t))), which is 1 at least. Document frequencies
+are counted for every shingle, once for each text, in a table dealt over the cluster; exact
+counts of those in ``t`` texts or more reach the executors, and rarer ones weigh as those of
+``t``. ``t`` is the number of all (text, shingle) pairs over ``FREQUENT``, so that at most
+``FREQUENT`` shingles are kept: 1 (all counts exact) for small corpora, and else the same
+share of the texts, about one in 10,000 for texts of 2.5 KB, however large the corpus.
 
 Sketch. ICWS (Ioffe 2010): a sample agrees between two texts with a probability equal to
 their weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` samples: a pair at 0.8 meets in
@@ -15,26 +17,30 @@ nodes are compared with its smallest node, by exact weighted Jaccard over whole
 found so far make components. A node of a bucket that is in another component than the
 bucket's leader is compared further, with those nodes of other components that it can still
 be linked to: the distance 1 - J is a metric, so the distances from the leader rule out most,
-and their sketches most of the rest, before whole texts are compared, likeliest first; what is
-connected meanwhile isn't compared. Buckets of up to ``LOCAL_BYTES`` are finished so within one
-task; larger ones take another round with a new leader first. No group is capped, and none is
-expanded into its pairs: only links between components leave a task.
+and their sketches most of the rest (a link is lost there with a chance of one in a million),
+before whole texts are compared, likeliest first; what is connected meanwhile isn't compared.
+Buckets of up to ``LOCAL_BYTES`` are finished so within one task; larger ones take another
+round with a new leader first. No group is capped, and none is expanded into its pairs: only
+links between components leave a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folianta.llm.common import cut, small_batches, slices
+from folianta.llm.common import cut, joined_by_hot_key, small_batches, slices, spread
 from folianta.llm.components import components
-from folianta.llm.wordkernel import mix, shingles, words
+from folianta.llm.wordkernel import Words, mix, shingles, words
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -42,10 +48,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and samples in each.
 BANDS, ROWS = 12, 3
-#: Counters of the document-frequency table, and rows it is dealt in.
-COUNTERS, PARTS = 1 << 18, 64
+#: Most shingles whose document frequency is kept: 20 MB, whatever the corpus.
+FREQUENT = 1 << 22
+#: Ids that a task gathers before it sorts and sends them.
+GATHERED = 1 << 21
 #: Buckets with at most so many bytes of content are finished within one task; larger ones take another round first.
-LOCAL_BYTES = 96 << 20
+LOCAL_BYTES = 32 << 20
 
 _K = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -69,12 +77,38 @@ def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[at], np.diff(np.append(at, len(ids)))
 
 
-def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.log((1 + n) / (1 + counts))).astype(np.float32)
+@dataclass
+class Idf:
+    """Inverse document frequency of shingles: ``keys`` in rising order with ``values``; all others have ``rest``."""
 
+    keys: np.ndarray
+    values: np.ndarray
+    rest: np.float32
 
-def weights(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return tf.astype(np.float32) * idf[ids & np.uint32(COUNTERS - 1)]
+    def __post_init__(self) -> None:
+        self.mask = np.uint32((1 << max(10, (4 * len(self.keys)).bit_length())) - 1)
+        self.known = np.zeros(int(self.mask) + 1, bool)
+        self.known[self.keys & self.mask] = True
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        out = np.full(len(ids), self.rest, np.float32)
+        if len(self.keys):
+            maybe = np.flatnonzero(self.known[ids & self.mask])
+            at = np.minimum(np.searchsorted(self.keys, ids[maybe]), len(self.keys) - 1)
+            hit = self.keys[at] == ids[maybe]
+            out[maybe[hit]] = self.values[at[hit]]
+        return out
+
+
+def idf_of(ids: np.ndarray, counts: np.ndarray, n: int, least: int) -> Idf:
+    """From the counts of all shingles in ``least`` texts or more (and maybe others), and the number of texts."""
+    ids, counts = ids[counts >= least], counts[counts >= least]
+    order = np.argsort(ids)
+    return Idf(ids[order], (1 + np.log((1 + n) / (1 + counts[order]))).astype(np.float32), np.float32(1 + np.log((1 + n) / (1 + min(least, n)))))
+
+
+def weights(ids: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
+    return tf.astype(np.float32) * idf.of(ids)
 
 
 def icws(ids: np.ndarray, w: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -135,42 +169,102 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, n = np.zeros(COUNTERS, np.int32), 0
-    for batch in batches:
-        for part in slices(batch, "text"):
-            found = words(part.column("text"))
-            n += part.num_rows
-            distinct = [counted(ids_of(found.of(i)))[0] for i in range(part.num_rows)]
-            counts += np.bincount(np.concatenate(distinct) & np.uint32(COUNTERS - 1), minlength=COUNTERS).astype(np.int32)
-    if n:
-        rows = [*np.split(counts, PARTS), np.array([n], np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["part", "counts"])
+def distinct_ids(found: Words) -> np.ndarray:
+    """The ids of many texts, each once for each text that has it."""
+    n = len(found.first) - 1
+    lengths = np.diff(found.first)
+    owner = np.repeat(np.arange(n, dtype=np.uint64), lengths)
+    parts = [np.uint64(i) << np.uint64(32) | ids_of(found.of(i)).astype(np.uint64) for i in np.flatnonzero((lengths > 0) & (lengths < SHINGLE))]
+    if len(owner) >= SHINGLE:
+        inside = np.flatnonzero(owner[: len(owner) - SHINGLE + 1] == owner[SHINGLE - 1 :])
+        parts.append(owner[inside] << np.uint64(32) | ids_of(found.hashes).astype(np.uint64)[inside])
+    return (np.unique(np.concatenate(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if parts else np.zeros(0, np.uint32)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(raw, np.int32).astype(np.int64)
-            sums[part] = sums[part] + x if part in sums else x
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
-
-
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Counters over all documents, and their number. A table of fixed size reaches the driver."""
-    partial = texts.select("text").mapInArrow(_frequencies, "part int, counts binary")
-    got = partial.repartition(PARTS, "part").mapInArrow(_add_up, "part int, counts binary").collect()
-    counts, n = np.zeros(COUNTERS, np.int64), 0
-    size = COUNTERS // PARTS
-    for r in got:
-        x = np.frombuffer(bytes(r["counts"]), np.int64)
-        if r["part"] == PARTS:
-            n += int(x[0])
-        else:
-            counts[r["part"] * size : (r["part"] + 1) * size] += x
-    return counts, n
+def _packed(ids: np.ndarray) -> bytes:
+    """Sorted ids byte by byte, which compresses to about half."""
+    return ids.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in rising order with the sums of their counts."""
+    order = np.argsort(ids, kind="stable")
+    ids, counts = ids[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return ids[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+_COUNTS = "bucket int, ids binary, counts binary"
+
+
+def _count_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    bucket, ids, counts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "ids", "counts"])
+
+
+def _frequencies(bits: int):
+    """Ids of each bucket (their first ``bits`` bits) with counts, one for each text."""
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        ids, counts = counted(np.concatenate(held))
+        ends = np.searchsorted(ids >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
+        pairs = [(k, a, b) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+        return _count_batch([(k, _packed(ids[a:b]), counts[a:b].astype(np.uint32).tobytes()) for k, a, b in pairs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                held.append(distinct_ids(words(part.column("text"))))
+                n += len(held[-1])
+                if n >= GATHERED:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
+
+    return run
+
+
+def _frequent(least: int):
+    """Of each bucket the ids with a count of ``least`` or more; and bucket -1 with the sum of all counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for _, held in _by_key(batches, ("ids", "counts"), "bucket"):
+            ids, counts = _summed(np.concatenate([_unpacked(r[0]) for r in held]), np.concatenate([np.frombuffer(r[1], np.uint32) for r in held]).astype(np.int64))
+            total += int(counts.sum())
+            some = counts >= least
+            if some.any():
+                yield _count_batch([(0, ids[some].tobytes(), counts[some].tobytes())])
+        if total:
+            yield _count_batch([(-1, b"", np.array([total], np.int64).tobytes())])
+
+    return run
+
+
+def document_frequencies(texts: DataFrame, frequent: int = FREQUENT) -> Idf:
+    """The idf of all shingles; at most some multiples of ``frequent`` counts reach the driver.
+
+    A shingle occupies five bytes of text or so, and two at least; a first bound from the
+    number of bytes keeps what is gathered small, the exact number of pairs then sets ``t``.
+    """
+    spark = texts.sparkSession
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    least = max(1, int(size) // (8 * frequent))
+    bits = min(16, max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    partial = texts.select("text").mapInArrow(_frequencies(bits), _COUNTS)
+    got = partial.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(least), _COUNTS).toArrow()
+    raw = {c: got.column(c).to_pylist() for c in ("bucket", "ids", "counts")}
+    total = sum(int(np.frombuffer(c, np.int64)[0]) for b, c in zip(raw["bucket"], raw["counts"], strict=True) if b < 0)
+    some = [i for i, b in enumerate(raw["bucket"]) if b >= 0]
+    ids = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(raw["ids"][i], np.uint32) for i in some)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(raw["counts"][i], np.int64) for i in some)])
+    return idf_of(ids, counts, n, max(least, math.ceil(total / frequent), 1))
 
 
 def _sketcher(shared):
@@ -191,7 +285,7 @@ def _sketcher(shared):
                     nodes.append(node)
                     keys.append(done[node][0])
                     sketches.append(done[node][1])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "node", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "hash", "node", "bands", "sketch"])
 
     return run
 
@@ -210,26 +304,28 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids_out, pa.binary()), pa.array(tf_out, pa.binary())], names=["node", "ids", "tf"])
 
 
-def unpack(ids: bytes, tf: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unpack(ids: bytes, tf: bytes, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Ids and weights of a node's content."""
     i = np.frombuffer(ids, np.uint32)
     return i, weights(i, np.frombuffer(tf, np.uint32) if tf else np.ones(len(i), np.uint32), idf)
 
 
 def _comparer(shared):
+    """Similarity of each node to its leader, from groups (leader, salt) that begin with the leader's own content."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
-
-        last, right = None, None
+        right = None
         for batch in batches:
-            names = ("node", "leader", "ids", "tf", "leader_ids", "leader_tf")
-            a, b, *raw = (batch.column(x).to_pylist() for x in names)
-            sims = []
-            for leader, ids, tf, lids, ltf in zip(b, *raw, strict=True):
-                if leader != last:
-                    last, right = leader, unpack(lids, ltf, idf)
-                sims.append(weighted_jaccard(unpack(ids, tf, idf), right))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader"), pa.array(sims, pa.float64())], names=["node", "leader", "sim"])
+            out = []
+            for leader, member, node, ids, tf in zip(*(batch.column(x).to_pylist() for x in ("leader", "member", "node", "ids", "tf")), strict=True):
+                if not member:
+                    right = unpack(ids, tf, idf)
+                else:
+                    out.append((node, leader, weighted_jaccard(unpack(ids, tf, idf), right)))
+            if out:
+                a, b, sims = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], names=["node", "leader", "sim"])
 
     return run
 
@@ -246,8 +342,8 @@ class Bucket:
         self.sketches = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, _K)
         self.bands = np.array(bands, np.int64)
         self.band = int(np.flatnonzero(self.bands[0] == key)[0])
-        # linked texts agree in fewer samples than this (3.5 deviations) with a chance of 3 in 10,000 at most
-        self.least = int(np.floor(_K * similarity - 3.5 * np.sqrt(_K * similarity * (1 - similarity))))
+        # linked texts agree in fewer samples than this (5 deviations) with a chance of one in a million or so
+        self.least = max(0, int(np.floor(_K * similarity - 5 * np.sqrt(_K * similarity * (1 - similarity)))))
         self.up = {r: r for r in self.roots}
 
     def find(self, x: int) -> int:
@@ -287,11 +383,11 @@ class Bucket:
                     yield self.nodes[i], self.nodes[j]
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], name: str = "key") -> Iterator[tuple[int, list[tuple]]]:
     """Groups of rows with the same key, from rows in the order of their keys."""
     key, held = None, []
     for b in batches:
-        for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", *columns)), strict=True):
+        for k, *row in zip(*(b.column(c).to_pylist() for c in (name, *columns)), strict=True):
             if k != key:
                 if held:
                     yield key, held
@@ -332,35 +428,41 @@ def _linking(similarity: float, shared):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local_bytes: int = LOCAL_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, kept.
+def _identified(docs: DataFrame) -> list:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")]
 
-    A class is a connected component of links between texts of weighted Jaccard similarity
-    ``similarity`` or more. Null text counts as empty; texts without words are one class; texts
-    shorter than a shingle are one shingle. Null ids lose to others; repeated rows share a
-    class and count each. Other columns are ignored; an empty table gives no rows.
-    """
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY, local_bytes: int = LOCAL_BYTES, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, hash (of the text), class_id, class_size and kept of each row; see ``near_duplicates``."""
     spark = docs.sparkSession
     small_batches(spark)
-    # a null id needs a value to meet its own text again
-    none = -(2**63)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts, n = document_frequencies(texts)
-    idf = spark.sparkContext.broadcast(idf_table(counts, n))
-    sketched = cut(texts.mapInArrow(_sketcher(idf), "doc_id long, node long, bands array<long>, sketch binary"))
-
+    texts = docs.select(*_identified(docs))
+    idf = spark.sparkContext.broadcast(document_frequencies(texts, frequent))
+    sketched = cut(texts.mapInArrow(_sketcher(idf), "doc_id long, hash long, node long, bands array<long>, sketch binary"))
+    # a node's copies shrink to one row before anything is joined; real ids come before null
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    per_node = cut(sketched.groupBy("node").agg(first.alias("first"), F.count("*").alias("copies")))
+
+    # copies in one input split meet as one row
     members = sketched.select("node", F.explode("bands").alias("key")).distinct()
     shared_keys = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    met = cut(members.join(shared_keys, "key").select("key", "node", "leader"))
+    met = cut(joined_by_hot_key(members, shared_keys, "key", "n", "inner", "node").select("key", "node", "leader"))
     # whole texts of the nodes that meet another, one document for each
     active = met.select("node").distinct()
-    firsts = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(active, "node", "left_semi").select("doc_id").distinct()
-    contents = texts.join(firsts, "doc_id", "left_semi").mapInArrow(_contents, "node long, ids binary, tf binary")
+    firsts = per_node.join(active, "node", "left_semi").select(F.col("first.doc_id").alias("__id"), F.col("first.hash").alias("__hash"))
+    contents = texts.join(firsts, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(_contents, "node long, ids binary, tf binary")
     contents = cut(contents.dropDuplicates(["node"]))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        right = contents.select(F.col("node").alias("leader"), F.col("ids").alias("leader_ids"), F.col("tf").alias("leader_tf"))
-        return cut(pairs.join(contents, "node").join(right, "leader").mapInArrow(_comparer(idf), "node long, leader long, sim double"))
+        """The similarity of each node to its leader, whose content goes out once for every some hundred of its nodes."""
+        pairs = cut(pairs)
+        led = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+        salted, once = spread(pairs, led, "leader", "n", "node")
+        mine = salted.join(contents, "node").select("leader", "salt", F.lit(1).alias("member"), "node", "ids", "tf")
+        heads = once.join(contents.withColumnRenamed("node", "leader"), "leader").select("leader", "salt", F.lit(0).alias("member"), F.col("leader").alias("node"), "ids", "tf")
+        dealt = mine.union(heads).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
+        return cut(dealt.select("leader", "member", "node", "ids", "tf").mapInArrow(_comparer(idf), "node long, leader long, sim double"))
 
     one_each = sketched.select("node", "sketch", "bands").join(active, "node", "left_semi").dropDuplicates(["node"])
     sizes = contents.select("node", (F.octet_length("ids") + F.octet_length("tf") + 400).alias("bytes"))
@@ -372,10 +474,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local_bytes
         # open: outside the component of the bucket's leader; whatever else isn't linked yet lies beside one of these
         own = roots.withColumnRenamed("root", "own")
         lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
-        seen = stars.filter("node <> leader").join(own, "node", "left").join(lead, "leader", "left").join(sims, ["node", "leader"]).join(sizes, "node")
-        rest = seen.select("key", "node", F.coalesce("own", "node").alias("root"), (F.coalesce("own", "node") != F.coalesce("lead", "leader")).alias("open"), "sim", "bytes")
-        whole = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min(F.when(F.col("open"), F.col("node"))).alias("leader"))
-        rest = cut(rest.join(whole.filter("n > 1 AND leader IS NOT NULL"), "key"))
+        beside = sims.join(own, "node", "left").join(sizes, "node")
+        led = sims.groupBy("leader").agg(F.count("*").alias("n")).join(lead, "leader", "left")
+        beside = joined_by_hot_key(beside, led, "leader", "n", "left", "node").drop("n")
+        beside = beside.select("node", "leader", F.coalesce("own", "node").alias("root"), (F.coalesce("own", "node") != F.coalesce("lead", "leader")).alias("open"), "sim", "bytes")
+        seen = stars.filter("node <> leader").join(beside, ["node", "leader"])
+        whole = seen.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min(F.when(F.col("open"), F.col("node"))).alias("next"))
+        rest = cut(joined_by_hot_key(seen.drop("leader"), whole.filter("n > 1 AND next IS NOT NULL"), "key", "n", "inner", "node").withColumnRenamed("next", "leader"))
         here = rest.filter(F.col("total") <= local_bytes).join(one_each, "node").select("key", *Bucket.COLUMNS)
         some = here.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_promising(similarity), "key long, node long")
         full = here.join(some, ["key", "node"]).join(contents, "node").select("key", *Bucket.COLUMNS, "ids", "tf")
@@ -385,18 +490,36 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local_bytes
         if not stars.limit(1).count():
             break
 
-    rows = sketched.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    whole = rows.groupBy("root").agg(F.min(F.when(F.col("doc_id") != none, F.col("doc_id"))).alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1")
-    real = F.when(F.col("doc_id") != none, F.col("doc_id"))
-    out = rows.join(whole, "root", "left").select(
-        real.alias("doc_id"),
-        F.when(F.col("class_size").isNull(), real).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-    )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    of_node = per_node.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
+    classes = of_node.groupBy("root").agg(F.min("first").alias("rep"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes"))
+    of_node = cut(joined_by_hot_key(of_node, classes, "root", "nodes", "inner", "node").select("node", "copies", "rep", "class_size"))
+    rows = joined_by_hot_key(sketched.select("doc_id", "hash", "node"), of_node, "node", "copies", "inner", "doc_id", "hash")
+    kept = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("hash") == F.col("rep.hash"))
+    return rows.select("doc_id", "hash", F.col("rep.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, local_bytes: int = LOCAL_BYTES, frequent: int = FREQUENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, kept.
+
+    A class is a connected component of links between texts of weighted Jaccard similarity
+    ``similarity`` or more. Null text counts as empty; texts without words are one class; texts
+    shorter than a shingle are one shingle. Null ids lose to others; repeated rows (same id
+    and text) share a class, count each and are kept or dropped alike; rows with the same
+    id and other texts are told apart by their texts. Other columns are ignored; an empty table gives no rows.
+    """
+    return classified(docs, similarity, local_bytes, frequent).drop("hash")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: of each class the smallest doc_id."""
-    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("__folianta_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__folianta_id")), "left_semi")
+    """The rows of ``docs`` that stay, with its columns: one of each class, the smallest doc_id.
+
+    Null text counts as empty, and a null id loses to others. Of rows that repeat id and text
+    one stays (the row limit acts before the shuffle). An empty table gives no rows.
+    """
+    kept = classified(docs, similarity).filter("kept").select(F.col("doc_id").alias("__folianta_id"), F.col("hash").alias("__folianta_hash"))
+    _, hashed, _ = _identified(docs)
+    marked = docs.withColumns({"__folianta_a": F.col("doc_id").cast("long"), "__folianta_b": hashed})
+    place = F.row_number().over(Window.partitionBy("__folianta_a", "__folianta_b").orderBy(F.lit(0)))
+    single = marked.withColumn("__folianta_n", place).filter("__folianta_n = 1")
+    same = F.col("__folianta_a").eqNullSafe(F.col("__folianta_id")) & (F.col("__folianta_b") == F.col("__folianta_hash"))
+    return single.join(kept, same, "left_semi").drop("__folianta_a", "__folianta_b", "__folianta_n")

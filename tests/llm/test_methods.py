@@ -98,13 +98,14 @@ def test_samples_agree_as_similarity_says():
     assert abs(np.mean(agree) - np.mean(true)) < 0.02
 
 
-def brute_classes(documents: dict[int, str]) -> dict[int, int]:
+def brute_classes(documents: dict[int, str], least: int = 1) -> dict[int, int]:
+    """Links of all pairs by true document frequencies, those below ``least`` taken as ``least``."""
     ids = sorted(documents)
     found = wordkernel.words(pa.array([documents[i] for i in ids], pa.large_string()))
     sets = [neardup.counted(neardup.ids_of(found.of(k))) for k in range(len(ids))]
     nodes = [neardup.node_of(found.of(k)) for k in range(len(ids))]
-    every = np.concatenate([s[0] for s in sets]) & np.uint32(neardup.COUNTERS - 1)
-    idf = neardup.idf_table(np.bincount(every, minlength=neardup.COUNTERS), len(ids))
+    every, counts = np.unique(np.concatenate([s[0] for s in sets]), return_counts=True)
+    idf = neardup.idf_of(every, counts, len(ids), least)
     weighted = [(a, neardup.weights(a, tf, idf)) for a, tf in sets]
     up = list(range(len(ids)))
 
@@ -147,15 +148,70 @@ def test_classes_are_those_of_all_pairs(spark):
 
 def test_buckets_too_large_for_a_task(spark):
     """They take further rounds with a new leader, with the same result."""
-    words = [f"w{i}" for i in range(60)]
+    words = [f"w{i}" for i in range(90)]
     texts = {}
-    for i in range(4):  # neighbours are linked, others aren't
+    for i in range(3):  # neighbours are linked, others aren't
         texts[i] = " ".join(words)
-        words[12 * i + 6] = f"x{i}"
+        words[30 * i + 4] = f"x{i}"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, local_bytes=0).collect()} == brute_classes(texts)
 
 
+def test_document_frequencies_are_true(spark):
+    texts = [*variants().values(), "a b", "a b", "", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = wordkernel.words(pa.array(texts, pa.large_string()))
+    per_text = [neardup.counted(neardup.ids_of(found.of(k)))[0] for k in range(len(texts))]
+    ids, counts = np.unique(np.concatenate(per_text), return_counts=True)
+    for frequent in (1 << 22, 500):  # the second keeps only shingles of several texts
+        got = neardup.document_frequencies(df, frequent)
+        least = -(-int(counts.sum()) // frequent)
+        want = neardup.idf_of(ids, counts, len(texts), least)
+        assert len(got.keys) <= frequent and np.array_equal(got.keys, want.keys)
+        assert np.allclose(got.of(ids), want.of(ids)) and got.of(ids).min() >= 1
+
+
+def test_classes_with_shared_weights_of_rare_shingles(spark):
+    texts = variants(8)
+    total = sum(len(set(neardup.ids_of(wordkernel.words(pa.array([t])).hashes))) for t in texts.values())
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, frequent=total // 3).collect()}
+    assert got == brute_classes(texts, -(-total // (total // 3)))
+
+
+def test_very_long_texts(spark):
+    """Texts of a million words: weights stay positive, unlike texts have other sketches, near ones meet."""
+    rng = np.random.default_rng(3)
+    words = lambda: rng.integers(0, 50_000, 1_000_000)
+    a, b = words(), words()
+    near = a.copy()
+    near[rng.integers(0, len(a), 2_000)] = 1
+    texts = {i: " ".join(map(str, x)) for i, x in enumerate((a, b, near))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    idf = neardup.document_frequencies(df)
+    sets = [neardup.counted(neardup.ids_of(wordkernel.words(pa.array([t])).hashes)) for t in texts.values()]
+    weighted = [neardup.weights(ids, tf, idf) for ids, tf in sets]
+    assert all(np.isfinite(w).all() and w.min() >= 1 for w in weighted)
+    one, two = (neardup.icws(ids[:40_000], w[:40_000]) for (ids, _), w in zip(sets[:2], weighted, strict=False))
+    assert (one == two).mean() < 0.1
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+@pytest.mark.parametrize("local_bytes", [1 << 14, 1 << 30])
+def test_links_of_real_texts(spark, local_bytes):
+    """On the driver's documents the classes are those of all pairs, whichever way buckets are finished."""
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["doc_id", "text"]).to_pylist()
+    texts = {r["doc_id"]: r["text"] or "" for r in rows}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), local_bytes=local_bytes).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_one_row_of_each_stays(spark):
+    rows = [(1, "same words in this text here")] * 3 + [(2, "same words in this text here"), (None, "same words in this text here"), (1, "another text of some six words"), (None, "lone"), (None, "lone")]
+    out = neardup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(1, rows[0][1]), (1, rows[5][1]), (None, "lone")], key=repr)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long")
