@@ -15,7 +15,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40, map_path=sharding.map_path_of(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,8 @@ def _op5_sql() -> str:
     draw = "CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0"
     return "WITH " + ",\n".join(steps) + f"""
 SELECT doc_id, r.source, r.lang, r.topic, tokens, round(least(coalesce(p, 1.0), 1.0), 6) AS probability,
-       round(greatest(coalesce(p, 1.0), 1.0), 6) AS weight, {draw} < coalesce(p, 1.0) AS sampled
+       round(greatest(coalesce(p, 1.0), 1.0), 6) AS weight, {draw} < coalesce(p, 1.0) AS sampled,
+       CAST(floor(coalesce(p, 1.0)) AS BIGINT) + CAST({draw} < coalesce(p, 1.0) - floor(coalesce(p, 1.0)) AS BIGINT) AS copies
 FROM r LEFT JOIN p ON r.source = p.source AND r.lang = p.lang AND r.topic = p.topic"""
 
 

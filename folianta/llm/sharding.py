@@ -2,12 +2,14 @@
 
 A record hashes into one of ``slots`` virtual slots for good. Bytes are summed per slot (a
 table of fixed size, however large the corpus), and a versioned map deals slots to shards,
-heaviest first, each to the lightest shard. Rebalancing edits the map: a new version moves
-as few slots as bring the shards back to nearly equal bytes; records never rehash.
+heaviest first, each to the lightest shard. Maps are stored, one folder per version. When
+records have come or gone, the newest stored map is edited: the next version moves a few
+slots, as many as bring the shards back to nearly equal bytes; records never rehash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from dataclasses import dataclass, field, replace
@@ -17,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folianta.llm.common import cut
+from folianta.llm.common import cut, shared_dir
 
 #: Virtual slots; fixed for the life of a corpus.
 SLOTS = 8192
+#: Share by which the heaviest shard may exceed the mean before slots move.
+TOLERANCE = 0.002
 #: Bytes counted for a record besides its text.
 OVERHEAD = 16
 
@@ -51,7 +55,7 @@ class SlotMap:
             out[shard] += per_slot.get(slot, 0)
         return out
 
-    def rebalance(self, per_slot: dict[int, int], shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
+    def rebalance(self, per_slot: dict[int, int], shards: int | None = None, tolerance: float = TOLERANCE) -> SlotMap:
         """The next version for new weights or another number of shards.
 
         Slots of shards that go away are dealt again; then slots move from the heaviest to
@@ -108,9 +112,23 @@ class SlotMap:
         return SlotMap(row["map_version"], row["shards"], tuple(row["shard_of"]), tuple(row["moved"]))
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record; null keys share one."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\0null"))), F.lit(slots)).cast("int")
+    @staticmethod
+    def newest(spark: SparkSession, path: str) -> SlotMap | None:
+        """The newest stored version, or None where nothing is stored yet."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            return SlotMap.load(spark, path)
+        except (AnalysisException, LookupError) as e:
+            if isinstance(e, AnalysisException) and e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+
+def slot_of(key: Column, *more: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record by its key and what else tells it apart; null is a value like others."""
+    text = F.coalesce(key.cast("string"), F.lit("\0null"))
+    return F.pmod(F.xxhash64(text, *more), F.lit(slots)).cast("int")
 
 
 def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
@@ -121,11 +139,14 @@ def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot of each row."""
     text = F.col("text").cast("string")
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    # a record without an id has no identity to be found by; its place in the read spreads a hot group of them
+    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
     return docs.select(
         F.col("doc_id").cast("long"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of(F.col("doc_id"), slots).alias("vslot"),
+        crc.alias("text_crc32"),
+        slot_of(F.col("doc_id"), crc, lone, slots=slots).alias("vslot"),
     )
 
 
@@ -134,7 +155,7 @@ def assign(records: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> Dat
 
     The place is the number of rows in the shard's earlier slots, known from the slot table,
     plus the row's rank in its own slot: thousands of small windows, none over a shard.
-    The map goes out as one array literal of fixed size.
+    The map is broadcast: one row for each slot, a fixed number.
     """
     offsets, seen = [0] * len(slot_map.shard_of), [0] * slot_map.shards
     for slot, shard in enumerate(slot_map.shard_of):
@@ -149,23 +170,39 @@ def assign(records: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> Dat
     return ranked.join(F.broadcast(lookup), "vslot").withColumn("slot", (F.col("offset") + F.col("place") - 1).cast("long")).drop("place", "offset")
 
 
+def current_map(spark: SparkSession, weights: dict[int, int], slots: int, shards: int, map_path: str | None) -> SlotMap:
+    """The map to use: the newest stored one, edited and stored as the next version where the weights ask for it, or a new one."""
+    held = SlotMap.newest(spark, map_path) if map_path else None
+    if held is not None and len(held.shard_of) != slots:
+        raise ValueError(f"the stored map has {len(held.shard_of)} slots, not {slots}; the number of slots is fixed for life")
+    made = SlotMap.build(weights, slots, shards) if held is None else held.rebalance(weights, shards)
+    if held is not None and made.shard_of == held.shard_of and made.shards == held.shards:
+        return held
+    if map_path:
+        made.save(spark, map_path)
+    return made
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per row of ``docs`` under the law ``bytes``: doc_id, size, text_crc32, law, shard,
     slot (place in the shard, from 0 without gaps), grown_shard (null under this law), vslot, map_version.
 
-    Null text has size 16. Null ids share a virtual slot; repeated ids stay together and get
-    places of their own. Other columns are ignored; an empty table gives no rows. With
-    ``map_path`` the map is stored there as its next version.
+    The slot is that of id and text; rows without an id are spread by their place in the read. Null text has size
+    16. Rows that repeat id and text stay together and get places of their own. Other columns are ignored;
+    an empty table gives no rows. With ``map_path`` the newest map stored there is rebalanced for the
+    new weights and stored as the next version if any slot moved; the first run stores version 1.
     """
     spark = docs.sparkSession
     records = cut(sized(docs, slots))
     loads = slot_loads(records)
-    weights = {k: v[0] for k, v in loads.items()}
-    made = SlotMap.build(weights, slots, shards)
-    if map_path:
-        made.save(spark, map_path)
+    made = current_map(spark, {k: v[0] for k, v in loads.items()}, slots, shards, map_path)
     out = assign(records, made, {k: v[1] for k, v in loads.items()})
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").cast("long").alias("vslot"), F.lit(made.version).alias("map_version"),
     )
+
+
+def map_path_of(spark: SparkSession, sf_dir: str, corpus: str) -> str:
+    """Where the maps of a corpus are stored: a folder of the shared one, named by the corpus and its path."""
+    return f"{shared_dir(spark).rstrip('/')}/slot-maps/{corpus}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
