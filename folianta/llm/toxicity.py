@@ -4,7 +4,9 @@ Each text is the set of its hashed words. The score is the logistic of
 ``b + sum w_i + sum_{i<j} <v_i, v_j>``: beside additive weights, every pair of terms has an
 interaction, the product of two short learned vectors, so that an insult next to a mention
 of a group can count for more than both alone. Training runs on the driver over a bounded
-sample of labelled rows; scoring is one vectorised pass over every whole text.
+sample of labelled rows; scoring is one vectorised pass over every whole text. Terms without
+any bearing of their own have a vector where rows that didn't train it bear it out, so that pairs
+of terms that are neutral alone count too, and chance doesn't.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folianta.llm.common import small_batches, slices
+from folianta.llm.common import cut, small_batches, slices
 from folianta.llm.wordkernel import words
 
 #: Hashed terms.
@@ -29,10 +31,14 @@ FACTORS = 4
 TRAIN_ROWS = 20_000
 #: Terms in fewer training texts than this carry no weight.
 MIN_TEXTS = 5
-#: Terms whose share of toxic texts is nearer to the overall share than so many deviations carry no linear weight.
+#: At most about so many bytes of hashed terms train the model.
+TRAIN_BYTES = 64 << 20
+#: Terms whose share of toxic texts is nearer to the overall share than so many deviations have no bearing alone.
 SCREEN = 4.0
-#: L2 on the interaction vectors of those terms, so that only pairs of some weight outgrow chance.
-DECAY = 0.75
+#: The other terms keep their weights if their interactions explain what is left on unseen rows, by so many deviations.
+EVIDENCE = 4.0
+#: L2 on the vectors: of terms with a bearing alone, and of the others while evidence for them is sought.
+DECAY, SEEK_DECAY = 0.02, 0.75
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.3
 
@@ -66,41 +72,20 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return keys // DIMENSIONS, keys % DIMENSIONS, n
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, factors: int = FACTORS, epochs: int = 20, seed: int = 7) -> Model:
-    """Adagrad on the logistic loss, with L1 on the linear weights and L2 on the vectors.
+def _descend(starts: np.ndarray, ids: np.ndarray, labels: np.ndarray, some_rows: np.ndarray, alone: np.ndarray, bias: float, factors: int, epochs: int, seed: int, decay: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, linear weights and vectors of the terms 0 to len(alone) - 1, from ``some_rows``.
 
-    One class only, or no rows: a constant score, the smoothed share of label 1.
+    Adagrad on the logistic loss, with L1 on the linear weights, which only ``alone`` terms have, and L2 on the vectors.
     """
-    n = len(labels)
-    positives = float(labels.sum())
-    prior = (positives + 0.02) / (n + 1)
-    bias = float(np.log(prior / (1 - prior)))
-    place = np.full(DIMENSIONS, -1, np.int32)
-    counts = np.bincount(terms, minlength=DIMENSIONS) if len(terms) else np.zeros(DIMENSIONS, np.int64)
-    # A screen by the binomial z-score of label 1 among a term's texts: among tens of thousands
-    # of terms without any bearing, weights learned from chance would drown the others. Such terms
-    # keep an interaction vector: a pair can tell where neither of its terms does.
-    toxic = np.bincount(terms, labels[rows], minlength=DIMENSIONS) if len(terms) else counts
-    z = (toxic - counts * prior) / np.sqrt(np.maximum(counts, 1) * prior * (1 - prior))
-    kept = np.flatnonzero(counts >= MIN_TEXTS)
-    alone = (np.abs(z) >= SCREEN)[kept]
-    decay = np.where(alone, 0.02, DECAY)
-    if not len(kept) or positives in (0, n):
-        return Model(bias, place, np.zeros(0), np.zeros((0, factors)))
-    place[kept] = np.arange(len(kept))
-    use = place[terms] >= 0
-    rows, ids = rows[use], place[terms[use]]
-    del terms, use
-    starts = np.searchsorted(rows, np.arange(n + 1, dtype=rows.dtype))
-    del rows
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), factors))
-    gw, gv, gb = np.full(len(kept), 1e-2), np.full((len(kept), factors), 1e-1), 1.0
+    n = len(alone)
+    w, v = np.zeros(n), rng.normal(0, 0.02, (n, factors))
+    gw, gv, gb = np.full(n, 1e-2), np.full((n, factors), 1e-1), 1.0
     lengths = np.diff(starts)
     for epoch in range(epochs):
-        order = rng.permutation(n)
+        order = rng.permutation(some_rows)
         rate = 0.3 if epoch < epochs - 3 else 0.1
-        for at in range(0, n, 512):
+        for at in range(0, len(order), 512):
             some = order[at : at + 512]
             size = lengths[some]
             if not size.sum():
@@ -127,7 +112,84 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, factors: int =
                 v[touched, f] -= 0.3 * rate / np.sqrt(gv[touched, f]) * gf
             gb += float(error.mean()) ** 2 * 32
             bias -= rate / np.sqrt(gb) * float(error.mean())
-    return Model(float(bias), place, w, v)
+    return float(bias), w, v
+
+
+def _compact(starts: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with the terms of the mask ``keep`` only, renumbered."""
+    use = keep[ids]
+    ends = np.concatenate([[0], np.cumsum(use)])
+    return ends[starts], (np.cumsum(keep) - 1)[ids[use]].astype(np.int32)
+
+
+def _interacting(starts: np.ndarray, ids: np.ndarray, labels: np.ndarray, alone: np.ndarray, bias: float, factors: int, seed: int) -> np.ndarray:
+    """Mask of the terms without bearing alone whose interactions are borne out on rows that didn't train them.
+
+    A machine with vectors for every term is trained on four fifths of the rows. On the rest, a
+    term's interactions (its vector times the sum of the others in a text) are held against what a machine of
+    the ``alone`` terms leaves unexplained, as a score statistic: by chance it is standard normal.
+    """
+    n = len(labels)
+    unseen = np.arange(n) % 5 == 4
+    train, test = np.flatnonzero(~unseen), np.flatnonzero(unseen)
+    own_starts, own_ids = _compact(starts, ids, alone)
+    b0, w0, v0 = _descend(own_starts, own_ids, labels, train, np.ones(alone.sum(), bool), bias, factors, 12, seed, np.full(alone.sum(), DECAY))
+    p = _model_scores(b0, w0, v0, own_starts, own_ids)[test]
+    _, _, v = _descend(starts, ids, labels, train, alone, bias, factors, 12, seed, np.where(alone, DECAY, SEEK_DECAY))
+    top, spread = np.zeros(len(alone)), np.zeros(len(alone))
+    residual, variance = labels[test] - p, p * (1 - p)
+    for at in range(0, len(test), 512):
+        some = test[at : at + 512]
+        size = starts[some + 1] - starts[some]
+        local = np.repeat(np.arange(len(some)), size)
+        first = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        t = ids[np.arange(size.sum()) + first]
+        vt = v[t]
+        sums = np.stack([np.bincount(local, vt[:, f], len(some)) for f in range(factors)], 1)
+        q = (vt * (sums[local] - vt)).sum(1)
+        top += np.bincount(t, q * residual[at : at + 512][local], len(alone))
+        spread += np.bincount(t, q * q * variance[at : at + 512][local], len(alone))
+    return ~alone & (top >= EVIDENCE * np.sqrt(spread)) & (spread > 0)
+
+
+def _model_scores(bias: float, w: np.ndarray, v: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    return Model(bias, np.zeros(0, np.int32), w, v).scores(rows, ids, len(starts) - 1)
+
+
+def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, factors: int = FACTORS, epochs: int = 20, seed: int = 7) -> Model:
+    """A machine over the terms that have a bearing alone (by the binomial z-score of label 1 among
+    their texts) and those that have one in company (``_interacting``).
+
+    Among tens of thousands of terms without any bearing, weights learned from chance would drown the
+    others. One class only, or no rows: a constant score, the smoothed share of label 1.
+    """
+    n = len(labels)
+    positives = float(labels.sum())
+    prior = (positives + 0.02) / (n + 1)
+    bias = float(np.log(prior / (1 - prior)))
+    place = np.full(DIMENSIONS, -1, np.int32)
+    counts = np.bincount(terms, minlength=DIMENSIONS) if len(terms) else np.zeros(DIMENSIONS, np.int64)
+    toxic = np.bincount(terms, labels[rows], minlength=DIMENSIONS) if len(terms) else counts
+    z = (toxic - counts * prior) / np.sqrt(np.maximum(counts, 1) * prior * (1 - prior))
+    # a term of nearly all texts, or of a few, pairs with nothing that its partner alone wouldn't say
+    kept = np.flatnonzero((counts >= MIN_TEXTS) & ((counts <= n - MIN_TEXTS) | (np.abs(z) >= SCREEN)))
+    if not len(kept) or positives in (0, n):
+        return Model(bias, place, np.zeros(0), np.zeros((0, factors)))
+    alone = (np.abs(z) >= SCREEN)[kept]
+    place[kept] = np.arange(len(kept))
+    use = place[terms] >= 0
+    rows, ids = rows[use], place[terms[use]]
+    del terms, use
+    starts = np.searchsorted(rows, np.arange(n + 1, dtype=rows.dtype))
+    del rows
+    chosen = alone | _interacting(starts, ids, labels, alone, bias, factors, seed) if not alone.all() else alone
+    place[:] = -1
+    place[kept[chosen]] = np.arange(chosen.sum())
+    starts, ids = _compact(starts, ids, chosen)
+    # an exclusive pair needs linear weights that its interaction takes back
+    bias, linear, vectors = _descend(starts, ids, labels, np.arange(n), np.ones(chosen.sum(), bool), bias, factors, epochs, seed, np.full(chosen.sum(), DECAY))
+    return Model(bias, place, linear, vectors)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,8 +206,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "terms"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
-    """A model from labelled rows that aren't held out, about ``max_rows`` at most.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from labelled rows that aren't held out, about ``max_rows`` and ``max_bytes`` of their terms at most.
 
     Several labels of one document count as toxic if one of them is; null labels and ids don't count.
     """
@@ -156,7 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     if n > max_rows:
         marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (max_rows / n)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(marked, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_encode, "doc_id long, toxic int, terms binary").toArrow()
+    encoded = cut(texts.join(marked, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_encode, "doc_id long, toxic int, terms binary"))
+    share = 1.0
+    while (size := encoded.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) > max_bytes:
+        share *= 0.9 * max_bytes / size
+        encoded = encoded.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * share))
+    got = encoded.toArrow()
     if not got.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     column = got.column("terms").cast(pa.large_binary()).combine_chunks()
@@ -209,7 +276,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` below the threshold, with the columns of ``docs``."""
+    """The rows of ``docs`` below the threshold, with the columns of ``docs``.
+
+    Null text counts as empty and has the bias as its score; ids play no part, so null and repeated ones
+    are kept or dropped by their own texts. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
