@@ -29,16 +29,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample drawn towards the targets of source, language and topic.
-
-    Rates above one count as one here, so small categories stay below their targets; see the README for figures.
-    """
+    """A sample whose expected tokens meet the targets of source, language and topic; small categories come several times."""
     return mixing.sample(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and place of each document."""
-    return sharding.shard_documents(docs, shards=40)
+    return sharding.shard_documents(docs, shards=40, map_path=sharding.map_path_of(spark, sf_dir, "pipeline"))
 
 
 STAGES = [

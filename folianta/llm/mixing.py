@@ -90,17 +90,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
     return out
 
 
+def _scaled(rows: DataFrame, targets: dict[str, DataFrame] | None, sweeps: int, keep: float) -> DataFrame:
+    """Cells with their rate ``r``, rounded to PLACES; marked for broadcast if they are few, which is counted."""
+    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    raked = rake(cells, targets, sweeps)
+    total = cells.agg(F.sum("tokens").cast("double")).scalar()
+    scaled = cut(raked.select(*DIMENSIONS, F.round(F.col("weight") / F.col("tokens") * total * keep, PLACES).alias("r")))
+    return F.broadcast(scaled) if scaled.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else scaled
+
+
+def cells_of(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, keep: float = KEEP) -> DataFrame:
+    """Rates of the cells of ``docs``."""
+    return _scaled(described(docs), targets, sweeps, keep)
+
+
 def rated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, keep: float = KEEP, topic: Column | None = None) -> DataFrame:
     """``described(docs)`` with ``rate``, rounded to PLACES.
 
     Documents without tokens carry no weight and have rate 1: keeping them changes no marginal.
     """
     rows = cut(described(docs, topic))
-    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    raked = rake(cells, targets, sweeps)
-    total = cells.agg(F.sum("tokens").cast("double")).scalar()
-    scaled = cut(raked.select(*DIMENSIONS, F.round(F.col("weight") / F.col("tokens") * total * keep, PLACES).alias("r")))
-    side = F.broadcast(scaled) if scaled.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else scaled
+    side = _scaled(rows, targets, sweeps, keep)
     return rows.join(side, list(DIMENSIONS), "left").withColumn("rate", F.coalesce("r", F.lit(1.0))).drop("r")
 
 
@@ -110,20 +120,43 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def copies_of(rate: Column, doc_id: Column) -> Column:
+    """How often a document enters the sample: the whole part of its rate, and once more by its draw for the rest."""
+    return (F.floor(rate) + (draw(doc_id) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, keep: float = KEEP) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, lang, topic, tokens, probability, weight, sampled.
+    """One row per row of ``docs``: doc_id, source, lang, topic, tokens, probability, weight, sampled, copies.
 
-    Nulls are categories of their own, repeated rows count with each row and are drawn alike,
-    other columns are ignored, and an empty table gives no rows.
+    A sample with ``copies`` of each document has the expected marginals of the targets; one with each
+    ``sampled`` document once has them under ``weight``. Nulls are categories of their own, repeated rows count
+    with each row and are drawn alike, other columns are ignored, and an empty table gives no rows.
     """
+    rate, doc_id = F.col("rate"), F.col("doc_id")
     return rated(docs, targets, sweeps, keep).select(
         "doc_id", *DIMENSIONS, "tokens",
-        F.round(F.least("rate", F.lit(1.0)), 6).alias("probability"), F.round(F.greatest("rate", F.lit(1.0)), 6).alias("weight"),
-        (draw(F.col("doc_id")) < F.col("rate")).alias("sampled"),
+        F.round(F.least(rate, F.lit(1.0)), 6).alias("probability"), F.round(F.greatest(rate, F.lit(1.0)), 6).alias("weight"),
+        (draw(doc_id) < rate).alias("sampled"), copies_of(rate, doc_id).alias("copies"),
     )
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """The drawn rows of ``docs``, with its columns; each once and without ``weight``, so rates above one fall short of the targets."""
-    chosen = mix(docs, targets, sweeps).filter("sampled").select(F.col("doc_id").alias("__folianta_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__folianta_id")), "left_semi")
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, keep: float = KEEP) -> DataFrame:
+    """Rows of ``docs``, with its columns, drawn so that their expected tokens meet every marginal.
+
+    A document of a category that is to grow beyond what there is of it comes several times (``copies``), as
+    sources do that are read for several epochs. Rows are rated by their own source, language and form, so rows that
+    share an id, or have none, are told apart; null texts and those without a token come once.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    scaled = cells_of(docs, targets, sweeps, keep)
+    # the cell of a row is computed beside the row, so no text is shuffled to meet its rate
+    named = docs.withColumns({
+        "__folianta_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "__folianta_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
+        "__folianta_topic": topic_of(text),
+    })
+    side = scaled.select(*[F.col(d).alias(f"__folianta_{d}") for d in DIMENSIONS], F.col("r").alias("__folianta_rate"))
+    rows = named.join(side, [f"__folianta_{d}" for d in DIMENSIONS], "left")
+    copies = copies_of(F.coalesce("__folianta_rate", F.lit(1.0)), F.col("doc_id").cast("long"))
+    many = rows.withColumn("__folianta_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
+    return many.select(*[F.col(c) for c in docs.columns])
