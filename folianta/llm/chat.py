@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folianta.llm.common import small_batches
+from folianta.llm.common import slices, small_batches
 
 #: Vocabulary file (ranks) of the tokenizer, by default the public one of this machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -69,6 +69,10 @@ class Template:
 
     def turns(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of turns (role, text): open, role, middle, text, close for each."""
+        return self.encoded(turns)[:2]
+
+    def encoded(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``turns`` and where each turn begins and ends, one call of the encoder for all segments."""
         segments: list[list[int]] = []
         learned: list[bool] = []
         flat = [x for role, text in turns for x in (escape(role), escape(text))]
@@ -76,14 +80,14 @@ class Template:
         for i, (role, _) in enumerate(turns):
             segments += [[self.open], encoded[2 * i], [self.middle], encoded[2 * i + 1], [self.close]]
             learned += [False, False, False, role in LEARNED, False]
-        lengths = np.array([len(s) for s in segments])
-        starts = np.concatenate([[0], np.cumsum(lengths)])
+        lengths = np.array([len(s) for s in segments], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         ids = np.fromiter((t for s in segments for t in s), np.int32, starts[-1])
         steps = np.zeros(starts[-1] + 1, np.int32)
         on = np.array(learned, bool)
         np.add.at(steps, starts[:-1][on], 1)
         np.add.at(steps, starts[1:][on], -1)
-        return ids, np.cumsum(steps[:-1]).astype(np.uint8)
+        return ids, np.cumsum(steps[:-1]).astype(np.uint8), starts[::5]
 
     def text(self, ids: np.ndarray) -> str:
         """Ordinary ids as text."""
@@ -100,9 +104,21 @@ class Template:
 
     def parse(self, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, str]]:
         """(role, text, learned text) of each turn, unescaped, from ids and mask alone."""
-        for a, m, b in zip(*(np.flatnonzero(ids == x) for x in (self.open, self.middle, self.close)), strict=True):
-            body = ids[m + 1 : b]
-            yield unescape(self.text(ids[a + 1 : m])), unescape(self.text(body)), unescape(self.text(body[mask[m + 1 : b] > 0]))
+        for role, text, learned, _ in self.read(ids, mask):
+            yield role, text, learned
+
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, str, int]]:
+        """``parse`` with the characters of each turn in formatted form; every id belongs to one turn, or it raises."""
+        at = [np.flatnonzero(ids == x) for x in (self.open, self.middle, self.close)]
+        if len(ids) and not (at[0][0] == 0 and at[2][-1] == len(ids) - 1 and np.array_equal(at[0][1:], at[2][:-1] + 1)):
+            raise ValueError("ids outside of turns")
+        marks = len(OPEN) + len(MIDDLE) + len(CLOSE)
+        for a, m, b in zip(*at, strict=True):
+            body, on = ids[m + 1 : b], mask[m + 1 : b] > 0
+            role, text = self.text(ids[a + 1 : m]), self.text(body)
+            plain = unescape(text)
+            learned = plain if on.all() and len(body) else unescape(self.text(body[on]))
+            yield unescape(role), plain, learned, len(role) + len(text) + marks
 
 
 def vocabulary(path: str = VOCABULARY) -> bytes:
@@ -111,39 +127,56 @@ def vocabulary(path: str = VOCABULARY) -> bytes:
         return f.read()
 
 
-def _formatter(shared, part_tokens: int):
+def _encoder(shared):
+    """Each row's own ids and mask; the rows of a batch go through the encoder together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(shared.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        state = {"conv": None, "part": 0, "tokens": 0, "turns": 0, "any": False}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                roles, texts = part.column("role").to_pylist(), part.column("text").to_pylist()
+                ids, mask, bounds = template.encoded(list(zip(roles, texts, strict=True)))
+                raw, marks = ids.tobytes(), mask.tobytes()
+                spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("conv_id", "turn", "role", "text")), pa.array([raw[4 * a : 4 * b] for a, b in spans], pa.binary()), pa.array([marks[a:b] for a, b in spans], pa.binary())],
+                    names=["conv_id", "turn", "role", "text", "ids", "mask"],
+                )
+
+    return run
+
+
+def _formatter(part_tokens: int):
+    """Turns of a conversation, which come in order, joined to parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        state = {"conv": None, "part": 0, "tokens": 0, "any": False}
         rows: list[tuple] = []
 
         def flush() -> None:
-            if state["turns"]:
-                ids, mask = (np.concatenate(x) for x in zip(*held, strict=True))
-                rows.append((state["conv"], state["part"], state["turns"], ids, mask.tobytes()))
+            if held:
+                ids, mask = zip(*held, strict=True)
+                rows.append((state["conv"], state["part"], len(held), b"".join(ids), b"".join(mask)))
                 held.clear()
-                state.update(part=state["part"] + 1, tokens=0, turns=0)
+                state.update(part=state["part"] + 1, tokens=0)
 
         def batch() -> pa.RecordBatch:
             conv, part, n, ids, mask = zip(*rows, strict=True)
             rows.clear()
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int64()), lists, pa.array(mask, pa.binary())], names=["conv_id", "part", "n_turns", "ids", "mask"])
 
         for b in batches:
-            convs, roles, texts = (b.column(c).to_pylist() for c in ("conv_id", "role", "text"))
-            for conv, role, text in zip(convs, roles, texts, strict=True):
+            for conv, ids, mask in zip(*(b.column(c).to_pylist() for c in ("conv_id", "ids", "mask")), strict=True):
                 if not state["any"] or conv != state["conv"]:
                     flush()
                     state.update(conv=conv, part=0, any=True)
-                one = template.turns([(role, text)])
-                held.append(one)
-                state["tokens"] += len(one[0])
-                state["turns"] += 1
+                held.append((ids, mask))
+                state["tokens"] += len(mask)
                 if state["tokens"] >= part_tokens:
                     flush()
-            if sum(len(r[3]) for r in rows) >= 1 << 18:
+            if sum(len(r[4]) for r in rows) >= 1 << 18:
                 yield batch()
         flush()
         if rows:
@@ -157,8 +190,9 @@ def format_conversations(turns: DataFrame, vocabulary_path: str = VOCABULARY, pa
 
     Rows are ordered by turn (nulls first; ties by role, then text); a null role or text is the
     empty string; rows with a null conv_id are one conversation; repeated rows are turns of
-    their own. Other columns are ignored, and an empty table gives no rows. Parts of a
-    conversation come one after the other in one partition.
+    their own. Other columns are ignored, and an empty table gives no rows. Rows are encoded where
+    they are read, however long their conversation; then its parts come one after the other in
+    one partition, streamed, since a conversation's digests run over all of it.
     """
     spark = turns.sparkSession
     small_batches(spark)
@@ -169,8 +203,9 @@ def format_conversations(turns: DataFrame, vocabulary_path: str = VOCABULARY, pa
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_formatter(shared, part_tokens), FORMATTED)
+    encoded = rows.mapInArrow(_encoder(shared), "conv_id long, turn long, role string, text string, ids binary, mask binary")
+    dealt = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "ids", "mask").mapInArrow(_formatter(part_tokens), FORMATTED)
 
 
 def _reader(shared):
@@ -198,9 +233,9 @@ def _reader(shared):
                     close()
                     now = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
                 ids = values[offsets[i] : offsets[i + 1]]
-                now["chars"] += len(template.render(ids))
-                for role, text, loss in template.parse(ids, np.frombuffer(mask, np.uint8)):
+                for role, text, loss, chars in template.read(ids, np.frombuffer(mask, np.uint8)):
                     now["n"] += 1
+                    now["chars"] += chars
                     now["turns"].update(f"{role}\n{text}\n".encode())
                     now["loss"].update(loss.encode())
                     now["loss_chars"] += len(loss)

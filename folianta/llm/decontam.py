@@ -5,13 +5,14 @@ splits into five blocks; each of ten fixed masks keeps three blocks and ignores
 substituted words lie in two blocks at most, so at least one mask doesn't see them: a window
 with up to ``MISSES`` substitutions always meets its benchmark window under some mask.
 
-Hits are joined on the masked hash, and each is verified on the words themselves: along the
-alignment that the hit gives, a document is contaminated where ``SPAN`` consecutive words of it
-and of a benchmark text agree in ``SPAN - MISSES`` places or more. The result is exact under
-that definition.
-
-Before the join, a bitmap of the benchmark's hashes (of fixed size) drops nearly all windows
-of the corpus inside the scan's own stage, so what is shuffled grows with the hits.
+Hits are joined on the masked hash, and each is verified on the words of the two windows
+themselves: a document is contaminated where ``SPAN`` consecutive words of it and of a benchmark
+text agree in ``SPAN - MISSES`` places or more. The result is exact under that definition, since
+every such window is itself a hit.
+
+Before the join, a bitmap of the benchmark's hashes (sized by their number, 8 MB at most) drops
+nearly all windows of the corpus inside the scan's own stage. A window that passes takes its own
+words along, so no text is shuffled: what moves grows with the hits.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ MISSES = 2
 BLOCKS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10), (11, 12))
 #: Kept blocks of each mask.
 MASKS = tuple(combinations(range(5), 3))
-#: Words of 64 bits in the bitmap: 4 million bits, two for each hash.
-BITMAP_WORDS = 1 << 16
+#: Words of 64 bits in the bitmap: least and most, and bits for each hash between them.
+BITMAP_WORDS = (1 << 12, 1 << 20)
+BITS_PER_HASH = 32
+#: Contaminated rows of at most so many (16 bytes each, counted) are broadcast where rows are dropped.
+BROADCAST_ROWS = 1 << 19
 
 _SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -55,64 +59,77 @@ def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
     at = df.select(*keep, "w", F.explode(starts).alias("pos"))
     blocks = [F.xxhash64(*[F.get("w", F.col("pos") + p) for p in block], F.lit(i)).alias(f"b{i}") for i, block in enumerate(BLOCKS)]
     masks = F.array(*[F.col(f"b{a}").bitwiseXOR(F.col(f"b{b}")).bitwiseXOR(F.col(f"b{c}")) for a, b, c in MASKS])
-    return at.select(*keep, "pos", *blocks).select(*keep, "pos", F.posexplode(masks).alias("mask", "hash"))
+    return at.select(*keep, "w", "pos", *blocks).select(*keep, "w", "pos", F.posexplode(masks).alias("mask", "hash"))
+
+
+def _window() -> Column:
+    return F.slice("w", F.col("pos") + 1, SPAN)
 
 
-def _bits(hash_: Column) -> list[tuple[Column, Column]]:
+def _bits(hash_: Column, n_words: int) -> list[tuple[Column, Column]]:
     """Two places of a hash in the bitmap, each as a word and a mask in it."""
     places = (hash_, F.shiftrightunsigned(hash_, 32))
-    word = [F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int") for h in places]
+    word = [F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(n_words - 1)).cast("int") for h in places]
     return [(w, F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))) for w, h in zip(word, places, strict=True)]
 
 
-def bitmap_of(seeds: DataFrame) -> DataFrame:
-    """One row with ``bits``: BITMAP_WORDS longs in order, two bits set for each hash; all zero without seeds."""
-    both = F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _bits(F.col("hash"))])
+def bitmap_words(hashes: int) -> int:
+    """Words of a bitmap for so many hashes: a power of two."""
+    low, high = BITMAP_WORDS
+    return min(high, max(low, 1 << (hashes * BITS_PER_HASH // 64).bit_length()))
+
+
+def bitmap_of(seeds: DataFrame, n_words: int) -> DataFrame:
+    """One row with ``bits``: ``n_words`` longs in order, two bits set for each hash; all zero without seeds."""
+    both = F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _bits(F.col("hash"), n_words)])
     filled = seeds.select(F.explode(both).alias("x")).select("x.word", "x.bit")
-    empty = seeds.sparkSession.range(BITMAP_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bit"))
+    empty = seeds.sparkSession.range(n_words, numPartitions=1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bit"))
     every = filled.union(empty).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     return every.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("held")).select(F.transform("held", lambda x: x["bits"]).alias("bits"))
 
 
+def _identity() -> list[Column]:
+    """What tells rows apart, of any id: the id and a hash of the text."""
+    return [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__hash")]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id) once for each document that overlaps a benchmark text.
+    """(__id, __hash, item_id) once for each row (its doc_id and a hash of its text) that overlaps a benchmark text.
 
-    Null texts, texts and items of fewer than SPAN words never match. Rows with a null doc_id
-    can't be named and are left out here. Repeated rows give one pair.
+    Null texts, texts and items of fewer than SPAN words and items without an id never match. Rows
+    with a null doc_id count as others; repeated rows give one pair; rows with the same id
+    and other texts are judged each by its own.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("w"))
-    items = items.filter(F.size("w") >= SPAN).withColumn("n", F.size("w"))
-    seeds = cut(_seeds(items, ["item_id", "n"]).select("mask", "hash", "item_id", "n", F.col("pos").alias("item_pos")).distinct())
-    bits = cut(bitmap_of(seeds)).scalar()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    (w1, b1), (w2, b2) = _bits(F.col("hash"))
-    probes = _seeds(texts.select("doc_id", word_hashes(F.col("text")).alias("w")), ["doc_id"])
+    starts = F.when(F.size("w") >= SPAN, F.sequence(F.lit(0), F.size("w") - SPAN))
+    places = items.filter("item_id IS NOT NULL").select("item_id", "w", F.explode(starts).alias("pos")).select("item_id", _window().alias("window"))
+    # windows that many items share are one row of the join
+    windows = cut(places.select("item_id", "window", F.xxhash64("window").alias("window_id")).distinct())
+    once = windows.select("window", "window_id").distinct()
+    seeds = cut(_seeds(once.withColumnRenamed("window", "w"), ["window_id"]).select("mask", "hash", "window_id", F.col("w").alias("item_window")))
+    n_words = bitmap_words(seeds.count())
+    bits = cut(bitmap_of(seeds, n_words)).scalar()
+    texts = docs.select(*_identity(), F.col("text").cast("string").alias("text"))
+    (w1, b1), (w2, b2) = _bits(F.col("hash"), n_words)
+    probes = _seeds(texts.select("__id", "__hash", word_hashes(F.col("text")).alias("w")), ["__id", "__hash"])
     probes = probes.filter((F.get(bits, w1).bitwiseAND(b1) != 0) & (F.get(bits, w2).bitwiseAND(b2) != 0))
-    hits = probes.join(seeds, ["mask", "hash"]).select("doc_id", "item_id", "n", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    # verification: of each document that was hit, the stretches beside the items, word by word
-    of_doc = cut(hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("at")))
-    hashed = texts.join(of_doc, "doc_id").select("doc_id", "at", word_hashes(F.col("text")).alias("w"))
-
-    def stretch(a: Column) -> Column:
-        beside = F.transform(F.sequence(F.lit(0), a["n"] - 1), lambda i: F.when(a["shift"] + i >= 0, F.get("w", F.greatest(a["shift"] + i, F.lit(0)))))
-        return F.struct(a["item_id"].alias("item_id"), beside.alias("beside"))
-
-    aligned = hashed.select("doc_id", F.explode(F.transform("at", stretch)).alias("a")).select("doc_id", "a.item_id", "a.beside")
-    same = aligned.join(items.select("item_id", "w"), "item_id").select("doc_id", "item_id", F.zip_with("beside", "w", lambda x, y: F.when(x == y, 1).otherwise(0)).alias("same"))
-    last = F.greatest(F.size("same") - SPAN, F.lit(0))
-    runs = F.exists(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice("same", i + 1, SPAN), F.lit(0), lambda a, x: a + x) >= SPAN - MISSES)
-    return same.filter(runs).select("doc_id", "item_id").distinct()
+    probes = probes.select("__id", "__hash", "mask", "hash", _window().alias("window"))
+    same = F.aggregate(F.zip_with("window", "item_window", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    hits = probes.join(seeds, ["mask", "hash"]).filter(same >= SPAN - MISSES).select("__id", "__hash", "window_id").distinct()
+    return hits.join(windows.select("window_id", "item_id"), "window_id").select("__id", "__hash", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, items (ids in order, comma-joined).
 
-    Documents without an overlap, null texts and null ids have n_items 0 and items ''.
+    Documents without an overlap and null texts have n_items 0 and items ''; null and
+    repeated ids are judged by their own texts. An empty table gives no rows.
     """
-    found = contaminated(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("held"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    found = contaminated(docs, benchmark).groupBy("__id", "__hash").agg(F.sort_array(F.collect_set("item_id")).alias("held"))
+    found = found.select(F.col("__id").alias("__a"), F.col("__hash").alias("__b"), "held")
+    rows = docs.select(*_identity()).join(found, (F.col("__hash") == F.col("__b")) & F.col("__id").eqNullSafe(F.col("__a")), "left")
     return rows.select(
-        "doc_id",
+        F.col("__id").alias("doc_id"),
         F.col("held").isNotNull().alias("contaminated"),
         F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(F.array_join(F.transform("held", lambda x: x.cast("string")), ","), F.lit("")).alias("items"),
@@ -120,6 +137,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without an overlap, with its columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("__folianta_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__folianta_id"), "left_anti")
+    """The rows of ``docs`` without an overlap, with its columns; rows of any id, null too, are judged by their texts.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty table gives no rows. Few contaminated
+    rows, which are counted, are broadcast, so that the rest of the corpus isn't shuffled.
+    """
+    found = cut(contaminated(docs, benchmark).select(F.col("__id").alias("__folianta_id"), F.col("__hash").alias("__folianta_hash")).distinct())
+    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    own_id, own_hash = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(side, (own_hash == F.col("__folianta_hash")) & own_id.eqNullSafe(F.col("__folianta_id")), "left_anti")

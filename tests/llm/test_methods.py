@@ -223,6 +223,16 @@ def test_components_of_chains_and_hubs(spark):
 # ---- decontamination
 
 
+def test_rows_are_judged_by_their_own_texts(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    benchmark = spark.createDataFrame([(1, item), (2, "z " + item), (None, "q " * 30), (3, None)], "item_id long, text string")
+    rows = [(None, "x " + item), (None, "clean text"), (5, item), (5, "other words"), (5, item), (6, None), (7, "q " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, decontam.drop_contaminated(docs, benchmark).collect()), key=repr) == sorted([rows[1], rows[3], rows[5], rows[6]], key=repr)
+    out = sorted(((r["doc_id"], r["items"]) for r in decontam.decontaminate(docs, benchmark).collect()), key=repr)
+    assert out == sorted([(None, "1,2"), (None, ""), (5, "1,2"), (5, ""), (5, "1,2"), (6, ""), (7, "")], key=repr)
+
+
 def test_substitutions_up_to_the_limit(spark):
     rng = random.Random(3)
     item = [f"b{i}" for i in range(30)]
@@ -280,60 +290,139 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert out[51][0] == 0 and out[52][0] == 0 and out[0][0] == 0
 
 
+def test_bootstrap_by_one_word_either_side_and_any_length(spark):
+    words = ["oak", "elm", "ash", "fir", "yew", "bay", "fig", "nut"]
+    rows = [(i, f"{words[i % 8]}{'x' * i} email: user{i}@example.org") for i in range(40)] + [(100, "Bob email: MEMBER-N-55"), (101, "Cat email:\nDE89 3704 0044 0532 0130 00 end"), (102, "Dan email: " + "k9" * 200)]
+    rows += [(200 + i, f"call +1 555 01{i:02d} 77{i:02d} anytime {words[i % 8]}") for i in range(20)] + [(230, "go M-77/2 anytime now"), (231, "go M-77/3 sometime now")]
+    rows += [(300 + i, f'key{"q" * i} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" {words[i % 8]}') for i in range(20)] + [(330, hashlib.sha1(b"file").hexdigest() + " is the sum"), (331, 'token = "short_key_1"')]
+    # a common word before seeds of several kinds is no label
+    rows += [(400 + i, f"see the {x}") for i, x in enumerate(["a1@example.org", "b2@example.org", "10.0.0.1", "10.0.0.2", "+1 555 123 4567", "+1 555 123 4568", "4111 1111 1111 1111"])] + [(420, "see the A-113")]
+    text = dict(rows)
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = lambda i: [text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in out[i].split(",") if s) if k == "id"]
+    assert found(100) == ["MEMBER-N-55"] and found(101) == ["DE89 3704 0044 0532 0130 00"] and found(102) == ["k9" * 200]
+    assert found(230) == ["M-77/2"] and found(231) == []
+    assert found(300) == [hashlib.sha1(b"0").hexdigest()] and found(330) == [] and found(331) == ["short_key_1"]
+    assert found(420) == []
+
+
+def test_bootstrap_on_documents(spark):
+    """Of the secrets that the driver planted behind a label, all are found, and nothing else is named."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    marked = docs.filter("text rlike '[Tt][Oo][Kk][Ee][Nn] = '").union(docs.filter("doc_id % 9 = 0")).dropDuplicates(["doc_id"])
+    text = {r["doc_id"]: r["text"] or "" for r in marked.collect()}
+    named = {(r["doc_id"], int(a), int(b)) for r in pii.personal_data(marked).collect() for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "id"}
+    true = {(i, m.start(1), m.end(1)) for i, t in text.items() for m in re.finditer('token = "([0-9a-f]{40})"', t, re.I)}
+    assert len(true) > 100 and len(named & true) >= 0.95 * len(true) and len(named & true) >= 0.95 * len(named)
+
+
 # ---- toxicity
 
 
+def auc(score, label):
+    ranks = np.empty(len(score))
+    values, inverse, n = np.unique(score, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[inverse]
+    ones = label.sum()
+    return (ranks[label == 1].mean() - (ones + 1) / 2) / (len(label) - ones)
+
+
 def test_held_out_accuracy(spark):
-    data = "/root/testdata/sf0.1"
+    """On check_s: an AUC of 0.99 and more, hardly a clean row rejected, nine toxic ones in ten caught."""
+    data = "/root/testdata/check_s"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
-    scored = toxicity.score_documents(docs, toxicity.train(docs, labels)).join(labels, "doc_id").filter("held_out")
+    few = labels.filter("doc_id % 4 = 1 OR doc_id < 20000")
+    scored = toxicity.score_documents(docs.join(few.select("doc_id"), "doc_id", "left_semi"), toxicity.train(docs, labels)).join(few, "doc_id").filter("held_out AND toxic IS NOT NULL")
     s = scored.toPandas()
-    assert ((s.predicted == 1) & (s.toxic == 0)).sum() <= 0.01 * (s.toxic == 0).sum()
-    ranks = s.score.rank()
-    n1 = (s.toxic == 1).sum()
-    assert (ranks[s.toxic == 1].mean() - (n1 + 1) / 2) / (len(s) - n1) > 0.85
-
-
-def test_pairs_that_additive_weights_miss():
-    rng = np.random.default_rng(0)
-    rows, terms, labels = [], [], []
-    for i in range(3000):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        words = ({1} if a else set()) | ({2} if b else set())
-        words |= {int(x) for x in rng.integers(10, 200, 5)}
+    clean, toxic = s[s.toxic == 0], s[s.toxic == 1]
+    assert (clean.predicted == 1).mean() <= 0.005 and (toxic.predicted == 1).mean() >= 0.9
+    assert auc(s.score.to_numpy(), s.toxic.to_numpy()) >= 0.99
+
+
+def pair_texts(seed, n, label, share=0.4, noise=2000, length=20):
+    """Texts with terms 1 and 2 each in a share of them, among others, labelled by both."""
+    rng = np.random.default_rng(seed)
+    rows, terms, labels, kind = [], [], [], []
+    for i in range(n):
+        a, b = rng.random() < share, rng.random() < share
+        words = ({1} if a else set()) | ({2} if b else set()) | {int(x) for x in rng.integers(10, 10 + noise, length)}
         rows += [i] * len(words)
         terms += sorted(words)
-        labels.append(float(a and b))
-    rows, terms, labels = np.array(rows), np.array(terms), np.array(labels)
-    model = toxicity.fit(rows, terms, labels)
+        labels.append(float(label(a, b, rng)))
+        kind.append(2 * a + b)
+    return np.array(rows), np.array(terms), np.array(labels), np.array(kind)
+
+
+def accuracy(model, made):
+    rows, terms, labels, _ = made
     at = model.place[terms]
-    score = model.scores(rows[at >= 0], at[at >= 0], 3000)
-    assert ((score >= 0.5) == (labels == 1)).mean() > 0.97
+    return ((model.scores(rows[at >= 0], at[at >= 0], len(labels)) >= 0.5) == (labels == 1)).mean()
+
+
+def additive(made, test):
+    """Logistic regression on the two terms: what weights without interactions can reach."""
+    x = lambda kind: np.stack([np.ones(len(kind)), kind // 2, kind % 2], 1)
+    w = np.zeros(3)
+    for _ in range(500):
+        w -= 2 * x(made[3]).T @ (1 / (1 + np.exp(-x(made[3]) @ w)) - made[2]) / len(made[2])
+    return ((x(test[3]) @ w >= 0) == (test[2] == 1)).mean()
+
+
+def test_pairs_that_additive_weights_miss():
+    """Toxic where one of two terms stands without the other, in half of all texts each: neither tells anything alone."""
+    xor = lambda a, b, rng: a != b
+    made, test = pair_texts(0, 8000, xor, 0.5), pair_texts(1, 2000, xor, 0.5)
+    assert additive(made, test) < 0.6
+    assert accuracy(toxicity.fit(*made[:3]), test) > 0.97
 
 
 def test_pairs_of_terms_that_are_neutral_alone():
-    def made(seed):
-        rng = np.random.default_rng(seed)
-        rows, terms, labels, both = [], [], [], []
-        for i in range(3000):
-            a, b = rng.random() < 0.3, rng.random() < 0.3
-            words = ({1} if a else set()) | ({2} if b else set()) | {int(x) for x in rng.integers(10, 200, 5)}
-            rows += [i] * len(words)
-            terms += sorted(words)
-            # three in ten texts are toxic, with either term or without
-            labels.append(float(rng.random() < (1 if a and b else 0 if a or b else 3 / 7)))
-            both.append(a + b)
-        return np.array(rows), np.array(terms), np.array(labels), np.array(both)
-
-    rows, terms, labels, _ = made(0)
+    """Three in ten texts are toxic, with either term or without; all that have both."""
+    label = lambda a, b, rng: rng.random() < (1 if a and b else 0 if a or b else 3 / 7)
+    made = pair_texts(0, 8000, label, 0.3)
     for t in (1, 2):
-        held = labels[rows[terms == t]]
-        assert abs(held.mean() - labels.mean()) < toxicity.SCREEN * np.sqrt(labels.var() / len(held))
-    model = toxicity.fit(rows, terms, labels)
-    rows, terms, labels, both = made(1)
+        held = made[2][made[0][made[1] == t]]
+        assert abs(held.mean() - made[2].mean()) < toxicity.SCREEN * np.sqrt(made[2].var() / len(held))
+    model = toxicity.fit(*made[:3])
+    rows, terms, _, kind = pair_texts(1, 3000, label, 0.3)
     at = model.place[terms]
     score = model.scores(rows[at >= 0], at[at >= 0], 3000)
-    assert (score[both == 2] >= 0.5).mean() > 0.95 and (score[both == 1] < toxicity.THRESHOLD).mean() > 0.95
+    assert (score[kind == 3] >= 0.5).mean() > 0.95
+    assert (score[(kind == 1) | (kind == 2)] < toxicity.THRESHOLD).mean() > 0.95
+    chance = np.random.default_rng(5).permutation(made[2])
+    assert (toxicity.fit(made[0], made[1], chance).place >= 0).sum() <= 3
+
+
+def test_scores_by_the_definition(spark):
+    """The registered query's scores, from the sum over all terms and pairs of terms of a few whole texts."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in entry.op3_toxicity(spark, data).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        z = model.bias
+        terms = sorted({int(h) % toxicity.DIMENSIONS for h in wordkernel.words(pa.array([text])).hashes})
+        places = [int(model.place[t]) for t in terms if model.place[t] >= 0]
+        z += sum(model.linear[i] for i in places) + sum(float(model.vectors[i] @ model.vectors[j]) for k, i in enumerate(places) for j in places[:k])
+        want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        r = got[doc_id]
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+
+
+def test_training_sample_is_bounded_in_bytes(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.fit = toxicity.fit, lambda r, t, y: seen.append((len(t), len(y))) or real(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    try:
+        toxicity.train(docs, labels)
+        toxicity.train(docs, labels, max_bytes=20_000)
+    finally:
+        toxicity.fit = real
+    assert 4 * seen[0][0] > 200_000 and 0 < 4 * seen[1][0] <= 20_000 and seen[1][1] > 5
 
 
 def test_held_out_rows_never_train(spark):
@@ -355,6 +444,27 @@ def test_law_of_bytes(spark, documents):
         assert sorted(slots) == list(range(len(slots)))
 
 
+def test_rows_without_ids_and_repeated_rows_spread(spark):
+    rows = [(None, f"some text {i % 3}") for i in range(400)] + [(i, f"text of {i}") for i in range(400)] + [(7, f"version {i}") for i in range(300)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(out) == len(rows) and len(loads) == 40 and loads.max() - loads.min() <= 2 * out["size"].max()
+
+
+def test_stored_map_is_edited(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', cast(id % 97 as int)) AS text")
+    run = lambda d, shards=8: {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard_documents(d, shards, 512, path).collect()}
+    first = run(docs)
+    assert {v for _, v in first.values()} == {1} and run(docs) == first
+    grown = run(docs.union(spark.range(3000, 3400).selectExpr("id", "repeat('y', 400)")))
+    moved = sum(grown[i][0] != s for i, (s, _) in first.items())
+    assert {v for _, v in grown.values()} == {2} and 0 < moved < 0.3 * len(first)
+    more = run(docs, 9)
+    assert {v for _, v in more.values()} == {3} and {s for s, _ in more.values()} == set(range(9))
+    assert [sharding.SlotMap.load(spark, path, v).version for v in (1, 2, 3)] == [1, 2, 3]
+
+
 def test_rebalancing_moves_little(spark, tmp_path):
     rng = random.Random(1)
     loads = {i: rng.randrange(50, 150) for i in range(512)}
@@ -388,6 +498,24 @@ def test_marginals_hold(spark):
     assert abs((drawn.tokens * 1.0).sum() / (out.tokens * out.probability).sum() - 1) < 0.1
 
 
+def test_drawn_sample_meets_every_marginal(spark):
+    """On the driver's documents: the expected sample to four digits, the drawn one to a few deviations, on all three margins."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = mixing.mix(docs).toPandas()
+    rate = out.probability * out.weight
+    drawn = mixing.described(mixing.sample(docs)).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens")).toPandas()
+    assert drawn.tokens.sum() == (out.tokens * out.copies).sum()
+    for d in mixing.DIMENSIONS:
+        have = out[out.tokens > 0].groupby(d).tokens.sum()
+        want = have**mixing.TEMPER / (have**mixing.TEMPER).sum()
+        expected = (out.tokens * rate).groupby(out[d]).sum()[want.index] / (out.tokens * rate)[out.tokens > 0].sum()
+        assert abs(expected - want).max() < 1e-4
+        part = rate - np.floor(rate)
+        deviation = np.sqrt((out.tokens**2 * part * (1 - part)).groupby(out[d]).sum()[want.index]) / (out.tokens * rate).sum()
+        got = drawn.groupby(d).tokens.sum().reindex(want.index).fillna(0) / drawn.tokens.sum()
+        assert (abs(got - want) <= 5 * deviation + 0.002).all(), (d, got, want)
+
+
 # ---- licences
 
 
