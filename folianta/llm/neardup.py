@@ -338,48 +338,48 @@ class Bucket:
     def __init__(self, key: int, rows: list[tuple], similarity: float) -> None:
         nodes, roots, opens, sims, sketches, bands = zip(*rows, strict=True)
         self.nodes, self.similarity = nodes, similarity
-        self.roots, self.opens, self.sims = list(roots), np.array(opens), np.array(sims)
+        #: number of each node's component, in the bucket
+        self.part = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
+        self.opens, self.sims = np.array(opens, bool), np.array(sims)
         self.sketches = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, _K)
         self.bands = np.array(bands, np.int64)
         self.band = int(np.flatnonzero(self.bands[0] == key)[0])
         # linked texts agree in fewer samples than this (5 deviations) with a chance of one in a million or so
         self.least = max(0, int(np.floor(_K * similarity - 5 * np.sqrt(_K * similarity * (1 - similarity)))))
-        self.up = {r: r for r in self.roots}
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
 
     def partners(self, i: int) -> np.ndarray:
         """Nodes that an open node may be linked to, those that agree most first.
 
-        Their distances from the bucket's leader differ by 1 - similarity at most, their sketches
-        agree enough, they are in another component, and no earlier band has both (it has them there).
+        They are in another component, their distances from the bucket's leader differ by 1 - similarity
+        at most, their sketches agree enough, and no earlier band has both (it has them there).
         """
-        near = np.flatnonzero(np.abs(self.sims - self.sims[i]) <= 1 - self.similarity + 1e-9)
+        other = (self.part != self.part[i]) & (np.abs(self.sims - self.sims[i]) <= 1 - self.similarity + 1e-9)
+        other[:i] &= ~self.opens[:i]
+        near = np.flatnonzero(other)
+        if self.band and len(near):
+            near = near[~(self.bands[near, : self.band] == self.bands[i, : self.band]).any(1)]
         agree = (self.sketches[near] == self.sketches[i]).sum(1)
         near, agree = near[agree >= self.least], agree[agree >= self.least]
-        if self.band:
-            new = ~(self.bands[near, : self.band] == self.bands[i, : self.band]).any(1)
-            near, agree = near[new], agree[new]
-        near = near[np.argsort(-agree, kind="stable")]
-        mine = self.find(self.roots[i])
-        return np.array([j for j in near if self.find(self.roots[j]) != mine and not (self.opens[j] and j < i)], np.int64)
+        return near[np.argsort(-agree, kind="stable")]
 
     def promising(self) -> np.ndarray:
         """Nodes with a partner."""
-        out = [np.append(p, i) for i in np.flatnonzero(self.opens) if len(p := self.partners(i))]
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        out = np.zeros(len(self.nodes), bool)
+        for i in np.flatnonzero(self.opens):
+            if len(p := self.partners(i)):
+                out[p] = out[i] = True
+        return np.flatnonzero(out)
 
     def links(self, content) -> Iterator[tuple[int, int]]:
         """Links between components, by exact similarity; a pair that the links so far connect isn't compared."""
         for i in np.flatnonzero(self.opens):
-            for j in self.partners(i):
-                a, b = self.find(self.roots[i]), self.find(self.roots[j])
-                if a != b and weighted_jaccard(content(i), content(j)) >= self.similarity:
-                    self.up[max(a, b)] = min(a, b)
+            todo = self.partners(i)
+            mine = content(i) if len(todo) else None
+            while len(todo):
+                j, todo = todo[0], todo[1:]
+                if weighted_jaccard(mine, content(j)) >= self.similarity:
+                    self.part[self.part == self.part[j]] = self.part[i]
+                    todo = todo[self.part[todo] != self.part[i]]
                     yield self.nodes[i], self.nodes[j]
 
 
