@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -170,68 +172,107 @@ def symbol_ratio(text: Column) -> Column:
     return F.when(visible > 0, odd / visible).otherwise(0.0)
 
 
-_BEFORE, _AFTER = r"(?<![A-Za-z'’])", r"(?![A-Za-z'’])"
+_RUN = re.compile(r"[A-Za-z'’]+")
+_KNOWN = frozenset(SPACED_WORDS)
+#: Single capitals that stand alone in prose, and most of them that are put before one word.
+_ALONE, _MOST = "AIO", 6
 
 
-def spacing_rules() -> list[tuple[str, str]]:
-    """(pattern, replacement) of each repair of letter-spaced words, in order of use."""
-    spaced = [(_BEFORE + r"\s+".join(w) + _AFTER, w) for w in SPACED_WORDS]
-    merged = [(f"{_BEFORE}A{w[0]}\\s+{w[1:]}{_AFTER}", f"A {w}") for w in SPACED_WORDS if len(w) > 2 and w[0] != "A"]
-    prefix = [(f"{_BEFORE}{w[0]}\\s+{w[1:]}{_AFTER}", w) for w in SPACED_WORDS]
-    return [*spaced, *merged, *prefix]
+def join_letters(text: str) -> str:
+    """Words that were printed letter by letter, put together.
+
+    The text is taken as runs of letters. Neighbouring runs with nothing but white space between them
+    are a spaced word if they spell a known one, either all as single letters (T H E) or as a first
+    letter and the rest (W HAT); or if the first also holds the article (AT HE: A THE). Of spellings
+    that share a run the longest wins. Then single capitals join the run of capitals after them (G LORY).
+    """
+    runs = [[m.start(), m.end(), m[0]] for m in _RUN.finditer(text)]
+    near = [text[x[1] : y[0]].isspace() for x, y in zip(runs, runs[1:], strict=False)] + [False]
+    found = []  # (length of the word, first run, last run, new text)
+    for i, (_, _, first) in enumerate(runs):
+        if not near[i]:
+            continue
+        after = runs[i + 1][2]
+        if len(first) == 1 and first + after in _KNOWN:
+            found.append((-1 - len(after), i, i + 1, first + after))
+        if len(first) == 2 and first[0] == "A" != first[1] and len(after) > 1 and first[1] + after in _KNOWN:
+            found.append((-1 - len(after), i, i + 1, f"A {first[1:]}{after}"))
+        word, j = first, i
+        while len(runs[j][2]) == 1 and near[j] and len(runs[j + 1][2]) == 1:
+            j += 1
+            word += runs[j][2]
+            if word in _KNOWN and j > i + 1:
+                found.append((-len(word), i, j, word))
+    taken = [False] * len(runs)
+    for _, i, j, new in sorted(found):
+        if not any(taken[i : j + 1]):
+            taken[i : j + 1] = [True] * (j + 1 - i)
+            runs[i][1:] = [runs[j][1], new]
+            near[i] = near[j]
+            for k in range(i + 1, j + 1):
+                runs[k] = None
+    kept = [(r, n) for r, n in zip(runs, near, strict=True) if r is not None]
+    out: list[str] = []
+    start, joined, word = len(text), 0, ""
+    for (low, high, run), beside in reversed(kept):
+        capitals = len(word) > 1 and word.isascii() and word.isalpha() and word.isupper()
+        if beside and capitals and joined < _MOST and len(run) == 1 and "A" <= run <= "Z" and run not in _ALONE:
+            out.append(run)
+            joined, word = joined + 1, run + word
+        else:
+            out += [text[high:start], run]
+            joined, word = 0, run.rpartition(" ")[2]
+        start = low
+    return text[:start] + "".join(reversed(out))
+
+
+@F.pandas_udf(T.StringType())
+def _joined_letters(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else join_letters(x))
 
 
-#: A single capital before a run of capitals; A, I and O stand alone in prose.
-SINGLE_LETTER = _BEFORE + r"([B-HJ-NP-Z])\s+([A-Z]{2,})" + _AFTER
+def repair_spacing(text: Column) -> Column:
+    """``join_letters``; Python sees only texts that have two capitals with white space between."""
+    return F.coalesce(_joined_letters(F.when(text.rlike(r"[A-Z]\s+[A-Z]"), text)), text)
 
 
 def has_letter_spacing(text: Column) -> Column:
-    """Whether a repair of letter-spaced words would find anything."""
-    every = "|".join(f"(?:{p})" for p, _ in spacing_rules())
-    # every rule needs two capitals with space between: a cheap test that most texts fail
-    return text.rlike(r"[A-Z]\s+[A-Z]") & (text.rlike(every) | text.rlike(SINGLE_LETTER))
+    """Whether ``join_letters`` would change the text."""
+    return repair_spacing(text) != text
 
 
-def repair_spacing(text: Column, passes: int = 6) -> Column:
-    """Letter-spaced words joined: known words first, then single capitals, up to ``passes`` times."""
-    out = text
-    for pattern, word in spacing_rules():
-        out = F.regexp_replace(out, pattern, word)
-    for _ in range(passes):
-        out = F.regexp_replace(out, SINGLE_LETTER, "$1$2")
-    return out
+def _ruled(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    return reduce(lambda out, rule: F.regexp_replace(out, *rule), rules, text)
+
+
+# What is put right in extracted text, as (where, what stands there afterwards). The order is
+# part of the behaviour: a hyphen at a line's end parts a word and goes, a dash there doesn't, so dashes are
+# settled while they still differ from hyphens.
+DASH_AT_LINE_END = ((r"(?<=[–—])[ \t]*\R\s*", ""),)
+EXTRACTED = (
+    (r"\b([Ii])(?i:spast)\b", "$1s past"),
+    (r"-\s*\R\s*", ""),
+    (r"(?<=[,;:!?])(?=[\p{L}\p{N}])|(?<=[a-z]\.)(?=[A-Z])", " "),
+)
+BEFORE_PUNCTUATION = ((r"\s+(?=[,.;:!?%\])])", ""),)
+#: Lines: runs of blanks are one, none stands at a line's end or start, and two lines at most are empty together.
+LINES = ((r"\r\n?", "\n"), (r"[ \t\f\x0B]{2,}", " "), (r" ?\t? *\n[ \t]*", "\n"), (r"\n\s*\n\s*\n\s*", "\n\n"))
 
 
 def clean_display(text: Column) -> Column:
     """Text for display: byte-order marks gone, letter-spaced words repaired, spaces before punctuation and blank lines reduced."""
     bare = F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\ufeff"), F.lit("")))
-    out = F.when(has_letter_spacing(bare), repair_spacing(bare)).otherwise(bare)
-    out = F.regexp_replace(out, r"\s+([,.;:!?%\]\)])", "$1")
-    out = F.regexp_replace(out, r"[ \t\f\x0B]{2,}", " ")
-    out = F.regexp_replace(out, r"[ \t]*\n[ \t]*", "\n")
-    return F.trim(F.regexp_replace(out, r"(?:\n\s*){3,}", "\n\n"))
+    return F.trim(_ruled(repair_spacing(bare), (*BEFORE_PUNCTUATION, *LINES[1:])))
 
 
 def clean_extracted(text: Column, preserve_lines: bool = False) -> Column:
-    """Extracted text made readable; the steps depend on their order.
+    """Extracted text made readable, in one line or with its lines.
 
-    A dash that ends a line joins the next word before dashes become hyphens, else the rule for
-    hyphens at line ends would delete it. Characters are unified without compatibility
-    decomposition; apply ``nfkc`` first where that is wanted.
+    Characters are unified without compatibility decomposition; apply ``nfkc`` first where that is wanted.
     """
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"([–—])[ \t]*(?:\r\n|\r|\n)\s*", "$1")
-    out = unify_characters(out)
-    out = F.regexp_replace(F.regexp_replace(out, r"\bI(?i:spast)\b", "Is past"), r"\bi(?i:spast)\b", "is past")
-    out = F.regexp_replace(out, r"-\s*(?:\r\n|\r|\n)\s*", "")
-    out = F.regexp_replace(out, r"([,;:!?])(?=[\p{L}\p{N}])", "$1 ")
-    out = F.regexp_replace(out, r"([a-z])\.([A-Z])", "$1. $2")
-    out = F.regexp_replace(out, r"\s+([,.;:!?%\]\)])", "$1")
-    if not preserve_lines:
-        return clean_display(flatten_spaces(out))
-    out = F.regexp_replace(out, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[ \t\f\x0B]+", " ")
-    out = F.regexp_replace(out, r"[ \t]*\n[ \t]*", "\n")
-    return clean_display(F.trim(F.regexp_replace(out, r"(?:\n\s*){3,}", "\n\n")))
+    out = unify_characters(_ruled(F.coalesce(text, F.lit("")), DASH_AT_LINE_END))
+    out = _ruled(out, (*EXTRACTED, *BEFORE_PUNCTUATION))
+    return clean_display(_ruled(F.regexp_replace(out, r"[\t\f\x0B]", " "), LINES) if preserve_lines else flatten_spaces(out))
 
 
 def unify_characters(text: Column) -> Column:

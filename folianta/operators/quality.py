@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -21,22 +21,37 @@ PLACEHOLDERS = r"(?i)lorem|ipsum|placeholder|sample text|\bTODO\b|FIXME|\bdummy\
 FOOTERS = ("copyright", "all rights reserved", "printed in", "www.", "http://", "https://")
 
 
+# What each rule of the paragraph scan looks for. Characters anywhere; three of one in a row;
+# patterns over the flattened text; patterns over the text as it is; all with the names they are reported by.
+CHARACTERS = {"at_sign": "@", "hash_sign": "#", "percent_sign": "%"}
+TRIPLED = "@#%*_=~-"
+FLAT_PATTERNS = {
+    "spaced_letters": (r"\b[A-Z]\s+[A-Z]\s+(?:[A-Z]\s+)*[A-Z]\b", r"\b[a-z]\s+[a-z]\s+[a-z]\s+[a-z]\s+(?:[a-z]\s+)*[a-z]\b"),
+    "encoding": ("[ÃÂâ€�]",),
+    "page_label": (r"^(?i:page)?\s*\d{1,4}$", r"^(?i:page)\s+\d+\s+(?:(?i:of)\s+\d+)?$", r"^\d\d-\d{4}\s"),
+}
+RAW_PATTERNS = {"control_characters": (r"[\x00-\x08\x0B\x0C\x0E-\x1F]",), "repeated_space": (r"[ \t]{4}",)}
+#: Rules in the order of their reports.
+ORDER = ("at_sign", "hash_sign", "percent_sign", "repeated_symbols", "spaced_letters", "encoding", "control_characters", "repeated_space", "footer", "page_label", "short_junk")
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(or_, tests)
+
+
 def rules(text: Column, flat: Column) -> dict[str, Column]:
-    """Name and test of each rule for a paragraph and its flattened text; a text may break several."""
-    low = F.lower(flat)
-    return {
-        "at_sign": flat.contains("@"),
-        "hash_sign": flat.contains("#"),
-        "percent_sign": flat.contains("%"),
-        "repeated_symbols": reduce(or_, [F.contains(flat, F.lit(c * 3)) for c in "@#%*_=~-"]),
-        "spaced_letters": flat.rlike(r"\b(?:[A-Z]\s+){2,}[A-Z]\b") | flat.rlike(r"\b(?:[a-z]\s+){4,}[a-z]\b"),
-        "encoding": flat.rlike("[ÃÂâ€�]"),
-        "control_characters": text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"),
-        "repeated_space": text.rlike(r"[ \t]{4,}"),
-        "footer": reduce(or_, [low.contains(w) for w in FOOTERS]),
-        "page_label": flat.rlike(r"(?i)^(?:page\s*)?\d{1,4}$|^page\s+\d+\s+(?:of\s+\d+)?$") | flat.rlike(r"^\d{2}-\d{4}\s+.*$"),
-        "short_junk": F.length(flat).between(1, 4) & ~flat.rlike(r"[\p{L}\p{Nd}]"),
-    }
+    """Name and test of each rule for a paragraph and its flattened text; a text may break several.
+
+    One look at a text's characters settles the plain character rules for those that have none of them.
+    """
+    marked = flat.rlike(f"[{TRIPLED[:-1]}]|---")
+    found = {name: marked & F.contains(flat, F.lit(c)) for name, c in CHARACTERS.items()}
+    found["repeated_symbols"] = marked & _any(F.contains(flat, F.lit(3 * c)) for c in TRIPLED)
+    found |= {name: _any(flat.rlike(p) for p in patterns) for name, patterns in FLAT_PATTERNS.items()}
+    found |= {name: _any(text.rlike(p) for p in patterns) for name, patterns in RAW_PATTERNS.items()}
+    found["footer"] = _any(F.contains(F.lower(flat), F.lit(w)) for w in FOOTERS)
+    found["short_junk"] = F.length(flat).between(1, 4) & ~flat.rlike(r"[\p{L}\p{Nd}]")
+    return {name: found[name] for name in ORDER}
 
 
 def with_reasons(df: DataFrame) -> DataFrame:
@@ -120,11 +135,12 @@ _TOKEN = re.compile(r"\w+(?:['’]\w+)*|[^\w\s]")
 _OPS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("op", T.StringType()), T.StructField("stored", T.StringType()), T.StructField("source", T.StringType())]))
 
 
-def align(stored: str | None, source: str | None) -> list[dict[str, str]]:
+def align(stored: str | None, source: str | None, longest: int | None = None) -> list[dict[str, str]]:
     """Differences of two texts by tokens, classified.
 
     number: one or two numbers that only the source has; punct: no words on either side;
-    spacing: the same letters with other word boundaries; stored_only; source_only; diff.
+    spacing: the same letters with other word boundaries; stored_only; source_only; diff. With
+    ``longest`` the texts of a difference are cut to so many characters, as reports do.
     """
     a, b = _TOKEN.findall(stored or ""), _TOKEN.findall(source or "")
     out = []
@@ -140,7 +156,7 @@ def align(stored: str | None, source: str | None) -> list[dict[str, str]]:
             kind = "spacing"
         else:
             kind = {"delete": "stored_only", "insert": "source_only"}.get(op, "diff")
-        out.append({"kind": kind, "op": op, "stored": " ".join(a[i1:i2])[:400], "source": " ".join(b[j1:j2])[:400]})
+        out.append({"kind": kind, "op": op, "stored": " ".join(a[i1:i2])[:longest], "source": " ".join(b[j1:j2])[:longest]})
     return out
 
 

@@ -77,14 +77,15 @@ def all_terms(query_terms: list[str]) -> Column:
     return out
 
 
-def bm25(index: DataFrame, query_terms: list[str]) -> DataFrame:
+def bm25(index: DataFrame, query_terms: list[str], whole: DataFrame | None = None) -> DataFrame:
     """``index`` with ``score``: Okapi BM25 of the terms, larger is better.
 
-    Statistics are those of all rows of ``index``: one aggregate over token counts.
+    Statistics are those of all rows of ``whole``, the index before any scope (None: ``index``
+    itself): one aggregate over token counts.
     """
     parts = list(dict.fromkeys(p for t in query_terms for p in an.index_terms(t)))
     tf = lambda p: F.size(F.filter("tokens", lambda x: x == p))
-    stats = index.agg(
+    stats = (index if whole is None else whole).agg(
         F.count("*").cast("double").alias("n"), F.avg(F.size("tokens")).alias("length"),
         F.array(*[F.count_if(F.array_contains("tokens", p)).cast("double") for p in parts]).alias("df"),
     )
@@ -133,9 +134,9 @@ def phrase_tier(index: DataFrame, phrase: list[str], limit: int) -> DataFrame:
     return index.filter(phrase_in_a_column(phrase)).orderBy("paragraph_id").limit(limit).withColumn("place", F.col("paragraph_id").cast("double"))
 
 
-def terms_tier(index: DataFrame, query_terms: list[str], limit: int) -> DataFrame:
-    """All-terms matches by falling score, then id; the score's statistics cover the whole index."""
-    found = bm25(index, query_terms).filter(all_terms(query_terms)).orderBy(F.desc("score"), "paragraph_id").limit(limit)
+def terms_tier(index: DataFrame, query_terms: list[str], limit: int, whole: DataFrame | None = None) -> DataFrame:
+    """All-terms matches by falling score, then id; the score's statistics cover the ``whole`` index, whatever rows the search may see."""
+    found = bm25(index, query_terms, whole).filter(all_terms(query_terms)).orderBy(F.desc("score"), "paragraph_id").limit(limit)
     return _placed(found, [F.desc("score"), F.col("paragraph_id")])
 
 
@@ -184,7 +185,8 @@ def search_free_text(lib, text: str, limit: int = 50, language: str | None = Non
     tier first, unless the matches in the index alone fill the page.
     """
     limit = an.clamp(limit, 1, 250)
-    rows = scoped(wide(lib), language, sources)
+    every = wide(lib)
+    rows = scoped(every, language, sources)
     if not an.normalise(text):
         return _empty(rows)
     lookup = an.paragraph_lookup(text)
@@ -195,10 +197,10 @@ def search_free_text(lib, text: str, limit: int = 50, language: str | None = Non
     parts = [p for t in query_terms for p in an.index_terms(t)]
     if not parts:
         return _empty(rows)
-    index = with_tokens(rows)
+    index, whole = with_tokens(rows), with_tokens(every)
     if quoted is None and len(query_terms) > 1:
-        return merged([phrase_tier(index, parts, limit), terms_tier(index, query_terms, limit)], limit)
-    found = phrase_tier(index, parts, limit) if quoted is not None else terms_tier(index, query_terms, limit)
+        return merged([phrase_tier(index, parts, limit), terms_tier(index, query_terms, limit, whole)], limit)
+    found = phrase_tier(index, parts, limit) if quoted is not None else terms_tier(index, query_terms, limit, whole)
     meta = metadata_tier(rows, quoted if quoted is not None else text.strip(), limit)
     full = found.agg(F.count("*").alias("n")).scalar() >= limit
     return merged([meta.filter(~full), found], limit)

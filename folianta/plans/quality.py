@@ -61,22 +61,18 @@ def k03(lib: L) -> DataFrame:
     return mutations.compare_and_set(p.select("paragraph_id", "text"), fixes, "paragraph_id", "text").filter("applied").select("paragraph_id", "text")
 
 
-def _source_and_stored(lib: L, first: int | None = 8, spare: int = 99) -> tuple[DataFrame, DataFrame]:
-    """Paragraphs and a faulty copy of them; ``spare`` numbers what only the copy has. Faults recur every eight paragraphs.
-
-    With SQL the first eight of each work only, which is what the SQL reads.
-    """
+def _source_and_stored(lib: L) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs and a faulty copy of them, whose faults recur every eight paragraphs; 0 numbers what only the copy has."""
     p = lib.paragraphs.select("work_id", "number", "text")
-    p = p if first is None else p.filter(F.col("number") <= first)
     n, w = (F.col("number") - 1) % 8 + 1, F.col("work_id")
     stored = p.filter(~((w % 7 == 0) & (n == 1)) & ~((w % 5 == 0) & (n == 3)))
     text = F.when(n == 2, F.concat(F.lit(" "), F.col("text"))).when((n == 4) & (w % 2 == 0), F.substring(F.col("text"), 1, 12)).when(n == 5, F.concat(F.lit("x"), F.col("text"))).otherwise(F.col("text"))
-    extra = p.filter((w % 9 == 0) & (F.col("number") == 1)).select("work_id", F.lit(spare).alias("number"), "text")
+    extra = p.filter((w % 9 == 0) & (F.col("number") == 1)).select("work_id", F.lit(0).alias("number"), "text")
     return p, stored.withColumn("text", text).unionByName(extra)
 
 
-_SRC = """src AS (SELECT work_id, number, text FROM paras WHERE number <= 8),
-sto AS (SELECT work_id, number, CASE WHEN number = 2 THEN ' ' || text WHEN number = 4 AND work_id % 2 = 0 THEN substr(text, 1, 12) WHEN number = 5 THEN 'x' || text ELSE text END AS text FROM src WHERE NOT (work_id % 7 = 0 AND number = 1) AND NOT (work_id % 5 = 0 AND number = 3) UNION ALL SELECT work_id, 99, text FROM src WHERE work_id % 9 = 0 AND number = 1)"""
+_SRC = """src AS (SELECT work_id, number, (number - 1) % 8 + 1 AS n, text FROM paras),
+sto AS (SELECT work_id, number, CASE WHEN n = 2 THEN ' ' || text WHEN n = 4 AND work_id % 2 = 0 THEN substr(text, 1, 12) WHEN n = 5 THEN 'x' || text ELSE text END AS text FROM src WHERE NOT (work_id % 7 = 0 AND n = 1) AND NOT (work_id % 5 = 0 AND n = 3) UNION ALL SELECT work_id, 0, text FROM src WHERE work_id % 9 = 0 AND number = 1)"""
 _KEY = r"lower(regexp_replace({}, '[^\p{{L}}\p{{Nd}}]', '', 'g'))"
 _BARE = r"regexp_replace({}, '[\s\x0B]+', '', 'g')"
 
@@ -127,8 +123,7 @@ def k07(lib: L) -> DataFrame:
 
 @query("k08_token_alignment")
 def k08(lib: L) -> DataFrame:
-    # every paragraph; 0 is the number of none
-    a, b = _source_and_stored(lib, None, 0)
+    a, b = _source_and_stored(lib)
     both = b.withColumnRenamed("text", "stored").join(a.withColumnRenamed("text", "source"), ["work_id", "number"])
     ops = both.select("work_id", "number", F.explode(qa.aligned("stored", "source")).alias("o"))
     return ops.select("work_id", "number", "o.kind", "o.op", "o.stored", "o.source")
@@ -150,11 +145,13 @@ def k09_segments(lib: L) -> DataFrame:
     return qa.resegmentation_ok(p, new)
 
 
-@query("k10_unknown_words", rf"{W}, v AS (SELECT language, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')) AS token, work_id FROM works), n AS (SELECT language, token, count(*) AS n FROM v WHERE work_id % 2 = 0 GROUP BY ALL HAVING count(*) >= 3) SELECT DISTINCT v.language, v.token FROM v ANTI JOIN n ON v.language = n.language AND v.token = n.token WHERE v.work_id % 2 = 1")
+@query("k10_unknown_words", rf"{W}, v AS (SELECT language, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')) AS token FROM works) SELECT language, token FROM v WHERE language IS NOT NULL GROUP BY ALL HAVING count(*) < 3")
 def k10(lib: L) -> DataFrame:
+    """Words seen fewer than three times in the corpus's own vocabulary."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{Nd}]+"), lambda x: x != "")
-    vocabulary = lib.works.filter("work_id % 2 = 0").select("language", F.explode(words).alias("token")).groupBy("language", "token").agg(F.count("*").alias("n"))
-    return qa.unknown_words(lib.works.filter("work_id % 2 = 1").select("language", "text"), vocabulary)
+    named = lib.works.filter("language IS NOT NULL")
+    vocabulary = named.select("language", F.explode(words).alias("token")).groupBy("language", "token").agg(F.count("*").alias("n"))
+    return qa.unknown_words(named.select("language", "text"), vocabulary)
 
 
 @query("k11_containment", f"{W} SELECT b.item_id, count(w.work_id) AS works FROM benchmark b LEFT JOIN works w ON contains(w.text, b.text) GROUP BY b.item_id")

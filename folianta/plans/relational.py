@@ -20,10 +20,9 @@ L = Library
 @query("c01_result_projection", f"""WITH {WORKS}, {PARAS}, {SOURCES}, {AUTHORS}
 SELECT p.paragraph_id, w.work_id, coalesce(w.code, '') AS code, coalesce(w.title, '') AS title, w.year,
   coalesce(a.display_name, a.full_name, 'Unknown') AS author, coalesce(s.display_name, s.name, w.source, 'Unknown') AS source_name, w.language, p.number
-FROM paras p JOIN works w ON p.work_id = w.work_id LEFT JOIN authors a ON w.author_id = a.author_id LEFT JOIN sources s ON w.source_id = s.source_id
-WHERE p.number <= 2""")
+FROM paras p JOIN works w ON p.work_id = w.work_id LEFT JOIN authors a ON w.author_id = a.author_id LEFT JOIN sources s ON w.source_id = s.source_id""")
 def c01(lib: L) -> DataFrame:
-    out = lib.paragraphs.filter("number <= 2").select("paragraph_id", "work_id", "number").join(lib.works.drop("text"), "work_id")
+    out = lib.paragraphs.select("paragraph_id", "work_id", "number").join(lib.works.drop("text"), "work_id")
     out = out.join(op.small(lib.authors), "author_id", "left").join(op.small(lib.sources).withColumnRenamed("display_name", "source_display"), "source_id", "left")
     return out.select(
         "paragraph_id", "work_id", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("title", F.lit("")).alias("title"), "year",
@@ -207,9 +206,9 @@ def d11(lib: L) -> DataFrame:
     return out.join(a, "author_id", "left").join(s, "source_id", "left").select("work_id", "code", "author", "source_name")
 
 
-@query("d12_positional_zip", f"{W}, l AS (SELECT work_id, source_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM works), a AS (SELECT work_id, unnest(ps[1:4]) AS x, unnest(range(1, len(ps[1:4]) + 1)) AS pos FROM l WHERE source_id = 1), b AS (SELECT work_id - 1 + 1 AS work_id, unnest(ps[2:4]) AS y, unnest(range(1, len(ps[2:4]) + 1)) AS pos FROM l WHERE source_id = 1) SELECT coalesce(a.work_id, b.work_id) AS work_id, CAST(coalesce(a.pos, b.pos) AS INTEGER) AS pos, x, y FROM a FULL JOIN b ON a.work_id = b.work_id AND a.pos = b.pos")
+@query("d12_positional_zip", f"{W}, l AS (SELECT work_id, source_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM works), a AS (SELECT work_id, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS pos FROM l), b AS (SELECT work_id, unnest(ps[2:]) AS y, unnest(range(1, len(ps[2:]) + 1)) AS pos FROM l) SELECT coalesce(a.work_id, b.work_id) AS work_id, CAST(coalesce(a.pos, b.pos) AS INTEGER) AS pos, x, y FROM a FULL JOIN b ON a.work_id = b.work_id AND a.pos = b.pos")
 def d12(lib: L) -> DataFrame:
-    p = lib.paragraphs.filter("source_id = 1 AND number <= 4")
+    p = lib.paragraphs
     a = p.select("work_id", F.col("number").alias("pos"), F.col("text").alias("x"))
     b = p.filter("number >= 2").select("work_id", (F.col("number") - 1).alias("pos"), F.col("text").alias("y"))
     return a.join(b, ["work_id", "pos"], "full_outer")

@@ -158,9 +158,9 @@ def h23(lib: L) -> DataFrame:
     return ordered_concat(s, ["song_id"], "section_order", "t", "\n", "all").select("song_id", F.upper(F.sha2("all", 256)).alias("hash"))
 
 
-@query("h24_alnum_key", rf"{WP} SELECT paragraph_id, lower(regexp_replace(text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS key FROM paras WHERE length(text) < 80")
+@query("h24_alnum_key", rf"{WP} SELECT paragraph_id, lower(regexp_replace(text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS key FROM paras")
 def h24(lib: L) -> DataFrame:
-    return lib.paragraphs.filter(F.length("text") < 80).select("paragraph_id", tx.alnum_key(F.col("text"), upper=False).alias("key"))
+    return lib.paragraphs.select("paragraph_id", tx.alnum_key(F.col("text"), upper=False).alias("key"))
 
 
 @query("h25_shorten", rf"{W}, f AS (SELECT work_id, trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')) AS t FROM works) SELECT work_id, CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substr(t, 1, 57)) || '...' END AS short FROM f")

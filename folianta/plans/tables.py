@@ -35,14 +35,13 @@ def a03(lib: L) -> DataFrame:
     return lib.paragraphs.filter(F.array_contains(words, "of") & F.array_contains(words, "with")).select("paragraph_id")
 
 
-def _placed_words(lib: L, first: int | None = 3) -> DataFrame:
-    """Words of the first lines of documents (None: of all), placed on pages as a printer would."""
-    p = lib.paragraphs if first is None else lib.paragraphs.filter(F.col("number") <= first)
-    p = p.select("work_id", "number", F.posexplode(F.split("text", " +")).alias("i", "text")).filter("text <> ''")
+def _placed_words(lib: L) -> DataFrame:
+    """Words of the lines of documents, placed on pages as a printer would."""
+    p = lib.paragraphs.select("work_id", "number", F.posexplode(F.split("text", " +")).alias("i", "text")).filter("text <> ''")
     return p.select(F.col("work_id").alias("page"), (F.col("i") * 10.0).alias("x"), (F.lit(700.0) - F.col("number") * 12 - F.col("i") % 2).alias("y"), F.lit(8.0).alias("w"), "text")
 
 
-@query("a04_page_lines", f"{WP} SELECT work_id AS page, CAST(row_number() OVER (PARTITION BY work_id ORDER BY number) AS BIGINT) AS line, trim(regexp_replace(text, ' +', ' ', 'g')) AS text FROM paras WHERE number <= 3")
+@query("a04_page_lines", f"{WP} SELECT work_id AS page, CAST(row_number() OVER (PARTITION BY work_id ORDER BY number) AS BIGINT) AS line, trim(regexp_replace(text, ' +', ' ', 'g')) AS text FROM paras")
 def a04(lib: L) -> DataFrame:
     return rd.lines_of_words(_placed_words(lib))
 
@@ -50,7 +49,7 @@ def a04(lib: L) -> DataFrame:
 @query("a05_two_columns")
 def a05(lib: L) -> DataFrame:
     # lines are wrapped at the column's width; only x and the width of a word place it in a column
-    words = _placed_words(lib, None).withColumn("x", F.col("x") % 190)
+    words = _placed_words(lib).withColumn("x", F.col("x") % 190)
     right = words.withColumn("x", F.col("x") + 310)
     return rd.with_columns_of_page(words.union(right), 500.0).groupBy("page", "column").agg(F.count("*").alias("words"))
 
@@ -86,7 +85,7 @@ def a10(lib: L) -> DataFrame:
 
 def _verse_lines(lib: L, chapter: str, verse: str) -> DataFrame:
     """Orders as files: a chapter mark before each order's first line, a verse mark before every other line."""
-    li = lib.table("lineitem").filter("l_orderkey <= 400").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = lib.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     c = (o % 20 + 1).cast("string")
     head = F.format_string(chapter, c) if chapter else F.lit(None).cast("string")
@@ -95,7 +94,7 @@ def _verse_lines(lib: L, chapter: str, verse: str) -> DataFrame:
     return li.select(F.expr("l_orderkey div 20").alias("file"), o, n, F.posexplode(lines).alias("k", "line")).select("file", (o * 1000 + n * 10 + F.col("k")).alias("pos"), "line")
 
 
-_LI = "li AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p FROM lineitem WHERE l_orderkey <= 400 GROUP BY ALL)"
+_LI = "li AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL)"
 
 
 @query("a11_plain_verses", f"WITH {_LI} SELECT o // 20 AS file, CAST(sum(CASE WHEN o % 20 + 1 = 1 AND n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o // 20 ORDER BY o, n) AS BIGINT) AS book, CAST(o % 20 + 1 AS INTEGER) AS chapter, n AS verse, 'part ' || p || ' and more ' || p AS text FROM li")
@@ -103,10 +102,10 @@ def a11(lib: L) -> DataFrame:
     return rd.plain_verses(_verse_lines(lib, "", "%s:%s part %s"))
 
 
-@query("a12_chapter_files", f"{WP} SELECT 'book_' || (work_id % 30) || '_' || work_id AS file, CAST(work_id AS INTEGER) AS chapter, number AS verse, text, CASE WHEN work_id % 9 = 0 THEN 'header and file differ' END AS fault FROM paras WHERE work_id < 100000")
+@query("a12_chapter_files", f"{WP} SELECT 'book_' || (work_id % 30) || '_' || work_id AS file, CAST(work_id AS INTEGER) AS chapter, number AS verse, text, CASE WHEN work_id % 9 = 0 THEN 'header and file differ' END AS fault FROM paras")
 def a12(lib: L) -> DataFrame:
     header = F.concat(F.lit("Chapter "), F.when(F.col("work_id") % 9 == 0, F.col("work_id") + 1).otherwise(F.col("work_id")).cast("string"))
-    w = lib.works.filter("work_id < 100000").select(
+    w = lib.works.select(
         F.concat(F.lit("book_"), (F.col("work_id") % 30).cast("string"), F.lit("_"), F.col("work_id").cast("string")).alias("file"),
         F.concat(header, F.lit("\n"), F.array_join(lines_of(F.col("text")), "\n"), F.lit("\n")).alias("text"), F.size(lines_of(F.col("text"))).alias("n"),
     )
@@ -148,11 +147,11 @@ def b01(lib: L) -> DataFrame:
     return counted.withColumn("status", F.lit("imported"))
 
 
-@query("b02_materialised_index", f"WITH {WORKS}, {PARAS}, {SOURCES}, {AUTHORS} SELECT p.paragraph_id, p.work_id, {SEARCH_TEXT.format('p.text')} AS search_text, w.title, w.code, a.display_name AS author, s.display_name AS source_name FROM paras p JOIN works w ON p.work_id = w.work_id LEFT JOIN authors a ON w.author_id = a.author_id LEFT JOIN sources s ON w.source_id = s.source_id WHERE p.number <= 3")
+@query("b02_materialised_index", f"WITH {WORKS}, {PARAS}, {SOURCES}, {AUTHORS} SELECT p.paragraph_id, p.work_id, {SEARCH_TEXT.format('p.text')} AS search_text, w.title, w.code, a.display_name AS author, s.display_name AS source_name FROM paras p JOIN works w ON p.work_id = w.work_id LEFT JOIN authors a ON w.author_id = a.author_id LEFT JOIN sources s ON w.source_id = s.source_id")
 def b02(lib: L) -> DataFrame:
     from folianta.operators.search import wide
 
-    return wide(lib).filter("number <= 3").select("paragraph_id", "work_id", "search_text", "title", "code", "author", "source_name")
+    return wide(lib).select("paragraph_id", "work_id", "search_text", "title", "code", "author", "source_name")
 
 
 @query("b03_upsert", """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier WHERE s_suppkey % 4 <> 0), i AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_nationkey END AS v FROM supplier WHERE s_suppkey % 3 = 0)
@@ -225,12 +224,14 @@ def b11(lib: L) -> DataFrame:
     return mu.positional_plan(p.filter("work_id % 4 <> 0 OR number <= 3"), wanted, "work_id", "number", "text").groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("b12_keyed_plan", f"{WP}, a AS (SELECT work_id, number, text AS old FROM paras WHERE number <= 6), b AS (SELECT work_id, number, CASE WHEN number = 2 THEN 'changed' ELSE text END AS new FROM paras WHERE number <= 4), r AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) SELECT action, count(*) AS n FROM (SELECT CASE WHEN b.work_id IS NULL AND r.doc_id IS NOT NULL THEN 'guard' WHEN b.work_id IS NULL THEN 'delete' WHEN a.work_id IS NULL THEN 'insert' WHEN old IS NOT DISTINCT FROM new THEN 'keep' ELSE 'update' END AS action FROM a FULL JOIN b ON a.work_id = b.work_id AND a.number = b.number LEFT JOIN r ON coalesce(a.work_id, b.work_id) = r.doc_id) GROUP BY action")
+@query("b12_keyed_plan", f"{WP}, a AS (SELECT work_id, number, text AS old FROM paras WHERE NOT (work_id % 4 = 0 AND number % 5 = 0)), b AS (SELECT work_id, number, CASE WHEN number = 2 THEN 'changed' ELSE text END AS new FROM paras WHERE NOT (work_id % 3 = 0 AND number % 7 = 0)), r AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) SELECT action, count(*) AS n FROM (SELECT CASE WHEN b.work_id IS NULL AND r.doc_id IS NOT NULL THEN 'guard' WHEN b.work_id IS NULL THEN 'delete' WHEN a.work_id IS NULL THEN 'insert' WHEN old IS NOT DISTINCT FROM new THEN 'keep' ELSE 'update' END AS action FROM a FULL JOIN b ON a.work_id = b.work_id AND a.number = b.number LEFT JOIN r ON coalesce(a.work_id, b.work_id) = r.doc_id) GROUP BY action")
 def b12(lib: L) -> DataFrame:
     p = lib.paragraphs.select("work_id", "number", "text")
-    wanted = p.filter("number <= 4").withColumn("text", F.when(F.col("number") == 2, "changed").otherwise(F.col("text")))
-    referenced = p.filter("number <= 6").select("work_id", "number").join(lib.favourites, "work_id", "left_semi")
-    return mu.keyed_plan(p.filter("number <= 6"), wanted, ["work_id", "number"], "text", referenced).groupBy("action").agg(F.count("*").alias("n"))
+    # the two sides lack other paragraphs
+    stored = p.filter("NOT (work_id % 4 = 0 AND number % 5 = 0)")
+    wanted = p.filter("NOT (work_id % 3 = 0 AND number % 7 = 0)").withColumn("text", F.when(F.col("number") == 2, "changed").otherwise(F.col("text")))
+    referenced = stored.select("work_id", "number").join(lib.favourites, "work_id", "left_semi")
+    return mu.keyed_plan(stored, wanted, ["work_id", "number"], "text", referenced).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query("b13_toggled", "SELECT user_id, event_type, count(*) AS toggles FROM events GROUP BY ALL HAVING count(*) % 2 = 1")
