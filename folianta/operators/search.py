@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from folianta.functions import analyze as an
 from folianta.functions import text as tx
-from folianta.operators.relational import first_child, keep_one, small
+from folianta.model import lines_of
+from folianta.operators import index as ix
+from folianta.operators.index import INDEXED
+from folianta.operators.relational import first_child, keep_one
 
 #: Published constants of Okapi BM25, and decimal places to which a score counts.
 K1, B, PLACES = 1.2, 0.75, 6
 
-#: Columns that the index covers.
-INDEXED = ("text", "title", "code", "author", "source_name")
-
 
 def combine_scope(one: int | None, allowed: Sequence[int] | None) -> list[int] | None:
     return an.scope(one, allowed)
@@ -33,11 +33,21 @@ def in_list(column: str, ids: Sequence[int] | None) -> Column:
 
 
 def wide(lib) -> DataFrame:
-    """Paragraphs with the columns of their work, author and source."""
-    w = lib.works.select("work_id", "code", "title", "year", "work_date", "author_id")
-    a = small(lib.authors.select("author_id", F.col("display_name").alias("author"), F.col("full_name").alias("author_full")))
-    s = small(lib.sources.select("source_id", F.col("display_name").alias("source_name"), F.col("name").alias("source_short")))
-    return lib.searchable.join(w, "work_id").join(a, "author_id", "left").join(s, "source_id", "left")
+    """Paragraphs with the columns of their work, author and source; a work's columns go with its lines, without a join.
+
+    Works without an id are left out.
+    """
+    w = lib.works.filter("work_id IS NOT NULL")
+    p = w.select("work_id", "language", "source_id", "code", "title", "year", "work_date", "author_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "text"))
+    p = p.withColumns({"number": (F.col("pos") + 1).cast("int"), "paragraph_id": F.col("work_id") * 1000000 + F.col("pos") + 1, "search_text": tx.search_text(F.col("text"))}).drop("pos")
+    a = lib.authors.select("author_id", F.col("display_name").alias("author"), F.col("full_name").alias("author_full"))
+    s = lib.sources.select("source_id", F.col("display_name").alias("source_name"), F.col("name").alias("source_short"))
+    return p.join(a, "author_id", "left").join(s, "source_id", "left")
+
+
+def index_of(lib) -> ix.Index:
+    """The stored index of a library, built by the first search over its documents."""
+    return ix.stored(lib.spark, f"{lib.sf_dir}/documents.parquet", lambda: wide(lib))
 
 
 def canonical() -> list[Column]:
@@ -45,57 +55,42 @@ def canonical() -> list[Column]:
     return [F.when(F.col("year") > 0, 0).otherwise(1), F.col("year"), F.col("work_date").asc_nulls_first(), F.col("title"), F.col("number"), F.col("paragraph_id")]
 
 
+def scope_of(language: str | None, sources: Sequence[int] | None) -> Column:
+    """Whether a search may see a row."""
+    inside = in_list("source_id", sources)
+    return inside if language is None else tx.equals_folded(F.col("language"), language) & inside
+
+
 def scoped(df: DataFrame, language: str | None, sources: Sequence[int] | None) -> DataFrame:
     """Rows a search may see; applied before any limit."""
-    if language is not None:
-        df = df.filter(tx.equals_folded(F.col("language"), language))
-    return df.filter(in_list("source_id", sources))
+    return df.filter(scope_of(language, sources))
 
 
-def with_tokens(df: DataFrame) -> DataFrame:
-    """``t_`` columns: tokens of each indexed column as one padded string; ``tokens``: all of them."""
-    df = df.withColumns({f"l_{c}": tx.once(tx.index_tokens(F.coalesce(F.col(c), F.lit("")))) for c in INDEXED})
-    joined = {f"t_{c}": F.concat(F.lit(" "), F.array_join(f"l_{c}", " "), F.lit(" ")) for c in INDEXED}
-    return df.withColumns(joined).withColumn("tokens", F.concat(*[f"l_{c}" for c in INDEXED])).drop(*[f"l_{c}" for c in INDEXED])
+def phrases_of(query_terms: Sequence[str]) -> list[list[str]]:
+    """What the index looks up for query terms: a token each, or a phrase where the index cuts the term."""
+    return [p for p in (an.index_terms(t) for t in query_terms) if p]
 
 
-def phrase_in_a_column(phrase: list[str]) -> Column:
-    """Whether the tokens stand next to each other in one indexed column."""
-    wanted = F.lit(" " + " ".join(phrase) + " ")
-    out = F.lit(False)
-    for c in INDEXED:
-        out = out | F.contains(f"t_{c}", wanted)
-    return out
+def with_all(index: ix.Index, query_terms: Sequence[str], scope: Column | None = None) -> DataFrame:
+    """``index.lookup`` of the paragraphs that match every term."""
+    phrases = phrases_of(query_terms)
+    found = ix.lookup(index, phrases, scope)
+    for k in range(len(phrases)):
+        found = found.filter(f"match_{k}")
+    return found
 
 
-def all_terms(query_terms: list[str]) -> Column:
-    """Whether every query term is in the index entry: as a token, or as a phrase where the index cuts it."""
-    out = F.lit(True)
-    for t in query_terms:
-        parts = an.index_terms(t)
-        out = out & (F.array_contains("tokens", parts[0]) if len(parts) == 1 else phrase_in_a_column(parts))
-    return out
+def bm25(index: ix.Index, found: DataFrame, query_terms: Sequence[str]) -> DataFrame:
+    """``found`` (a lookup of the terms) with ``score``: Okapi BM25, larger is better.
 
-
-def bm25(index: DataFrame, query_terms: list[str], whole: DataFrame | None = None) -> DataFrame:
-    """``index`` with ``score``: Okapi BM25 of the terms, larger is better.
-
-    Statistics are those of all rows of ``whole``, the index before any scope (None: ``index``
-    itself): one aggregate over token counts.
+    Statistics are those of the whole index, whatever rows the search may see.
     """
-    parts = list(dict.fromkeys(p for t in query_terms for p in an.index_terms(t)))
-    tf = lambda p: F.size(F.filter("tokens", lambda x: x == p))
-    stats = (index if whole is None else whole).agg(
-        F.count("*").cast("double").alias("n"), F.avg(F.size("tokens")).alias("length"),
-        F.array(*[F.count_if(F.array_contains("tokens", p)).cast("double") for p in parts]).alias("df"),
-    )
-    s = stats.select(F.struct("n", "length", "df").alias("s")).scalar()
+    n, mean = index.total("n"), index.total("mean_length")
     score = F.lit(0.0)
-    for i, p in enumerate(parts):
-        idf = F.log(1 + (s["n"] - s["df"][i] + 0.5) / (s["df"][i] + 0.5))
-        score = score + idf * F.col(f"__tf{i}") * (K1 + 1) / (F.col(f"__tf{i}") + K1 * (1 - B + B * F.size("tokens") / s["length"]))
-    counted = index.withColumns({f"__tf{i}": tx.once(tf(p)) for i, p in enumerate(parts)})
-    return counted.withColumn("score", tx.once(F.round(score, PLACES))).drop(*[f"__tf{i}" for i in range(len(parts))])
+    for i, token in enumerate(ix.tokens_of(phrases_of(query_terms))):
+        df, tf = index.frequency(token), F.col(f"tf_{i}")
+        score = score + F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
+    return found.withColumn("score", F.round(score, PLACES))
 
 
 def simple_rank(text: str) -> Column:
@@ -129,15 +124,37 @@ def metadata_match(text: str) -> Column:
     return out | (F.col("year") == int(text.strip())) if text.strip().isdigit() else out
 
 
-def phrase_tier(index: DataFrame, phrase: list[str], limit: int) -> DataFrame:
-    """Phrase matches, unranked: the first by id."""
-    return index.filter(phrase_in_a_column(phrase)).orderBy("paragraph_id").limit(limit).withColumn("place", F.col("paragraph_id").cast("double"))
+def phrase_tier(index: ix.Index, phrase: list[str], limit: int, scope: Column | None = None) -> DataFrame:
+    """paragraph_id and place of phrase matches, unranked: the first by id."""
+    found = ix.lookup(index, [phrase], scope).filter("match_0").orderBy("paragraph_id").limit(limit)
+    return found.select("paragraph_id", F.col("paragraph_id").cast("double").alias("place"))
+
+
+def terms_tier(index: ix.Index, query_terms: list[str], limit: int, scope: Column | None = None) -> DataFrame:
+    """paragraph_id and place of all-terms matches by falling score, then id."""
+    found = bm25(index, with_all(index, query_terms, scope), query_terms).orderBy(F.desc("score"), "paragraph_id").limit(limit)
+    return _placed(found, [F.desc("score"), F.col("paragraph_id")]).select("paragraph_id", "place")
+
 
+def fetched(index: ix.Index, tier: DataFrame) -> DataFrame:
+    """The entries of a tier's paragraphs, with ``place``.
 
-def terms_tier(index: DataFrame, query_terms: list[str], limit: int, whole: DataFrame | None = None) -> DataFrame:
-    """All-terms matches by falling score, then id; the score's statistics cover the ``whole`` index, whatever rows the search may see."""
-    found = bm25(index, query_terms, whole).filter(all_terms(query_terms)).orderBy(F.desc("score"), "paragraph_id").limit(limit)
-    return _placed(found, [F.desc("score"), F.col("paragraph_id")])
+    A tier holds 250 rows at most. They are looked up first, so that the scan of the entries, which
+    lie in the order of their ids, is given the ids themselves and skips what cannot hold them.
+    """
+    hits = [(r.paragraph_id, r.place) for r in tier.collect()]
+    page = index.spark.createDataFrame(hits, "paragraph_id long, place double")
+    return index.entries.filter(_one_of("paragraph_id", [h[0] for h in hits])).join(F.broadcast(page), "paragraph_id")
+
+
+def _one_of(column: str, values: Sequence[int]) -> Column:
+    """Equal to one of the values, as a balanced tree of equalities: unlike a long list, it is pushed down as it is."""
+    if not values:
+        return F.lit(False)
+    if len(values) == 1:
+        return F.col(column) == values[0]
+    half = len(values) // 2
+    return _one_of(column, values[:half]) | _one_of(column, values[half:])
 
 
 def _placed(found: DataFrame, order: list[Column]) -> DataFrame:
@@ -178,17 +195,15 @@ def _empty(rows: DataFrame) -> DataFrame:
 
 
 def search_free_text(lib, text: str, limit: int = 50, language: str | None = None, sources: Sequence[int] | None = None) -> DataFrame:
-    """The tier cascade, as one lazy plan.
+    """The tier cascade over the stored index.
 
     Blank: nothing. A text that ends in a paragraph number: structured search. Several terms
     without quotes: phrase tier, then all-terms tier. One term, or a quoted phrase: metadata
     tier first, unless the matches in the index alone fill the page.
     """
     limit = an.clamp(limit, 1, 250)
-    every = wide(lib)
-    rows = scoped(every, language, sources)
     if not an.normalise(text):
-        return _empty(rows)
+        return _empty(wide(lib))
     lookup = an.paragraph_lookup(text)
     if lookup:
         return search_structured(lib, an.SearchQuery(text=lookup.text, paragraph=lookup.number, limit=limit, language=language, sources=sources))
@@ -196,12 +211,12 @@ def search_free_text(lib, text: str, limit: int = 50, language: str | None = Non
     query_terms = an.terms(an.normalise(quoted if quoted is not None else text))
     parts = [p for t in query_terms for p in an.index_terms(t)]
     if not parts:
-        return _empty(rows)
-    index, whole = with_tokens(rows), with_tokens(every)
+        return _empty(wide(lib))
+    index, scope = index_of(lib), scope_of(language, sources)
     if quoted is None and len(query_terms) > 1:
-        return merged([phrase_tier(index, parts, limit), terms_tier(index, query_terms, limit, whole)], limit)
-    found = phrase_tier(index, parts, limit) if quoted is not None else terms_tier(index, query_terms, limit, whole)
-    meta = metadata_tier(rows, quoted if quoted is not None else text.strip(), limit)
+        return merged([fetched(index, phrase_tier(index, parts, limit, scope)), fetched(index, terms_tier(index, query_terms, limit, scope))], limit)
+    found = fetched(index, phrase_tier(index, parts, limit, scope) if quoted is not None else terms_tier(index, query_terms, limit, scope))
+    meta = metadata_tier(index.entries.filter(scope), quoted if quoted is not None else text.strip(), limit)
     full = found.agg(F.count("*").alias("n")).scalar() >= limit
     return merged([meta.filter(~full), found], limit)
 
@@ -209,7 +224,10 @@ def search_free_text(lib, text: str, limit: int = 50, language: str | None = Non
 def search_structured(lib, q: an.SearchQuery) -> DataFrame:
     """Filters of every field given; matches of metadata and text first, those of the index after them."""
     limit = an.clamp(q.limit, 1, 250)
-    rows = scoped(wide(lib), q.language, an.scope(q.source_id, q.sources))
+    if not any((q.text, q.title, q.code, q.keyword, q.author_id is not None, q.source_id is not None, q.year, q.paragraph, q.sources is not None)):
+        return _empty(wide(lib))
+    index = index_of(lib)
+    rows = scoped(index.entries, q.language, an.scope(q.source_id, q.sources))
     for column, value in (("author_id", q.author_id), ("year", q.year), ("number", q.paragraph)):
         if value is not None:
             rows = rows.filter(F.col(column) == value)
@@ -217,8 +235,6 @@ def search_structured(lib, q: an.SearchQuery) -> DataFrame:
         rows = rows.filter(tx.contains_folded(F.col("title"), q.title))
     if q.code:
         rows = rows.filter(tx.contains_folded(F.col("code"), q.code))
-    if not any((q.text, q.title, q.code, q.keyword, q.author_id is not None, q.source_id is not None, q.year, q.paragraph, q.sources is not None)):
-        return _empty(rows)
     rank = filtered_rank(q)
     order = [F.col("__rank"), *canonical()]
 
@@ -231,9 +247,10 @@ def search_structured(lib, q: an.SearchQuery) -> DataFrame:
     if q.keyword:
         like = like.filter(F.contains("search_text", F.lit(an.normalise(q.keyword))))
     words = an.terms(an.normalise(" ".join(x for x in (q.text, q.keyword) if x)))
-    if not words:
+    if not phrases_of(words):
         return merged([tier(like)], limit)
-    return merged([tier(like), tier(with_tokens(rows).filter(all_terms(words)))], limit)
+    matching = with_all(index, words, scope_of(q.language, an.scope(q.source_id, q.sources))).select("paragraph_id")
+    return merged([tier(like), tier(rows.join(matching, "paragraph_id", "left_semi"))], limit)
 
 
 def filtered_rank(q: an.SearchQuery) -> Column:

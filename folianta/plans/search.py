@@ -9,6 +9,7 @@ from folianta.functions import analyze as an
 from folianta.functions import text as tx
 from folianta.functions.references import BOOKS, parse_reference
 from folianta.model import Library
+from folianta.operators import index as ix
 from folianta.operators import relational as op
 from folianta.operators import search as se
 from folianta.plans.catalog import AUTHORS, PARAS, SEARCH_TEXT, SONGS, SOURCES, VERSES, WORKS, W, WP, query
@@ -112,22 +113,23 @@ def i03(lib: L) -> DataFrame:
 
 @query("i04_all_terms", f"{BASE}, {IDX} SELECT paragraph_id FROM idx WHERE {_all(['idiot', 'the'])}")
 def i04(lib: L) -> DataFrame:
-    return se.with_tokens(se.wide(lib)).filter(se.all_terms(["IDIOT", "THE"])).select("paragraph_id")
+    return se.with_all(se.index_of(lib), ["IDIOT", "THE"]).select("paragraph_id")
 
 
 @query("i05_phrase_in_column", f"{BASE}, {IDX} SELECT paragraph_id FROM idx WHERE {_phrase('source 3')} OR {_phrase('of the')}")
 def i05(lib: L) -> DataFrame:
-    return se.with_tokens(se.wide(lib)).filter(se.phrase_in_a_column(["source", "3"]) | se.phrase_in_a_column(["of", "the"])).select("paragraph_id")
+    return ix.lookup(se.index_of(lib), [["source", "3"], ["of", "the"]]).filter("match_0 OR match_1").select("paragraph_id")
 
 
 @query("i06_source_filter_first", f"{BASE}, {IDX} SELECT paragraph_id FROM idx WHERE source_id IN (4, 5) AND list_contains(tokens, 'the')")
 def i06(lib: L) -> DataFrame:
-    return se.with_tokens(se.scoped(se.wide(lib), None, [5, 4])).filter(se.all_terms(["THE"])).select("paragraph_id")
+    return se.with_all(se.index_of(lib), ["THE"], se.scope_of(None, [5, 4])).select("paragraph_id")
 
 
 @query("i07_bm25", f"{BASE}, {IDX}, {_scored(['that', 'with'])} SELECT paragraph_id, score FROM scored WHERE score > 0 ORDER BY score DESC, paragraph_id LIMIT 200")
 def i07(lib: L) -> DataFrame:
-    scored = se.bm25(se.with_tokens(se.wide(lib)), ["THAT", "WITH"])
+    index = se.index_of(lib)
+    scored = se.bm25(index, ix.lookup(index, [["that"], ["with"]]), ["THAT", "WITH"])
     return scored.filter("score > 0").select("paragraph_id", "score").orderBy(F.desc("score"), "paragraph_id").limit(200)
 
 
@@ -143,19 +145,19 @@ def i09(lib: L) -> DataFrame:
 
 @query("i10_text_and_keyword", f"{BASE}, {IDX} SELECT paragraph_id FROM idx WHERE {_all(['the', 'with', 'idiot'])}")
 def i10(lib: L) -> DataFrame:
-    return se.with_tokens(se.wide(lib)).filter(se.all_terms(an.terms(an.normalise("The with" + " " + "idiot")))).select("paragraph_id")
+    return se.with_all(se.index_of(lib), an.terms(an.normalise("The with" + " " + "idiot"))).select("paragraph_id")
 
 
 @query("i11_scope_inside_limit", f"{BASE}, {IDX}, w2 AS (SELECT * FROM idx WHERE source_id = 7 AND {_LOW.format('language')} = 'en' AND {_phrase('of the')} ORDER BY paragraph_id LIMIT 15) SELECT paragraph_id, source_id FROM w2")
 def i11(lib: L) -> DataFrame:
-    rows = se.scoped(se.wide(lib), "En", [7])
-    return se.phrase_tier(se.with_tokens(rows), ["of", "the"], 15).select("paragraph_id", "source_id")
+    index = se.index_of(lib)
+    return se.fetched(index, se.phrase_tier(index, ["of", "the"], 15, se.scope_of("En", [7]))).select("paragraph_id", "source_id")
 
 
 @query("i12_merge_tiers", f"{BASE}, {IDX}, {_scored(['the'])}, a AS (SELECT * FROM idx WHERE {_phrase('of the')} ORDER BY paragraph_id LIMIT 30), b AS (SELECT * FROM scored WHERE list_contains(tokens, 'the') ORDER BY score DESC, paragraph_id LIMIT 30) {_merge([('a', 'paragraph_id'), ('b', 'score DESC, paragraph_id')], 40)}")
 def i12(lib: L) -> DataFrame:
-    index = se.with_tokens(se.wide(lib))
-    return se.merged([se.phrase_tier(index, ["of", "the"], 30), se.terms_tier(index, ["THE"], 30)], 40).drop("place")
+    index = se.index_of(lib)
+    return se.merged([se.fetched(index, se.phrase_tier(index, ["of", "the"], 30)), se.fetched(index, se.terms_tier(index, ["THE"], 30))], 40).drop("place")
 
 
 _NORM = r"trim(regexp_replace(replace(translate(text, '‘’‚‛`´', ''''''''''''''), '''', chr(1)), '[\p{P}\p{S}\p{Z}\t\n\x0B\f\r]+', ' ', 'g'))"

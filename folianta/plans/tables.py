@@ -149,9 +149,9 @@ def b01(lib: L) -> DataFrame:
 
 @query("b02_materialised_index", f"WITH {WORKS}, {PARAS}, {SOURCES}, {AUTHORS} SELECT p.paragraph_id, p.work_id, {SEARCH_TEXT.format('p.text')} AS search_text, w.title, w.code, a.display_name AS author, s.display_name AS source_name FROM paras p JOIN works w ON p.work_id = w.work_id LEFT JOIN authors a ON w.author_id = a.author_id LEFT JOIN sources s ON w.source_id = s.source_id")
 def b02(lib: L) -> DataFrame:
-    from folianta.operators.search import wide
+    from folianta.operators.search import index_of
 
-    return wide(lib).select("paragraph_id", "work_id", "search_text", "title", "code", "author", "source_name")
+    return index_of(lib).entries.select("paragraph_id", "work_id", "search_text", "title", "code", "author", "source_name")
 
 
 @query("b03_upsert", """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier WHERE s_suppkey % 4 <> 0), i AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_nationkey END AS v FROM supplier WHERE s_suppkey % 3 = 0)
