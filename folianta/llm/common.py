@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python; with texts of 3 KB about 6 MB.
+#: Rows of one Arrow batch sent to Python, which ends at BATCH_BYTES too.
 BATCH_ROWS = 2000
 #: A key with more than one in so many of the rows is hot; so there are fewer hot keys than this.
 HOT_SHARE = 4096
-BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch: both sides hold some of them for every task, so this bounds an executor's memory beside its heap.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a vectorised step works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
