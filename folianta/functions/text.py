@@ -42,25 +42,25 @@ def upper_keeping_sharp_s(text: Column) -> Column:
     return F.replace(F.upper(F.replace(text, F.lit("ß"), F.lit(_MARK))), F.lit(_MARK), F.lit("ß"))
 
 
-def search_text(text: Column) -> Column:
-    """Collapsed white space, upper case: the form in which paragraphs are searched."""
-    return upper_keeping_sharp_s(F.trim(F.regexp_replace(text, r"[\s\x0B]+", " ")))
+def collapsed_upper(text: Column) -> Column:
+    """Collapsed white space, upper case."""
+    return upper_keeping_sharp_s(flatten_spaces(text))
 
 
-def normalise_for_search(text: Column) -> Column:
-    """A query or text for matching: apostrophes unified, other punctuation and symbols as spaces, collapsed, upper case.
+def search_text(text: Column) -> Column:
+    """The form in which paragraphs are searched: compatibility forms composed, cleaned as extracted text, upper case; empty for null."""
+    return upper_keeping_sharp_s(clean_extracted(composed(text)))
 
-    Compatibility forms (ligatures and the like) need ``nfkc`` first.
-    """
-    plain = F.translate(text, APOSTROPHES + ZERO_WIDTH, "'" * len(APOSTROPHES))
-    kept = F.replace(plain, F.lit("'"), F.lit(_MARK))
-    spaced = F.regexp_replace(kept, r"[\p{P}\p{S}\p{Z}\t\n\x0B\f\r]+", " ")
-    return upper_and_back(F.trim(spaced))
+
+def composed(text: Column) -> Column:
+    """``nfkc``; Python sees only texts with more than ASCII and the accented letters of Latin 1, which are composed already."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F\u00C0-\u00FF]"), text)), text)
 
 
-def upper_and_back(text: Column) -> Column:
-    """Upper case, sharp s kept, and marked apostrophes restored."""
-    return F.replace(F.replace(F.upper(F.replace(text, F.lit("ß"), F.lit("\u0002"))), F.lit("\u0002"), F.lit("ß")), F.lit(_MARK), F.lit("'"))
+def normalise_for_search(text: Column) -> Column:
+    """A query or text for matching: compatibility forms composed, apostrophes unified, other punctuation, symbols and controls as spaces, collapsed, upper case."""
+    plain = F.translate(composed(text), APOSTROPHES + ZERO_WIDTH, "'" * len(APOSTROPHES))
+    return upper_keeping_sharp_s(F.trim(F.regexp_replace(plain, r"[[\p{P}\p{S}\p{Z}\p{C}]&&[^']]+", " ")))
 
 
 def tokens(normalised: Column) -> Column:
@@ -187,7 +187,7 @@ def join_letters(text: str) -> str:
     that share a run the longest wins. Then single capitals join the run of capitals after them (G LORY).
     """
     runs = [[m.start(), m.end(), m[0]] for m in _RUN.finditer(text)]
-    near = [text[x[1] : y[0]].isspace() for x, y in zip(runs, runs[1:], strict=False)] + [False]
+    near = [text[x[1] : y[0]].isspace() for x, y in zip(runs, runs[1:], strict=False)] + [False] * bool(runs)
     found = []  # (length of the word, first run, last run, new text)
     for i, (_, _, first) in enumerate(runs):
         if not near[i]:

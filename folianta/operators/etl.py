@@ -106,7 +106,7 @@ def accepted_numbers(rows: DataFrame, reach: int = 5) -> DataFrame:
 
 def header_key(text: Column) -> Column:
     """Collapsed upper-case text of a line that could be a header: 3 to 140 characters; else empty."""
-    key = F.when(F.length(text) <= 140, tx.search_text(text)).otherwise("")
+    key = F.when(F.length(text) <= 140, tx.collapsed_upper(text)).otherwise("")
     return F.when(F.length(key) >= 3, key).otherwise("")
 
 

@@ -39,7 +39,7 @@ COLUMN_STEP = 1 << 32
 BUCKETS = 64
 
 #: Form of the stored tables; another form gets another folder.
-FORMAT = 1
+FORMAT = 2
 
 #: Columns of postings, which an empty table of directories does not tell.
 POSTINGS = "token string, paragraph_id long, language string, source_id int, length int, places array<long>, bucket int"

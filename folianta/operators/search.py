@@ -307,8 +307,7 @@ def browse(lib, author_id: int | None = None, source_id: int | None = None, year
 
 def search_paragraphs(lib, text: str, limit: int = 50) -> DataFrame:
     """The repository's search: search text contains the query; by year, date and number."""
-    hits = lib.searchable.filter(F.contains("search_text", F.lit(an.normalise(text))))
-    rows = hits.join(lib.works.select("work_id", "code", "title", "year", "work_date"), "work_id")
+    rows = index_of(lib).entries.filter(F.contains("search_text", F.lit(an.normalise(text))))
     order = [F.col("year"), F.col("work_date").asc_nulls_first(), F.col("number"), F.col("paragraph_id")]
     return rows.orderBy(*order).limit(an.clamp(limit, 1, 100)).select("paragraph_id", "work_id", "code", "title", "year", "number", F.substring("text", 1, 240).alias("preview"))
 

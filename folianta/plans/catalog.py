@@ -32,8 +32,32 @@ PARAS = """paras AS (
 )"""
 WP = f"WITH {WORKS}, {PARAS}"
 W = f"WITH {WORKS}"
-#: search_text of a column in SQL.
-SEARCH_TEXT = r"replace(upper(replace(trim(regexp_replace({}, '[\s\x0B]+', ' ', 'g')), 'ß', chr(1))), chr(1), 'ß')"
+#: collapsed_upper of a column in SQL.
+COLLAPSED_UPPER = r"replace(upper(replace(trim(regexp_replace({}, '[\s\x0B]+', ' ', 'g')), 'ß', chr(1))), chr(1), 'ß')"
+
+
+def _search_text() -> str:
+    """search_text of a column in SQL, but for compatibility forms and letter-spaced words."""
+    unified = "".join(map(chr, (0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000))), "".join(map(chr, range(0x2018, 0x201C))), "".join(map(chr, range(0x201C, 0x2020))), "".join(map(chr, (*range(0x2010, 0x2015), 0x2212)))
+    # a single quote is doubled in SQL
+    source, target = "".join(unified), "".join(a * len(u) for a, u in zip((" ", "''", '"', "-"), unified, strict=True))
+    out = r"regexp_replace({}, '([–—])[ \t]*[\n\f\r]\s*', '\1', 'g')"
+    out = f"translate(replace({out}, '…', '...'), '{source}', '{target}')"
+    steps = (
+        (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}\x{{200B}}-\x{{200D}}\x{{FEFF}}\x{{FFFD}}\p{{Co}}]", ""),
+        (r"\b([Ii])[Ss][Pp][Aa][Ss][Tt]\b", r"\1s past"),
+        (r"-\s*[\n\r]\s*", ""),
+        (r"([,;:!?])([\p{{L}}\p{{N}}])", r"\1 \2"),
+        (r"([a-z]\.)([A-Z])", r"\1 \2"),
+        (r"\s+([,.;:!?%\])])", r"\1"),
+        (r"\s+", " "),
+    )
+    for found, instead in steps:
+        out = f"regexp_replace({out}, '{found}', '{instead}', 'g')"
+    return f"replace(upper(replace(trim({out}), 'ß', chr(1))), chr(1), 'ß')"
+
+
+SEARCH_TEXT = _search_text()
 SOURCES = """sources AS (
   SELECT DISTINCT source_id, 'src' || source_id AS name, 'Source ' || source_id AS display_name,
     CASE source_id WHEN 0 THEN 'sermons' WHEN 1 THEN 'letters' WHEN 2 THEN 'brochures' ELSE 'archive' END AS source_type

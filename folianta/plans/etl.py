@@ -10,7 +10,7 @@ from folianta.functions import text as tx
 from folianta.model import Library, lines_of
 from folianta.operators import etl, mutations, songs
 from folianta.operators import relational as op
-from folianta.plans.catalog import SEARCH_TEXT, SONGS, VERSES, WORKS, W, WP, query
+from folianta.plans.catalog import COLLAPSED_UPPER, SONGS, VERSES, WORKS, W, WP, query
 
 L = Library
 
@@ -67,9 +67,9 @@ def j05(lib: L) -> DataFrame:
     return etl.rejoin(p).select("work_id", "page", "pos", F.length("text").alias("n"))
 
 
-@query("j06_running_heads", f"{WP} SELECT paragraph_id FROM paras p WHERE NOT (length(text) <= 32 AND (work_id, {SEARCH_TEXT.format('text')}) IN (SELECT (work_id, {SEARCH_TEXT.format('text')}) FROM paras WHERE length(text) <= 32 GROUP BY work_id, {SEARCH_TEXT.format('text')} HAVING count(*) >= 2))")
+@query("j06_running_heads", f"{WP} SELECT paragraph_id FROM paras p WHERE NOT (length(text) <= 32 AND (work_id, {COLLAPSED_UPPER.format('text')}) IN (SELECT (work_id, {COLLAPSED_UPPER.format('text')}) FROM paras WHERE length(text) <= 32 GROUP BY work_id, {COLLAPSED_UPPER.format('text')} HAVING count(*) >= 2))")
 def j06(lib: L) -> DataFrame:
-    p = lib.paragraphs.withColumn("key", tx.search_text(F.col("text")))
+    p = lib.paragraphs.withColumn("key", tx.collapsed_upper(F.col("text")))
     heads = op.duplicate_keys(p.filter(F.length("text") <= 32), ["work_id", "key"]).select("work_id", "key").withColumn("head", F.lit(True))
     return p.join(heads, ["work_id", "key"], "left").filter(~(F.col("head").isNotNull() & (F.length("text") <= 32))).select("paragraph_id")
 
@@ -84,7 +84,7 @@ def _judged(lib: L) -> DataFrame:
     return etl.verdicts(lib.paragraphs.select("work_id", "number", "paragraph_id", "text", F.expr("cast(number div 4 as int)").alias("page")))
 
 
-_VERDICT = rf"""v0 AS (SELECT work_id, number, paragraph_id, text, number // 4 AS page, CASE WHEN length(text) <= 140 AND length({SEARCH_TEXT.format("text")}) >= 3 THEN {SEARCH_TEXT.format("text")} ELSE '' END AS k FROM paras),
+_VERDICT = rf"""v0 AS (SELECT work_id, number, paragraph_id, text, number // 4 AS page, CASE WHEN length(text) <= 140 AND length({COLLAPSED_UPPER.format("text")}) >= 3 THEN {COLLAPSED_UPPER.format("text")} ELSE '' END AS k FROM paras),
 hd AS (SELECT work_id, k FROM v0 WHERE k <> '' GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT page) >= 2 AND (regexp_matches(k, '\b(CIRCULAR LETTER|MISSION CENTER|POSTFACH|WWW[.]|HTTP|E-MAIL|EMAIL|FAX|TELEPHONE|PHONE|PAGE)') OR (length(k) <= 32 AND len(list_filter(string_split_regex(k, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')) <= 4))),
 v1 AS (SELECT v0.*, length(regexp_replace(text, '[\s\x0B]', '', 'g')) AS vis, length(regexp_replace(text, '[^\p{{L}}\p{{Nd}}]', '', 'g')) AS good, length(regexp_replace(text, '[\p{{L}}\p{{Nd}}\s\x0B.,;:!?''"()\[\]/&-]', '', 'g')) AS odd, len(list_filter(string_split_regex(text, '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')) AS words, hd.k IS NOT NULL AS head FROM v0 LEFT JOIN hd ON v0.work_id = hd.work_id AND v0.k = hd.k),
 judged AS (SELECT work_id, number, paragraph_id, CASE WHEN trim(text) = '' THEN 'too_short' WHEN regexp_matches(lower(text), '^(page\s*)?\d{{1,3}}$') THEN 'page_number'

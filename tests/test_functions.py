@@ -61,6 +61,16 @@ def test_like_wildcards_are_plain(spark):
         assert one(spark, "100% \\ Done", lambda c, p=part: tx.contains_folded(c, p)) is hit
 
 
+def test_search_text_is_cleaned_text(spark):
+    assert one(spark, "The ﬁrst ,second;third.End .Next", tx.search_text) == "THE FIRST, SECOND; THIRD. END.NEXT"
+    assert one(spark, "a\u00a0b\u200bc “quoted” – left", tx.search_text) == 'A BC "QUOTED" - LEFT'
+    assert one(spark, None, tx.search_text) == ""
+
+
+def test_letters_of_a_text_without_any():
+    assert tx.join_letters("") == "" and tx.join_letters("12, 34") == "12, 34"
+
+
 def test_nfkc(spark):
     assert one(spark, "ﬁne", tx.nfkc) == "fine"
     assert one(spark, None, tx.nfkc) is None
