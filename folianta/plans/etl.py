@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folianta.functions import names
 from folianta.functions import text as tx
 from folianta.model import Library, lines_of
-from folianta.operators import etl, mutations, songs
+from folianta.operators import etl, metadata, mutations, songs
 from folianta.operators import relational as op
 from folianta.plans.catalog import COLLAPSED_UPPER, SONGS, VERSES, WORKS, W, WP, query
 
@@ -167,22 +166,46 @@ def j17(lib: L) -> DataFrame:
     return s.select("song_id", F.array_join(songs.chorus("stanzas"), "\n").alias("chorus")).filter("chorus IS NOT NULL")
 
 
-@query("j18_line_breaks", f"{W} SELECT work_id, array_to_string(list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), chr(10)) AS restored FROM works")
+@query("j18_line_breaks", f"{WP} SELECT work_id, CASE WHEN work_id % 3 <> 0 THEN array_to_string(list_transform(list(text ORDER BY number), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), chr(10)) END AS restored FROM paras GROUP BY work_id")
 def j18(lib: L) -> DataFrame:
+    # stored in one line with other spaces; every third text has another character as well
     lines = lines_of(F.col("text"))
-    return lib.works.select("work_id", songs.with_breaks(F.array_join(lines, " "), lines).alias("restored"))
+    stored = F.concat(F.regexp_replace(F.array_join(lines, " "), " ", "\t "), F.when(F.col("work_id") % 3 == 0, "#").otherwise(" "))
+    return lib.works.filter(F.size(lines) > 0).select("work_id", songs.with_breaks(stored, lines).alias("restored"))
 
 
 @query("j19_pages_by_budget")
 def j19(lib: L) -> DataFrame:
-    return lib.paragraphs.select("paragraph_id", F.posexplode(etl.pack_sentences(F.col("text"), 280, 280)).alias("page", "text"))
+    return lib.paragraphs.select("paragraph_id", F.posexplode(metadata.pages_within(F.col("text"), 60)).alias("page", "text"))
 
 
-@query("j20_metadata", f"{W} SELECT work_id, language, code AS base, coalesce(CASE WHEN work_id % 4 = 0 THEN year END, 0) AS year, CASE WHEN work_id % 4 = 0 THEN 'catalog' ELSE 'none' END AS rule FROM works WHERE NOT regexp_matches(code, '(^|[^0-9])[0-9]{{4}}$')")
+_FILE_PATHS = r"""n0 AS (SELECT work_id, code, language, source, CAST(1950 + work_id % 60 AS VARCHAR) AS y, lpad(CAST(work_id % 12 + 1 AS VARCHAR), 2, '0') AS m, lpad(CAST(work_id % 31 + 1 AS VARCHAR), 2, '0') AS d FROM works),
+fn AS (SELECT *, CASE work_id % 3 WHEN 0 THEN code WHEN 1 THEN 'FR' || right(y, 2) || '-' || m || d || ' evening_word' ELSE 'ENG_' || y || m || d || 'E_The_Word' END AS name FROM n0)"""
+_PARSED = r"""p0 AS (SELECT *, regexp_replace(name, '(?i)^(?:swa|fra|fre|frn|fr|eng|en)(?:[-_ ]+|(\d))', '\1') AS bare, lower(regexp_extract(name, '(?i)^(swa|fra|fre|frn|fr|eng|en)[-\d_ ]', 1)) AS prefix FROM fn),
+p1 AS (SELECT *, regexp_extract(bare, '(?:^|\D)((?:\d\d|\d{{4}})[-_. ]?\d\d[-_. ]?\d\d[A-Za-z]?)(?:\D|$)', 1) AS found FROM p0),
+p2 AS (SELECT *, regexp_extract(found, '^(\d\d|\d{{4}})[-_. ]?(\d\d)[-_. ]?(\d\d)[A-Za-z]?$', ['y', 'm', 'd']) AS g, trim(regexp_replace(translate(replace(bare, nullif(found, ''), ''), '_.', '  '), '\s+', ' ', 'g'), ' -') AS rest, trim(regexp_replace(translate(bare, '_.', '  '), '\s+', ' ', 'g'), ' -') AS whole FROM p1),
+p3 AS (SELECT *, TRY_CAST(CASE WHEN length(g.y) = 4 THEN g.y WHEN g.y >= '30' THEN '19' || g.y ELSE '20' || g.y END || '-' || g.m || '-' || g.d AS DATE) AS date FROM p2),
+parsed AS (SELECT work_id, CASE WHEN prefix = 'swa' THEN 'sw' WHEN starts_with(prefix, 'fr') THEN 'fr' WHEN starts_with(prefix, 'en') THEN 'en' ELSE language END AS language, CASE WHEN found <> '' THEN found ELSE left(bare, 80) END AS code, date, CAST(coalesce(year(date), 0) AS INTEGER) AS year, left(CASE WHEN found = '' OR rest = '' THEN whole ELSE rest END, 300) AS title FROM p3)""".replace("{{", "{").replace("}}", "}")
+
+
+def _dated(work_id: str = "work_id") -> tuple[Column, Column, Column]:
+    """Year, month and day that a file's name shows, by the work's id; some days don't exist."""
+    i = F.col(work_id)
+    two = lambda n: F.lpad((i % n + 1).cast("string"), 2, "0")
+    return (1950 + i % 60).cast("string"), two(12), two(31)
+
+
+def _file_paths(lib: L) -> DataFrame:
+    """Works with ``file``, a path whose name is a code, or holds a language, a date and a title."""
+    y, m, d = _dated()
+    i = F.col("work_id") % 3
+    name = F.when(i == 0, F.col("code")).when(i == 1, F.concat(F.lit("FR"), F.right(y, F.lit(2)), F.lit("-"), m, d, F.lit(" evening_word"))).otherwise(F.concat(F.lit("ENG_"), y, m, d, F.lit("E_The_Word")))
+    return lib.works.withColumn("file", F.concat(F.lit("/library/"), F.col("source"), F.lit("/"), F.col("language"), F.lit("/"), name, F.lit(".txt")))
+
+
+@query("j20_metadata", f"{W}, {_FILE_PATHS}, {_PARSED} SELECT * FROM parsed")
 def j20(lib: L) -> DataFrame:
-    w = lib.works.filter(~F.col("code").rlike("(^|[^0-9])[0-9]{4}$"))
-    m = etl.metadata_of(F.col("path"), F.when(F.col("work_id") % 4 == 0, F.col("year")))
-    return w.select("work_id", names.language_of_path(F.col("path")).alias("language"), names.base_name(F.col("path")).alias("base"), m.alias("m")).select("work_id", "language", "base", "m.year", "m.rule")
+    return _file_paths(lib).select("work_id", metadata.parsed(F.col("file")).alias("m")).select("work_id", "m.*")
 
 
 @query("j21_verse_import", f"WITH {VERSES}, i AS (SELECT book_id, chapter, verse, arg_max(text, text) AS text FROM verses WHERE book_id <= 5 GROUP BY ALL) SELECT book_id, chapter, verse, text FROM verses WHERE book_id > 5 UNION ALL SELECT * FROM i")
@@ -192,11 +215,20 @@ def j21(lib: L) -> DataFrame:
     return mutations.replace_all(v, incoming, ["book_id"])
 
 
-@query("j22_verse_validation", f"WITH {VERSES}, d AS (SELECT DISTINCT book_id, chapter, verse FROM verses), c AS (SELECT book_id, chapter, count(*) AS n, min(verse) AS low, max(verse) AS high FROM d GROUP BY ALL) SELECT book_id, count(*) AS chapters, CAST(sum(n) AS BIGINT) AS verses, count(*) FILTER (low <> 1 OR high <> n) AS broken FROM c GROUP BY book_id")
+_CORPUS = "corpus AS (SELECT CASE WHEN book_id = 13 THEN 70 ELSE book_id END AS book_id, chapter, verse FROM verses WHERE NOT (verse = 2 AND chapter % 50 = 0) UNION ALL SELECT book_id, chapter, verse FROM verses WHERE verse = 1 AND chapter % 100 = 1 AND book_id <> 13), k AS (SELECT book_id, chapter, verse, count(*) AS n FROM corpus GROUP BY ALL)"
+
+
+@query("j22_verse_findings", f"""WITH {VERSES}, {_CORPUS}, f AS (
+SELECT 'missing_book' AS kind, range AS book_id, NULL AS chapter, NULL AS verse, NULL AS n FROM range(1, 67) WHERE range NOT IN (SELECT book_id FROM k)
+UNION ALL SELECT 'extra_book', book_id, NULL, NULL, sum(n) FROM k WHERE book_id NOT BETWEEN 1 AND 66 GROUP BY book_id
+UNION ALL SELECT 'missing_landmark', b, c, v, NULL FROM (VALUES (1, 1, 1), (19, 23, 1), (27, 5, 23), (43, 3, 16), (45, 8, 28), (66, 22, 21)) AS t(b, c, v) WHERE NOT EXISTS (SELECT 1 FROM k WHERE book_id = b AND chapter = c AND verse = v)
+UNION ALL SELECT 'gap', book_id, chapter, NULL, max(verse) - count(*) FROM k GROUP BY book_id, chapter HAVING max(verse) <> count(*)
+UNION ALL SELECT 'repeated', book_id, chapter, verse, n FROM k WHERE n > 1)
+SELECT kind, CAST(book_id AS BIGINT) AS book_id, CAST(chapter AS BIGINT) AS chapter, CAST(verse AS BIGINT) AS verse, CAST(n AS BIGINT) AS n FROM f""")
 def j22(lib: L) -> DataFrame:
-    d = lib.verses.select("book_id", "chapter", "verse").distinct()
-    c = d.groupBy("book_id", "chapter").agg(F.count("*").alias("n"), F.min("verse").alias("low"), F.max("verse").alias("high"))
-    return c.groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum("n").alias("verses"), F.count_if((F.col("low") != 1) | (F.col("high") != F.col("n"))).alias("broken"))
+    v = lib.verses.select("book_id", "chapter", "verse")
+    damaged = v.filter("NOT (verse = 2 AND chapter % 50 = 0)").withColumn("book_id", F.when(F.col("book_id") == 13, 70).otherwise(F.col("book_id")))
+    return metadata.verse_findings(damaged.union(v.filter("verse = 1 AND chapter % 100 = 1 AND book_id <> 13")))
 
 
 @query("j23_organiser", f"{W} SELECT work_id, CASE WHEN source_id = 1 THEN 'circular-letters' WHEN content_type = 'brochure' THEN 'brochures' WHEN year > 0 THEN 'meetings' ELSE 'unsorted' END AS category, CASE WHEN year > 0 AND title <> '' THEN 'high' WHEN year > 0 OR title <> '' THEN 'medium' ELSE 'low' END AS confidence FROM works")
@@ -206,18 +238,67 @@ def j23(lib: L) -> DataFrame:
     return lib.works.select("work_id", category.alias("category"), confidence.alias("confidence"))
 
 
-@query("j24_metadata_repair", f"{W} SELECT work_id, year = 1950 OR work_date IS NULL AS changed FROM works")
+_FIELDS = {"title": "title", "code": "code", "year": "year", "work_date": "date", "language": "language"}
+
+
+@query("j24_metadata_repair", f"""{W}, {_FILE_PATHS}, {_PARSED}, st AS (SELECT w.work_id, CASE WHEN w.work_id % 2 = 0 THEN p.title ELSE w.title END AS title, CASE WHEN w.work_id % 2 = 0 THEN p.code ELSE w.code END AS code, CASE WHEN w.work_id % 2 = 0 THEN p.year ELSE w.year END AS year, CASE WHEN w.work_id % 2 = 0 THEN p.date ELSE w.work_date END AS work_date, CASE WHEN w.work_id % 4 = 0 THEN p.language ELSE w.language END AS language FROM works w JOIN parsed p ON w.work_id = p.work_id)
+SELECT st.work_id, p.title AS new_title, array_to_string(list_filter([CASE WHEN st.title IS DISTINCT FROM p.title THEN 'title' END, CASE WHEN st.code IS DISTINCT FROM p.code THEN 'code' END, CASE WHEN st.year IS DISTINCT FROM p.year THEN 'year' END, CASE WHEN st.work_date IS DISTINCT FROM p.date THEN 'work_date' END, CASE WHEN st.language IS DISTINCT FROM p.language THEN 'language' END], lambda x: x IS NOT NULL), ',') AS changed FROM st JOIN parsed p ON st.work_id = p.work_id""")
 def j24(lib: L) -> DataFrame:
-    stored = lib.works.select("work_id", "year", "work_date")
-    parsed = lib.works.select("work_id", F.when(F.col("year") == 1950, 1951).otherwise(F.col("year")).alias("new_year"), F.coalesce("work_date", F.lit("1900-01-01").cast("date")).alias("new_work_date"))
-    return stored.join(parsed, "work_id").select("work_id", mutations.changed(["year", "work_date"]).alias("changed"))
+    # every other work is as an earlier repair left it, but some of those have another language
+    m = metadata.parsed(F.col("file"))
+    kept = {c: F.when(F.col("work_id") % (4 if c == "language" else 2) == 0, m[p]).otherwise(F.col(c)).alias(c) for c, p in _FIELDS.items()}
+    stored = _file_paths(lib).select("work_id", "file", *kept.values())
+    return metadata.repairs(stored, "file", _FIELDS).select("work_id", F.col("new.title").alias("new_title"), F.array_join("changed", ",").alias("changed"))
+
+
+_CASCADE = r"""n0 AS (SELECT work_id, code, CAST(1950 + work_id % 60 AS VARCHAR) AS y, lpad(CAST(work_id % 12 + 1 AS VARCHAR), 2, '0') AS m, lpad(CAST(work_id % 31 + 1 AS VARCHAR), 2, '0') AS d FROM works),
+n1 AS (SELECT *, CASE work_id % 8 WHEN 0 THEN code WHEN 1 THEN y || '-' || m || '-' || d || '-1400-Oslo-english' WHEN 2 THEN 'A_Known_Title' || work_id WHEN 3 THEN 'spring' || y WHEN 4 THEN y || '0304' WHEN 5 THEN y || '_' || m || '-Wakeup' WHEN 6 THEN y || '-Circular-english' ELSE 'plain_name.part-' || work_id END AS name FROM n0),
+n2 AS (SELECT *, regexp_extract(name, '^((?:19|20)\d\d)-(0?[1-9]|1[0-2])-(0?[1-9]|[12]\d|3[01])-\d{4}-([A-Za-z]+)', ['y', 'm', 'd', 'place']) AS me, regexp_extract(name, '(?i)^(spring|summer|autumn|fall|winter)((?:19|20)\d\d)', ['name', 'y']) AS se, regexp_extract(name, '^((?:19|20)\d\d)(0[1-9]|1[0-2])(0[1-9]|1[0-2])(?:\D|$)', ['y', 'a', 'b']) AS mr,
+ regexp_extract(name, '^((?:19|20)\d\d)[-_]?(0[1-9]|1[0-2])(?:\D|$)', ['y', 'm']) AS ym, regexp_extract(name, '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS yr, CASE WHEN contains(lower(name), 'wakeup') THEN ' - Wake up' ELSE '' END AS extra, trim(regexp_replace(regexp_replace(translate(name, '_.', '  '), '\s*-\s*', ' - ', 'g'), '\s+', ' ', 'g'), ' -') AS plain FROM n1),
+n3 AS (SELECT *, TRY_CAST(me.y || '-' || lpad(me.m, 2, '0') || '-' || lpad(me.d, 2, '0') AS DATE) AS met FROM n2),
+n4 AS (SELECT *, CASE WHEN work_id % 16 = 0 THEN 'catalog' WHEN met IS NOT NULL THEN 'meeting' WHEN contains(lower(name), 'known_title') THEN 'known' WHEN se.y <> '' THEN 'season' WHEN mr.y <> '' THEN 'month_range' WHEN ym.y <> '' THEN 'year_month' WHEN yr <> '' THEN 'year' ELSE 'fallback' END AS rule FROM n3),
+n5 AS (SELECT *, CASE rule WHEN 'meeting' THEN met WHEN 'season' THEN TRY_CAST(se.y || '-03-01' AS DATE) WHEN 'month_range' THEN TRY_CAST(mr.y || '-' || mr.a || '-01' AS DATE) WHEN 'year_month' THEN TRY_CAST(ym.y || '-' || ym.m || '-01' AS DATE) WHEN 'year' THEN TRY_CAST(yr || '-01-01' AS DATE) END AS date FROM n4)
+SELECT work_id, rule, date, CAST(CASE WHEN rule = 'catalog' THEN CAST(y AS INTEGER) ELSE coalesce(year(date), 0) END AS INTEGER) AS year, CASE WHEN rule = 'meeting' THEN me.place END AS location,
+ CASE rule WHEN 'catalog' THEN 'Listed ' || work_id WHEN 'meeting' THEN 'Meeting in ' || me.place || ' - ' || strftime(met, '%B %-d, %Y') WHEN 'known' THEN 'A Known Title' WHEN 'season' THEN 'Circular Letter - Spring ' || se.y WHEN 'month_range' THEN 'Circular Letter - ' || strftime(date, '%B') || '-' || monthname(TRY_CAST(mr.y || '-' || mr.b || '-01' AS DATE)) || ' ' || mr.y || extra
+  WHEN 'year_month' THEN 'Circular Letter - ' || strftime(date, '%B %Y') || extra WHEN 'year' THEN 'Circular Letter - ' || yr || extra ELSE plain END AS title,
+ CASE rule WHEN 'catalog' THEN 'CAT-' || work_id WHEN 'meeting' THEN 'EF-' || strftime(met, '%Y-%m-%d') || '-' || upper(me.place) WHEN 'known' THEN 'EF-KNOWN' WHEN 'season' THEN 'CL-' || se.y || '-SPRING' WHEN 'month_range' THEN 'CL-' || mr.y || '-' || mr.a || '-' || mr.b WHEN 'year_month' THEN 'CL-' || ym.y || '-' || ym.m WHEN 'year' THEN 'CL-' || yr ELSE upper(trim(regexp_replace(name, '[^A-Za-z0-9]+', '-', 'g'), '-')) END AS code FROM n5"""
+
+
+@query("j25_metadata_cascade", f"{W}, {_CASCADE}")
+def j25(lib: L) -> DataFrame:
+    y, m, d = _dated()
+    i = F.col("work_id")
+    number = i.cast("string")
+    named = [F.col("code"), F.concat_ws("-", y, m, d, F.lit("1400-Oslo-english")), F.concat(F.lit("A_Known_Title"), number), F.concat(F.lit("spring"), y), F.concat(y, F.lit("0304")), F.concat(y, F.lit("_"), m, F.lit("-Wakeup")), F.concat(y, F.lit("-Circular-english")), F.concat(F.lit("plain_name.part-"), number)]
+    listed = F.struct(F.concat(F.lit("Listed "), number).alias("title"), F.concat(F.lit("CAT-"), number).alias("code"), y.cast("int").alias("year"), F.lit(None).cast("date").alias("date"))
+    w = lib.works.select("work_id", F.get(F.array(*named), (i % 8).cast("int")).alias("name"), F.when(i % 16 == 0, listed).alias("catalog"))
+    found = metadata.cascade(F.col("name"), F.col("catalog"), {"known_title": ("A Known Title", "EF-KNOWN")}, {"wakeup": "Wake up"})
+    return w.select("work_id", found.alias("m")).select("work_id", "m.*")
+
+
+_KEY = r"replace(upper(replace(regexp_replace({}, '[^\p{{L}}\p{{Nd}}]', '', 'g'), 'ß', chr(1))), chr(1), 'ß')"
+
+
+@query("j26_publisher_pages", f"""{WP}, pg AS (SELECT work_id, (number - 1) // 4 AS page, list(text ORDER BY number) AS ls FROM paras GROUP BY ALL),
+pt AS (SELECT pg.work_id, page, title, CASE (pg.work_id + page) % 5 WHEN 0 THEN list_prepend('Copyright notice', ls) WHEN 1 THEN list_append(ls, 'All rights reserved. See www.example.org') WHEN 2 THEN list_append(ls, 'ALL RIGHTS RESERVED') WHEN 3 THEN list_append(list_prepend(title, ls), 'Example Press') ELSE ls END AS ls FROM pg JOIN works w ON pg.work_id = w.work_id),
+pk AS (SELECT *, {_KEY.format("array_to_string(ls, ' ')")} AS k FROM pt)
+SELECT work_id, page, page > 0 AND (lower(ls[1]) = 'copyright notice' OR CAST(contains(k, 'ALLRIGHTSRESERVED') AS INTEGER) + CAST(contains(k, 'WWWEXAMPLEORG') AS INTEGER) + CAST(contains(k, 'EXAMPLEPRESSEDITIONS') AS INTEGER) + CAST(contains(k, 'PRINTEDUNABRIDGED') OR contains(k, 'PRINTEDATHOME') AS INTEGER) >= 2 OR ({_KEY.format("title")} <> '' AND {_KEY.format("ls[1]")} = {_KEY.format("title")} AND contains(k, 'EXAMPLEPRESS'))) AS dropped FROM pk""")
+def j26_pages(lib: L) -> DataFrame:
+    # pages of four lines, with a publisher's lines on most of them; the lines stand in one row, so no shuffle is needed
+    lines = lines_of(F.col("text"))
+    w = lib.works.filter(F.size(lines) > 0).select("work_id", "title", tx.once(lines).alias("ls"))
+    p = w.select("work_id", "title", "ls", F.explode(F.sequence(F.lit(0), F.expr("cast((size(ls) - 1) div 4 as int)"))).alias("page"))
+    ls, kind = F.slice("ls", F.col("page") * 4 + 1, F.lit(4)), (F.col("work_id") + F.col("page")) % 5
+    put = F.when(kind == 0, F.array_prepend(ls, "Copyright notice")).when(kind == 1, F.array_append(ls, "All rights reserved. See www.example.org")).when(kind == 2, F.array_append(ls, "ALL RIGHTS RESERVED"))
+    put = put.when(kind == 3, F.array_append(F.array_prepend(ls, F.col("title")), "Example Press")).otherwise(ls)
+    signals = (("All rights reserved",), ("www.example.org",), ("Example Press Editions",), ("printed unabridged", "printed at home"))
+    found = metadata.is_publisher_page(put, F.col("title"), signals, "Example Press")
+    return p.select("work_id", F.col("page").cast("long").alias("page"), ((F.col("page") > 0) & found).alias("dropped"))
 
 
-@query("j26_heading_and_notice_signals", f"{WP} SELECT paragraph_id, CAST(contains(lower(text), 'licensed') AS INTEGER) + CAST(contains(lower(text), 'license') AS INTEGER) AS signals, round(CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) ELSE 0 END, 6) >= 0.85 AS heading FROM paras")
+@query("j26_headings", f"{WP} SELECT paragraph_id, round(CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) ELSE 0 END, 6) >= 0.85 AS heading FROM paras")
 def j26(lib: L) -> DataFrame:
-    low = F.lower("text")
-    signals = low.contains("licensed").cast("int") + low.contains("license").cast("int")
-    return lib.paragraphs.select("paragraph_id", signals.alias("signals"), (F.round(etl.upper_ratio(F.col("text")), 6) >= 0.85).alias("heading"))
+    return lib.paragraphs.select("paragraph_id", (F.round(etl.upper_ratio(F.col("text")), 6) >= 0.85).alias("heading"))
 
 
 @query("j27_target_names", f"{W}, r AS (SELECT work_id AS id, 'name' || (work_id // 4) AS name, sha256(coalesce(text, '')) AS hash FROM works), f AS (SELECT name, hash, min(id) AS id FROM r GROUP BY ALL), n AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM f) SELECT r.id, CASE WHEN n.id IS NULL THEN NULL WHEN k = 1 THEN n.name ELSE n.name || '-' || k END AS target, CASE WHEN n.id IS NULL THEN 'skip' ELSE 'copy' END AS action FROM r LEFT JOIN n ON r.id = n.id")

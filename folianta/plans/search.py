@@ -96,6 +96,26 @@ def i01_quoted(lib: L) -> DataFrame:
     return se.search_free_text(lib, PHRASE, 20).drop("place")
 
 
+@query("g02_computed_rank", f"{BASE} SELECT paragraph_id, {_rank('the')} AS rk FROM wide")
+def g02(lib: L) -> DataFrame:
+    return se.index_of(lib).entries.select("paragraph_id", se.simple_rank("the").alias("rk"))
+
+
+def _shades(c: str, part: str) -> list[str]:
+    return [f"{_LOW.format(c)} = '{part}'", f"starts_with({_LOW.format(c)}, '{part}')", f"contains({_LOW.format(c)}, '{part}')"]
+
+
+_G03 = [f"number = 2 AND {x}" for x in (_shades("code", "d-000002")[0], _shades("code", "the")[0], *_shades("title", "the"))]
+_G03 += [*_shades("code", "d-000002"), *_shades("code", "the"), *_shades("title", "the"), *[_shades(c, "the")[1] for c in ("author", "author_full", "source_name")]]
+_G03 += ["search_text = 'THE'", "starts_with(search_text, 'THE')", "search_text = 'AND'", "starts_with(search_text, 'AND')"]
+
+
+@query("g03_rank_by_filters", f"{BASE} SELECT paragraph_id, CASE {' '.join(f'WHEN {c} THEN {i}' for i, c in enumerate(_G03))} ELSE {len(_G03)} END AS rk FROM wide")
+def g03(lib: L) -> DataFrame:
+    q = an.SearchQuery(text="the", code="D-000002", keyword="and", paragraph=2)
+    return se.index_of(lib).entries.select("paragraph_id", se.filtered_rank(q).alias("rk"))
+
+
 @query("i02_search_structured", f"""{BASE}, {IDX}, r AS (SELECT *, CASE WHEN {_LOW.format("title")} = 'the' THEN 0 WHEN starts_with({_LOW.format("title")}, 'the') THEN 1 WHEN contains({_LOW.format("title")}, 'the') THEN 2
   WHEN search_text = 'AND' THEN 3 WHEN starts_with(search_text, 'AND') THEN 4 ELSE 5 END AS rk FROM idx WHERE author_id = 1 AND contains({_LOW.format("title")}, 'the')),
 a AS (SELECT * FROM r WHERE contains(search_text, 'AND') ORDER BY rk, {_CANON} LIMIT 50), b AS (SELECT * FROM r WHERE list_contains(tokens, 'and') ORDER BY rk, {_CANON} LIMIT 50)

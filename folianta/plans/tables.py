@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folianta.model import Library, lines_of
 from folianta.operators import mutations as mu
 from folianta.operators import relational as op
+from folianta.operators.index import shared_folder
 from folianta.plans.catalog import AUTHORS, PARAS, SEARCH_TEXT, SOURCES, VERSES, WORKS, W, WP, query
 from folianta.sources import readers as rd
+from folianta.sources import reports
 from folianta.streaming.reservations import latest_state, reserve, windowed_counts
 
 L = Library
@@ -239,6 +243,34 @@ def b13(lib: L) -> DataFrame:
     return mu.toggled(lib.table("events"), ["user_id", "event_type"])
 
 
+def _report(lib: L) -> DataFrame:
+    return lib.works.filter("work_id IS NOT NULL").select("work_id", "code", F.concat(F.lit(' "'), F.col("title"), F.lit('", ')).alias("title"), "year")
+
+
+_REPORT = f"""{W} SELECT work_id, code, ' "' || title || '", ' AS title, year FROM works WHERE work_id IS NOT NULL"""
+
+
+@query("b14_csv_report", _REPORT)
+def b14(lib: L) -> DataFrame:
+    path = f"{shared_folder(lib.spark)}/reports/{uuid.uuid4().hex}"
+    reports.write_csv(_report(lib), path)
+    return lib.spark.read.schema("work_id long, code string, title string, year int").csv(path, header=True, escape='"', multiLine=True)
+
+
+@query("b14_json_report", _REPORT)
+def b14_json(lib: L) -> DataFrame:
+    path = f"{shared_folder(lib.spark)}/reports/{uuid.uuid4().hex}"
+    reports.write_json_lines(_report(lib), path)
+    return lib.spark.read.schema("work_id long, code string, title string, year int").json(path)
+
+
+@query("b15_snapshot", f"{W} SELECT count(*) AS n, true AS matches FROM works")
+def b15(lib: L) -> DataFrame:
+    works = lib.works
+    at = reports.snapshot(works, f"{shared_folder(lib.spark)}/snapshots/{uuid.uuid4().hex}", 1)
+    return lib.spark.read.parquet(at).agg(F.count("*").alias("n")).withColumn("matches", F.lit(reports.snapshot_matches(lib.spark, works, at)))
+
+
 @query("b16_rebuild_needed", f"{WP} SELECT count(*) AS source_rows, count(*) FILTER (number > 1) AS index_rows, count(*) <> count(*) FILTER (number > 1) AS rebuild FROM paras")
 def b16(lib: L) -> DataFrame:
     return mu.rebuild_needed(lib.paragraphs, lib.paragraphs.filter("number > 1"))

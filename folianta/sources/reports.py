@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Every value quoted, quotes doubled, with a header."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', quote='"')
+    """Every value quoted, quotes doubled, with a header; spaces at a value's ends are kept."""
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

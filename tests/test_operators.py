@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from folianta.operators import etl, mutations, quality, songs
+from folianta.operators import etl, metadata, mutations, quality, songs
 from folianta.operators import relational as op
 from folianta.operators.search import in_list
 from folianta.sources import readers, reports
@@ -184,3 +184,43 @@ def test_alignment_and_columns_reach_every_paragraph(spark, tmp_path):
     assert rows(found["k08_token_alignment"](spark, str(tmp_path))) == sorted(want, key=repr)
     words = [(work, c, len(text.split())) for work, text in docs for c in (0, 1)]
     assert rows(found["a05_two_columns"](spark, str(tmp_path)).select("page", "column", "words")) == sorted(words, key=repr)
+
+
+def test_pages_within_a_budget(spark):
+    import random
+    import re
+
+    def brute(text, budget):
+        units = [" ".join((text or "").split())]
+        for pattern in (r"(?<=[.!?]) ", r"(?<=[,;:]) ", " "):
+            units = [y for x in units for y in ([x] if len(x) <= budget else re.split(pattern, x)) if y]
+        units = [x[i : i + budget] for x in units for i in range(0, len(x), budget)]
+        out = []
+        for x in units:
+            if out and len(out[-1]) + 1 + len(x) <= budget:
+                out[-1] += " " + x
+            else:
+                out.append(x)
+        return out
+
+    rng = random.Random(5)
+    texts = ["", None, "ab", "x" * 45, *[" ".join("".join(rng.choices("abcü", k=rng.randint(1, 25))) + rng.choice(["", "", ",", ";", ".", "!"]) for _ in range(rng.randint(1, 60))) for _ in range(40)]]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", metadata.pages_within(F.col("t"), 20).alias("p")).collect()
+    assert {r["i"]: r["p"] for r in got} == {i: brute(t, 20) for i, t in enumerate(texts)}
+
+
+def test_metadata_of_impossible_days_and_nulls(spark):
+    names = ["1985-02-30-1400-Oslo", "1985-2-3-1400-Oslo", "199413", "in 1999 again", "", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(metadata.cascade(F.col("n")).alias("m")).select("m.rule", "m.code", "m.title").collect()
+    assert [tuple(r) for r in got] == [
+        ("year_month", "CL-1985-02", "Circular Letter - February 1985"), ("meeting", "EF-1985-02-03-OSLO", "Meeting in Oslo - February 3, 1985"),
+        ("fallback", "199413", "199413"), ("year", "CL-1999", "Circular Letter - 1999"), ("fallback", "", "Publication"), ("fallback", "", "Publication"),
+    ]
+    assert spark.createDataFrame([(None,)], "p string").select(metadata.parsed(F.col("p")).alias("m")).select("m.code", "m.year", "m.title").first() == ("", 0, "")
+
+
+def test_publisher_pages(spark):
+    signals = (("all rights",), ("www.x.org",))
+    pages = [(["Copyright Notice", "a"], "T", True), (["All rights", "see www.x.org"], "T", True), (["all rights"], "T", False), (["The  Title", "by the press"], "the title", True), (["text", "The press"], "the title", False), ([], "", False), (None, None, False)]
+    df = spark.createDataFrame([(i, a, t) for i, (a, t, _) in enumerate(pages)], "i int, ls array<string>, t string")
+    assert [r[0] for r in df.orderBy("i").select(metadata.is_publisher_page(F.col("ls"), F.col("t"), signals, "press")).collect()] == [x for *_, x in pages]
