@@ -2,9 +2,10 @@
 
 Reading: the driver plans partitions from files and, for large files, from restart points that
 the writer left in its manifest. Predicates on record type and headers are pushed into the
-reader. It parses a record's header first, and inflates the rest of a record only if the
-header passes and the payload is asked for; else it jumps to the next record by the length in
-the gzip member's ``sl`` field (WARC 1.1, annex D) or by Content-Length.
+reader. It parses a record's header first, and reads and inflates the rest of a record only if
+the header passes and the payload is asked for; else it jumps to the next record by the length
+in the gzip member's ``sl`` field (WARC 1.1, annex D) or by Content-Length. Members without that
+field are inflated in pieces, of which none is kept for a record that isn't wanted.
 
 Writing: each task writes files of its own and the driver commits a manifest that lists them,
 so files of lost or repeated task attempts are never read.
@@ -43,6 +44,8 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEADER_OF = {"record_id": b"warc-record-id", "record_type": b"warc-type", "target_uri": b"warc-target-uri", "refers_to": b"warc-refers-to", "payload_digest": b"warc-payload-digest"}
 _BATCH_BYTES = 4 << 20
+#: Bytes of a read, and of the first piece of a member that is inflated.
+_WINDOW, _FIRST = 1 << 20, 16 << 10
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -55,12 +58,14 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def gzip_member(data: bytes) -> bytes:
-    """``data`` as a gzip member with its compressed and plain length in an ``sl`` extra field."""
+    """``data`` as a gzip member with its compressed and plain length in an ``sl`` extra field, if 32 bits hold them."""
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
     size = 12 + 12 + len(body) + len(tail)
-    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF) + body + tail
+    if max(size, len(data)) >> 32:
+        return b"\x1f\x8b\x08" + bytes(6) + b"\xff" + body + tail
+    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(data)) + body + tail
 
 
 def record(fields: dict, payload: bytes | None) -> bytes:
@@ -102,86 +107,110 @@ def _text(head: dict[bytes, bytes], column: str) -> str | None:
     return value.split(":", 1)[-1] if column == "payload_digest" else value
 
 
-class Cursor:
-    """A file read forward through a window, so that jumps don't read what they skip."""
+class Window:
+    """A file read through a window, so that neighbouring records share a read and jumps don't read what they skip."""
 
-    def __init__(self, file, start: int, end: int) -> None:
-        self.file, self.pos, self.end, self.window, self.at = file, start, end, b"", start
+    def __init__(self, file) -> None:
+        self.file, self.at, self.held, self.last = file, 0, b"", False
 
-    def peek(self, n: int) -> bytes:
-        """Up to n bytes from here, fewer at the file's end."""
-        have = self.pos - self.at
-        if have < 0 or have + n > len(self.window):
-            self.window, self.at = self.file.read_at(max(n, 1 << 20), self.pos), self.pos
-            have = 0
-        return self.window[have : have + n]
+    def get(self, at: int, n: int) -> bytes:
+        """Up to n bytes from ``at``, fewer at the file's end only."""
+        start = at - self.at
+        if start < 0 or start > len(self.held) or (start + n > len(self.held) and not self.last):
+            asked = max(n, _WINDOW)
+            self.held, self.at, start = self.file.read_at(asked, at), at, 0
+            self.last = len(self.held) < asked
+        return self.held[start : start + n]
+
+
+class Plain:
+    """The bytes of a record that isn't compressed."""
+
+    def __init__(self, window: Window, at: int) -> None:
+        self.window, self.at = window, at
+
+    def read(self, n: int) -> bytes:
+        """Up to n bytes, none at the end."""
+        out = self.window.get(self.at, n)
+        self.at += len(out)
+        return out
+
+
+class Member:
+    """A gzip member that is inflated as far as it is read."""
+
+    def __init__(self, window: Window, at: int) -> None:
+        self.window, self.start, self.at, self.chunk = window, at, at, _FIRST
+        self.inflate, self.packed = zlib.decompressobj(31), b""
+
+    def read(self, n: int) -> bytes:
+        """Up to n bytes, none at the end."""
+        while not self.inflate.eof:
+            if not self.packed:
+                self.packed = self.window.get(self.at, self.chunk)
+                if not self.packed:
+                    raise ValueError(f"gzip member at {self.start} is cut off")
+                self.at += len(self.packed)
+                self.chunk = _WINDOW
+            out = self.inflate.decompress(self.packed, n)
+            self.packed = self.inflate.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    def end(self) -> int:
+        """Where the member ends in the file; what is left of it is inflated piece by piece and dropped."""
+        while self.read(_WINDOW):
+            pass
+        return self.at - len(self.inflate.unused_data)
 
 
 def records(file, start: int, end: int, wanted, with_payload: bool) -> Iterator[tuple[dict[bytes, bytes], bytes | None, int]]:
-    """(header, block or None, payload length) of the records that begin in [start, end) and whose header ``wanted`` accepts."""
-    cur = Cursor(file, start, end)
-    while cur.pos < end:
-        first = cur.peek(4)
+    """(header, payload or None, payload length) of the records that begin in [start, end) and whose header ``wanted`` accepts.
+
+    A record that is rejected, or whose payload isn't asked for, is neither read nor inflated beyond
+    its head if its length is known; a member without ``sl`` is inflated to its end in pieces. A
+    record that the file's end cuts off raises ValueError.
+    """
+    window, pos = Window(file), start
+    while pos < end:
+        first = window.get(pos, 24)
         if not first:
             return
         if first[:2] in (b"\r\n", b"\n\n"):
-            cur.pos += 2
+            pos += 2
             continue
         packed = first[:2] == b"\x1f\x8b"
-        if packed:
-            fixed = cur.peek(24)
-            known = bool(fixed[3] & 4) and fixed[12:14] == b"sl"
-            if known:
-                size = struct.unpack("<I", fixed[16:20])[0]
-                inflate = zlib.decompressobj(-15)
-                body = cur.peek(size)[24:-8]
-                data = inflate.decompress(body, 4096)
-                rest = inflate.unconsumed_tail
-            else:
-                inflate, data, size, n = zlib.decompressobj(31), b"", 0, 1 << 16
-                while not inflate.eof:
-                    raw = cur.file.read_at(n, cur.pos + size)
-                    if not raw:
-                        raise ValueError(f"gzip member at {cur.pos} is cut off")
-                    data += inflate.decompress(raw)
-                    size += len(raw) - len(inflate.unused_data)
-                rest = b""
-        else:
-            data, rest, n = cur.peek(4096), b"", 4096
+        known = packed and len(first) == 24 and bool(first[3] & 4) and first[12:14] == b"sl"
+        source = Member(window, pos) if packed else Plain(window, pos)
+        data = source.read(4096)
         while (cut := data.find(b"\r\n\r\n")) < 0:
-            if packed:
-                more = inflate.decompress(rest, 4096) if rest else b""
-                rest = inflate.unconsumed_tail if rest else b""
-                if not more:
-                    raise ValueError(f"record at {cur.pos} has no end of header")
-                data += more
-            else:
-                if len(data) < n:
-                    raise ValueError(f"record at {cur.pos} has no end of header")
-                n *= 2
-                data = cur.peek(n)
+            more = source.read(len(data) or 4096)
+            if not more:
+                raise ValueError(f"record at {pos} has no end of header")
+            data += more
         if not data.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {cur.pos}")
+            raise ValueError(f"no WARC record at {pos}")
         head = parse_head(data[:cut])
         length = int(head.get(b"content-length", b"0"))
         total = cut + 4 + length
-        if not packed:
-            size = total + 4
         if wanted(head):
             # the HTTP head, at most the first part of the block, tells the payload's length
             need = total if with_payload else min(total, cut + 4 + 4096)
-            if packed and len(data) < need and rest:
-                data += inflate.decompress(rest, need - len(data))
-            elif not packed and len(data) < need:
-                data = cur.peek(need)
-            block = data[cut + 4 : total]
+            held, have = [data], len(data)
+            while have < need:
+                more = source.read(need - have)
+                if not more:
+                    raise ValueError(f"record at {pos} is cut off")
+                held.append(more)
+                have += len(more)
+            block = b"".join(held)[cut + 4 : total]
             is_http = head.get(b"content-type", b"").startswith(b"application/http")
             http_end = block.find(b"\r\n\r\n") if is_http else -4
             told = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block[: max(0, http_end)]) if is_http else None
             stored = max(0, length - http_end - 4)
-            payload = block[http_end + 4 :] if with_payload else None
-            yield head, payload, int(told[1]) if told else stored
-        cur.pos += size
+            yield head, block[http_end + 4 :] if with_payload else None, int(told[1]) if told else stored
+        pos = pos + struct.unpack("<I", first[16:20])[0] if known else source.end() if packed else pos + total + 4
 
 
 @dataclass
@@ -354,8 +383,9 @@ def write_pages(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
 
     Null html is the empty payload, a null url leaves its header out. Of equal payloads of
     ``revisit_bytes`` or more, rows with the smallest page_id are responses and the others
-    revisit it; rows with a null page_id are always responses. Payloads move once, by page_id:
-    equal ones meet as digests only, counted on the map side first.
+    revisit it; rows with a null page_id are always responses. A record's id is made of the
+    payload's digest and the page_id, so only repeats of a row share one. Payloads move once, by
+    page_id: equal ones meet as digests only, counted on the map side first.
     """
     spark = pages.sparkSession
     register(spark)
@@ -368,10 +398,10 @@ def write_pages(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
     given = rows.withColumn("d", F.sha2("payload", 256)).join(again.withColumnRenamed("digest", "d"), ["page_id", "d"], "left")
     revisit = F.col("owner").isNotNull()
     out = given.select(
-        F.concat(F.lit(_ID), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("record_id"),
+        F.concat(F.lit(_ID), F.col("d"), F.lit(":"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.when(revisit, F.concat(F.lit(_ID), F.col("owner").cast("string"))).alias("refers_to"),
+        F.when(revisit, F.concat(F.lit(_ID), F.col("d"), F.lit(":"), F.col("owner").cast("string"))).alias("refers_to"),
         F.col("d").alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_length"),
         F.when(~revisit, F.col("payload")).alias("payload"),

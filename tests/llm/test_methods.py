@@ -594,6 +594,74 @@ def test_foreign_archives(spark, tmp_path, kind):
     assert [(r["payload_length"], r["payload"]) for r in heads] == [(15000, None)]
 
 
+class _Counted:
+    """A file in memory that adds up what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def read_at(self, n, at):
+        out = self.data[at : at + n]
+        self.read += len(out)
+        return out
+
+
+def _record(i, payload):
+    fields = {"record_id": f"urn:x:{i}", "record_type": "response", "target_uri": f"http://x/{i}", "refers_to": None, "payload_digest": None, "payload_length": len(payload)}
+    return warc.record(fields, payload)
+
+
+@pytest.mark.parametrize("kind", ["plain", "gzip", "sl"])
+def test_records_of_all_sizes(kind):
+    import gzip
+    import random
+
+    rng = random.Random(3)
+    pack = {"plain": lambda r: r, "gzip": gzip.compress, "sl": warc.gzip_member}[kind]
+    payloads = [rng.randbytes(n) for n in (0, 1, 3_900, 4_096, 16_384, 70_000, 5, 3_000_000, 12, 1 << 20, 0)]
+    data = b"".join(pack(_record(i, p)) for i, p in enumerate(payloads))
+    assert [p for _, p, _ in warc.records(_Counted(data), 0, len(data), lambda head: True, True)] == payloads
+    odd = lambda head: head[b"warc-target-uri"][-1:] in b"13579"
+    assert [p for _, p, _ in warc.records(_Counted(data), 0, len(data), odd, True)] == payloads[1::2]
+    assert [(p, n) for _, p, n in warc.records(_Counted(data), 0, len(data), odd, False)] == [(None, len(p)) for p in payloads[1::2]]
+    with pytest.raises(ValueError):
+        list(warc.records(_Counted(data[:-40]), 0, len(data), lambda head: True, True))
+
+
+@pytest.mark.parametrize("kind", ["plain", "sl"])
+def test_rejected_records_are_not_read(kind):
+    import random
+
+    pack = {"plain": lambda r: r, "sl": warc.gzip_member}[kind]
+    body = random.Random(1).randbytes(8 << 20)
+    file = _Counted(b"".join(pack(_record(i, body)) for i in range(4)))
+    assert [h[b"warc-target-uri"] for h, *_ in warc.records(file, 0, len(file.data), lambda head: head[b"warc-target-uri"] == b"http://x/9", True)] == []
+    assert file.read <= 4 * (1 << 20)
+
+
+def test_unwanted_members_of_unknown_length_stay_small():
+    import gzip
+    import tracemalloc
+
+    data = gzip.compress(_record(0, b"z" * (200 << 20)), 1) + gzip.compress(_record(1, b"last"))
+    tracemalloc.start()
+    got = [p for _, p, _ in warc.records(_Counted(data), 0, len(data), lambda head: head[b"warc-target-uri"] == b"http://x/1", True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [b"last"] and peak < 16 << 20
+
+
+def test_record_ids_are_those_of_their_rows(spark, tmp_path):
+    rows = [(1, "u", "a" * 200), (1, "u", "b" * 200), (None, "u", "c"), (None, "u", "d"), (2, "u", "a" * 200)]
+    path = str(tmp_path / "w")
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = spark.read.format("warc").load(path).collect()
+    ids = {r["record_id"] for r in got}
+    assert len(ids) == len(rows)
+    revisits = [r for r in got if r["record_type"] == "revisit"]
+    assert len(revisits) == 1 and revisits[0]["refers_to"] in ids
+
+
 # ---- chat
 
 
