@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,7 +252,8 @@ DASH_AT_LINE_END = ((r"(?<=[–—])[ \t]*\R\s*", ""),)
 EXTRACTED = (
     (r"\b([Ii])(?i:spast)\b", "$1s past"),
     (r"-\s*\R\s*", ""),
-    (r"(?<=[,;:!?])(?=[\p{L}\p{N}])|(?<=[a-z]\.)(?=[A-Z])", " "),
+    (r"([,;:!?])(?=[\p{L}\p{N}])", "$1 "),
+    (r"([a-z]\.)(?=[A-Z])", "$1 "),
 )
 BEFORE_PUNCTUATION = ((r"\s+(?=[,.;:!?%\])])", ""),)
 #: Lines: runs of blanks are one, none stands at a line's end or start, and two lines at most are empty together.
@@ -261,8 +262,15 @@ LINES = ((r"\r\n?", "\n"), (r"[ \t\f\x0B]{2,}", " "), (r" ?\t? *\n[ \t]*", "\n")
 
 def clean_display(text: Column) -> Column:
     """Text for display: byte-order marks gone, letter-spaced words repaired, spaces before punctuation and blank lines reduced."""
-    bare = F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\ufeff"), F.lit("")))
-    return F.trim(_ruled(repair_spacing(bare), (*BEFORE_PUNCTUATION, *LINES[1:])))
+    return _spaced(repair_spacing(_bare(text)))
+
+
+def _bare(text: Column) -> Column:
+    return F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\ufeff"), F.lit("")))
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(_ruled(text, (*BEFORE_PUNCTUATION, *LINES[1:])))
 
 
 def clean_extracted(text: Column, preserve_lines: bool = False) -> Column:
@@ -270,9 +278,21 @@ def clean_extracted(text: Column, preserve_lines: bool = False) -> Column:
 
     Characters are unified without compatibility decomposition; apply ``nfkc`` first where that is wanted.
     """
+    return clean_display(_readable(text, preserve_lines))
+
+
+def _readable(text: Column, preserve_lines: bool = False) -> Column:
     out = unify_characters(_ruled(F.coalesce(text, F.lit("")), DASH_AT_LINE_END))
     out = _ruled(out, (*EXTRACTED, *BEFORE_PUNCTUATION))
-    return clean_display(_ruled(F.regexp_replace(out, r"[\t\f\x0B]", " "), LINES) if preserve_lines else flatten_spaces(out))
+    return _ruled(F.regexp_replace(out, r"[\t\f\x0B]", " "), LINES) if preserve_lines else flatten_spaces(out)
+
+
+def with_search_text(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with ``search_text``; each step is computed once, where the column alone would repeat those before a step in Python."""
+    out = rows.withColumn("__s", once(composed(F.col(text))))
+    out = out.withColumn("__s", once(_bare(_readable(F.col("__s")))))
+    out = out.withColumn("__s", once(repair_spacing(F.col("__s"))))
+    return out.withColumn("search_text", upper_keeping_sharp_s(_spaced(F.col("__s")))).drop("__s")
 
 
 def unify_characters(text: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folianta.functions.text import search_text
+from folianta.functions.text import with_search_text
 
 
 def lines_of(text: Column) -> Column:
@@ -65,7 +65,7 @@ class Library:
     @cached_property
     def searchable(self) -> DataFrame:
         """Paragraphs with search_text."""
-        return self.paragraphs.withColumn("search_text", search_text(F.col("text")))
+        return with_search_text(self.paragraphs)
 
     @cached_property
     def sources(self) -> DataFrame:

@@ -39,7 +39,8 @@ def wide(lib) -> DataFrame:
     """
     w = lib.works.filter("work_id IS NOT NULL")
     p = w.select("work_id", "language", "source_id", "code", "title", "year", "work_date", "author_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "text"))
-    p = p.withColumns({"number": (F.col("pos") + 1).cast("int"), "paragraph_id": F.col("work_id") * 1000000 + F.col("pos") + 1, "search_text": tx.search_text(F.col("text"))}).drop("pos")
+    p = p.withColumns({"number": (F.col("pos") + 1).cast("int"), "paragraph_id": F.col("work_id") * 1000000 + F.col("pos") + 1}).drop("pos")
+    p = tx.with_search_text(p)
     a = lib.authors.select("author_id", F.col("display_name").alias("author"), F.col("full_name").alias("author_full"))
     s = lib.sources.select("source_id", F.col("display_name").alias("source_name"), F.col("name").alias("source_short"))
     return p.join(a, "author_id", "left").join(s, "source_id", "left")
