@@ -7,6 +7,10 @@ counts of those in ``t`` texts or more reach the executors, and rarer ones weigh
 ``t``. ``t`` is the number of all (text, shingle) pairs over ``FREQUENT``, so that at most
 ``FREQUENT`` shingles are kept: 1 (all counts exact) for small corpora, and else the same
 share of the texts, about one in 10,000 for texts of 2.5 KB, however large the corpus.
+In a text no shingle weighs more than its median one does: what a group of near copies shares
+is as frequent as the group is large while each edit is unique, so plain idf would part near
+copies the more, the more of them there are. Passages that are more frequent than most of
+their text still weigh less than the rest of it.
 
 Sketch. ICWS (Ioffe 2010): a sample agrees between two texts with a probability equal to
 their weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` samples: a pair at 0.8 meets in
@@ -108,7 +112,13 @@ def idf_of(ids: np.ndarray, counts: np.ndarray, n: int, least: int) -> Idf:
 
 
 def weights(ids: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
-    return tf.astype(np.float32) * idf.of(ids)
+    """tf * idf, where no shingle counts as rarer than the text's typical one (its median by tf)."""
+    rare = idf.of(ids)
+    if len(ids):
+        order = np.argsort(rare)
+        upto = np.cumsum(tf[order], dtype=np.int64)
+        rare = np.minimum(rare, rare[order[np.searchsorted(upto, (upto[-1] + 1) // 2)]])
+    return tf.astype(np.float32) * rare
 
 
 def icws(ids: np.ndarray, w: np.ndarray, step: int = 4096) -> np.ndarray:

@@ -179,6 +179,27 @@ def test_classes_with_shared_weights_of_rare_shingles(spark):
     assert got == brute_classes(texts, -(-total // (total // 3)))
 
 
+def test_near_copies_in_larger_groups(spark):
+    """However many copies there are, one with two edits in 100 words (0.81 by counts alone) is linked to its original."""
+    texts = {0: " ".join(f"w{i}" for i in range(100))}
+    for n in range(1, 81):
+        words = texts[0].split()
+        words[5 + n], words[(5 + n + 40) % 90 + 5] = f"a{n}", f"b{n}"
+        texts[n] = " ".join(words)
+    texts |= {100 + n: " ".join(f"x{n}y{i}" for i in range(100)) for n in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_classes(texts) == {i: 0 if i < 100 else i for i in texts}
+
+
+def test_frequent_passages_weigh_less_than_their_text():
+    idf = neardup.Idf(np.array([1, 2, 3, 4], np.uint32), np.array([2, 2, 5, 5], np.float32), np.float32(9))
+    ones = np.ones(6, np.uint32)
+    assert neardup.weights(np.array([1, 2, 3, 4, 8, 9], np.uint32), ones, idf).tolist() == [2, 2, 5, 5, 5, 5]
+    assert neardup.weights(np.array([1, 9], np.uint32), np.array([1, 3], np.uint32), idf).tolist() == [2, 27]
+    assert neardup.weights(np.zeros(0, np.uint32), np.zeros(0, np.uint32), idf).tolist() == []
+
+
 def test_very_long_texts(spark):
     """Texts of a million words: weights stay positive, unlike texts have other sketches, near ones meet."""
     rng = np.random.default_rng(3)
