@@ -156,15 +156,19 @@ def k10(lib: L) -> DataFrame:
 
 @query("k11_containment", f"{W} SELECT b.item_id, count(w.work_id) AS works FROM benchmark b LEFT JOIN works w ON contains(w.text, b.text) GROUP BY b.item_id")
 def k11(lib: L) -> DataFrame:
-    # candidates share the item's first forty characters of some line break-free stretch; containment is then exact
-    b = lib.table("benchmark").select("item_id", "text")
-    key = F.substring_index(F.col("text"), " ", 3)
-    items = b.select("item_id", F.col("text").alias("piece"), key.alias("key"))
-    words = F.split("text", " ")
+    # a work that has an item has its inner words whole: candidates share the first three of them, whatever white space parts
+    # them; containment is then exact, and the few items of less than five words are held against every work
+    b = lib.table("benchmark").select("item_id", F.col("text").alias("piece"), F.split("text", "[ \n]").alias("p"))
+    works = lib.works.select("work_id", "text", F.split("text", "[ \n]").alias("w"))
+    items = b.filter(F.size("p") >= 5).select("item_id", "piece", F.array_join(F.slice("p", 2, 3), " ").alias("key"))
     at = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " "))
-    keys = lib.works.select("work_id", "text", F.split(F.regexp_replace("text", "\n", " \n "), " ").alias("w")).select("work_id", "text", F.explode(F.array_distinct(at)).alias("key"))
-    hits = keys.join(op.small(items), "key").filter(F.contains("text", F.col("piece"))).select("item_id", "work_id").distinct()
-    return b.select("item_id").join(hits.groupBy("item_id").agg(F.count("*").alias("works")), "item_id", "left").select("item_id", F.coalesce("works", F.lit(0)).alias("works"))
+    keys = works.select("work_id", "text", F.explode(F.array_distinct(at)).alias("key"))
+    found = F.contains("text", F.col("piece"))
+    hits = keys.join(op.small(items), "key").filter(found).select("item_id", "work_id")
+    short = b.filter(F.size("p") < 5).select("item_id", "piece")
+    hits = hits.union(works.join(op.small(short), found).select("item_id", "work_id"))
+    counts = hits.groupBy(F.col("item_id").alias("k")).agg(F.count("work_id").alias("works"))
+    return b.select("item_id").distinct().join(counts, F.col("item_id").eqNullSafe(F.col("k")), "left").select("item_id", F.coalesce("works", F.lit(0)).alias("works"))
 
 
 @query("k11_coverage")

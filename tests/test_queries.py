@@ -27,6 +27,20 @@ def test_runs(spark, sf_dir, name):
     df.collect()
 
 
+def test_containment_wherever_words_begin_and_end(spark, tmp_path):
+    """Line breaks among an item's first words, matches from within a word to within a word, short, empty, null and repeated items."""
+    import duckdb
+
+    docs = [(1, "Here.\nIs a text of\nsome words.\n"), (2, "There.\nIs a text of\nsome words"), (2, "other. Is a text"), (3, "a b"), (4, ""), (5, None)]
+    items = [(1, "ere.\nIs a text of\nsome wor"), (2, "\nIs a text"), (3, "here. Is a"), (4, "b"), (5, ""), (6, None), (7, "of\nsome"), (7, "a b"), (8, "Is a text of some words"), (9, ". Is a tex")]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in docs], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    check(spark, con, str(tmp_path), QUERIES["k11_containment"], SQL["k11_containment"])
+
+
 def test_names_and_oracles_belong_together():
     assert set(SQL) <= set(QUERIES)
 
